@@ -180,3 +180,363 @@ def with_extracts(names: list[str], select: str, extra_ctes: str = "") -> str:
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
     return oracle(ctes, select)
+
+
+# --- KPI layer ---------------------------------------------------------------
+
+WS = r"'^\s+|\s+$'"
+
+
+def _strip_upper(col: str) -> str:
+    return f"regexp_replace(UPPER({col}), {WS}, '', 'g')"
+
+
+def _non_endemic(col: str) -> str:
+    listed = C.NO_INFO_VERTICALS + tuple(s.upper() for s in C.NON_ENDEMIC_VERTICALS)
+    n = _strip_upper(col)
+    return f"(CASE WHEN {col} IS NULL THEN TRUE ELSE ({n} IN {_in(listed)} OR starts_with({n}, '{C.NON_ENDEMIC_PREFIX}')) END)"
+
+
+def _strict(col: str) -> str:
+    u = _strip_upper(col)
+    return (
+        f"(CASE WHEN {u} = 'OFF' THEN 'ONLY_OFF' WHEN {u} = 'MELI_OFF' THEN 'IN_PLUS_OFF' "
+        f"WHEN {u} IN ('IN', 'MELI') THEN 'ONLY_IN' END)"
+    )
+
+
+_PRI = "(CASE inv_setting WHEN 'ONLY_OFF' THEN 2 WHEN 'IN_PLUS_OFF' THEN 1 WHEN 'ONLY_IN' THEN 0 ELSE 0 END)"
+_LABEL = "(CASE inv_setting " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.INV_LABELS.items()) + " END)"
+
+ENET_C = f"""enet_c AS (
+  SELECT site, advertiser_id, advertiser_name, vertical, campaign_id, line_item_id, raw_inventory, strategy,
+         CAST(COALESCE(rev_total, 0) AS DOUBLE) AS rev_total, CAST(COALESCE(rev_off, 0) AS DOUBLE) AS rev_off,
+         CAST(COALESCE(rev_in, 0) AS DOUBLE) AS rev_in, CAST(COALESCE(prints_total, 0) AS DOUBLE) AS prints_total,
+         prints_off, prints_in, CAST(COALESCE(clicks_total, 0) AS DOUBLE) AS clicks_total,
+         {_strict('raw_inventory')} AS inv_setting
+  FROM enet
+),
+enet_k AS (SELECT *, {_PRI} AS inv_pri FROM enet_c WHERE inv_setting IS NOT NULL)"""
+
+VOLUME = """volume AS (
+  SELECT inv_setting, COUNT(DISTINCT advertiser_id) AS n_adv, COUNT(DISTINCT line_item_id) AS n_li,
+         CAST(SUM(rev_total) AS DOUBLE) AS rev, CAST(SUM(rev_off) AS DOUBLE) AS rev_off,
+         CAST(SUM(rev_in) AS DOUBLE) AS rev_in, CAST(SUM(prints_total) AS DOUBLE) AS prints_total
+  FROM enet_k GROUP BY inv_setting
+)"""
+
+POP = f"""pop AS (
+  SELECT site, advertiser_id, advertiser_name, vertical, CAST(COALESCE(rev_total, 0) AS DOUBLE) AS rev_total,
+         CAST(COALESCE(flag_adx, 0) AS DOUBLE) AS flag_adx, strategy, NOT {_non_endemic('vertical')} AS is_endemic
+  FROM aw_denom
+),
+pop_tot AS (
+  SELECT COUNT(DISTINCT advertiser_id) AS total_adv, CAST(COALESCE(SUM(rev_total), 0) AS DOUBLE) AS total_rev,
+         COUNT(DISTINCT CASE WHEN NOT is_endemic THEN advertiser_id END) AS non_endemic_adv,
+         COUNT(DISTINCT CASE WHEN NOT is_endemic AND flag_adx = 1 THEN advertiser_id END) AS non_endemic_adx_adv
+  FROM pop
+)"""
+
+DELTAS = f"""deltas AS (
+  SELECT site, advertiser_id, advertiser_name, vertical, CAST(has_dot_com AS BOOLEAN) AS has_dot_com, strategy,
+         rb AS rev_before, ra AS rev_after_total, ro AS rev_after_oo, ri AS rev_after_in_meli,
+         NOT {_non_endemic('vertical')} AS is_endemic,
+         ra - rb AS arpu_delta,
+         CASE WHEN rb != 0 THEN (ra - rb) / rb * 100 END AS arpu_delta_pct,
+         CASE WHEN rb != 0 THEN (ri - rb) / rb * 100 END AS in_meli_delta_pct,
+         CASE WHEN ra != 0 THEN ro / ra * 100 END AS oo_incremental_pct
+  FROM (SELECT *, CAST(COALESCE(rev_before, 0) AS DOUBLE) AS rb, CAST(COALESCE(rev_after_total, 0) AS DOUBLE) AS ra,
+               CAST(COALESCE(rev_after_oo, 0) AS DOUBLE) AS ro, CAST(COALESCE(rev_after_in_meli, 0) AS DOUBLE) AS ri
+        FROM arpu) x
+)"""
+
+DELTA_COLS = (
+    "site, advertiser_id, advertiser_name, vertical, has_dot_com, strategy, rev_before, rev_after_total, "
+    "rev_after_oo, rev_after_in_meli, is_endemic, arpu_delta, arpu_delta_pct, in_meli_delta_pct, oo_incremental_pct"
+)
+
+ADOPTION = f"""cats AS (
+  SELECT * FROM (VALUES {", ".join(f"('{c}', '{C.INV_LABELS[c]}', {i})" for i, c in enumerate(C.INV_ORDER))})
+    AS t(inv_setting, category, ord)
+),
+adoption AS (
+  SELECT c.inv_setting, c.category, CAST(COALESCE(v.n_adv, 0) AS BIGINT) AS n_adv,
+         CAST(COALESCE(v.rev, 0) AS DOUBLE) AS rev,
+         CASE WHEN t.total_adv != 0 THEN COALESCE(v.n_adv, 0) / t.total_adv * 100 ELSE 0.0 END AS adv_pct,
+         CASE WHEN t.total_rev != 0 THEN COALESCE(v.rev, 0) / t.total_rev * 100 ELSE 0.0 END AS rev_pct
+  FROM cats c LEFT JOIN volume v ON v.inv_setting = c.inv_setting CROSS JOIN pop_tot t
+)"""
+
+NE_ADOPTERS = "ne_ids AS (SELECT DISTINCT advertiser_id FROM deltas WHERE NOT is_endemic)"
+OPPORTUNITY = f"""{NE_ADOPTERS},
+opportunity AS (
+  SELECT p.* FROM pop p
+  WHERE NOT p.is_endemic AND NOT EXISTS (SELECT 1 FROM ne_ids i WHERE i.advertiser_id IS NOT DISTINCT FROM p.advertiser_id)
+)"""
+
+IAB_FLAGS = """iab_f AS (
+  SELECT campaign_id, inv_setting IN ('IN_PLUS_OFF', 'ONLY_OFF') AS is_enet, inv_setting = 'ONLY_OFF' AS is_oo,
+         COALESCE(CAST(has_iab_creative AS BOOLEAN), FALSE) AS has
+  FROM iab
+),
+iab_counts AS (
+  SELECT COUNT(DISTINCT CASE WHEN is_enet THEN campaign_id END) AS campaigns_enet,
+         COUNT(DISTINCT CASE WHEN is_oo THEN campaign_id END) AS campaigns_oo,
+         COUNT(DISTINCT CASE WHEN is_enet AND has THEN campaign_id END) AS campaigns_enet_with_format,
+         COUNT(DISTINCT CASE WHEN is_oo AND has THEN campaign_id END) AS campaigns_oo_with_format
+  FROM iab_f
+)"""
+
+TIES = "advertiser_id, site, strategy"
+CANNIBAL = CFG.cannibalisation_pct
+
+
+def _rnd(x: str) -> str:
+    return f"CAST(printf('%.1f', {x}) AS DOUBLE)"
+
+
+KPI_SQL = {
+    "kpi_advertiser_summary": (
+        ["enet"],
+        ENET_C,
+        f"""SELECT advertiser_id, MIN(advertiser_name) AS advertiser_name, MIN(vertical) AS vertical,
+               MAX(inv_pri) AS max_inv_pri, SUM(rev_total) AS rev_total, SUM(rev_off) AS rev_off, SUM(rev_in) AS rev_in,
+               SUM(prints_total) AS prints_total, SUM(clicks_total) AS clicks_total,
+               COUNT(DISTINCT line_item_id) AS n_li,
+               CASE MAX(inv_pri) WHEN 2 THEN 'ONLY_OFF' WHEN 1 THEN 'IN_PLUS_OFF' WHEN 0 THEN 'ONLY_IN' END AS inv_category,
+               NOT {_non_endemic('MIN(vertical)')} AS is_endemic
+            FROM enet_k WHERE advertiser_id IS NOT NULL GROUP BY advertiser_id""",
+    ),
+    "kpi_volume_by_inventory": (
+        ["enet"],
+        f"{ENET_C},\n{VOLUME}",
+        f"""SELECT *, CASE WHEN prints_total != 0 THEN rev / prints_total * 1000 END AS cpm, {_LABEL} AS inv_label,
+                   {_PRI} AS inv_priority FROM volume""",
+    ),
+    "kpi_population_totals": (["aw_denom"], POP, "SELECT * FROM pop_tot"),
+    "kpi_adoption_rates": (
+        ["enet", "aw_denom"],
+        f"{ENET_C},\n{VOLUME},\n{POP},\n{ADOPTION}",
+        "SELECT * FROM adoption",
+    ),
+    "kpi_adopter_deltas": (["arpu"], DELTAS, "SELECT * FROM deltas"),
+    "kpi_endemic_arpu": (
+        ["arpu"],
+        DELTAS,
+        """SELECT n_endemic, total_before, total_after, total_before / GREATEST(n_endemic, 1) AS arpu_before,
+                  total_after / GREATEST(n_endemic, 1) AS arpu_after
+           FROM (SELECT COUNT(*) AS n_endemic, CAST(COALESCE(SUM(rev_before), 0) AS DOUBLE) AS total_before,
+                        CAST(COALESCE(SUM(rev_after_total), 0) AS DOUBLE) AS total_after
+                 FROM deltas WHERE is_endemic) x""",
+    ),
+    "kpi_endemic_incremental": (
+        ["arpu"],
+        DELTAS,
+        "SELECT * FROM deltas WHERE is_endemic AND rev_after_total > rev_before AND has_dot_com",
+    ),
+    "kpi_endemic_cannibalised": (
+        ["arpu"],
+        DELTAS,
+        f"SELECT * FROM deltas WHERE is_endemic AND in_meli_delta_pct IS NOT NULL AND in_meli_delta_pct < {CANNIBAL}",
+    ),
+    "kpi_nonendemic_opportunity": (["arpu", "aw_denom"], f"{DELTAS},\n{POP},\n{OPPORTUNITY}", "SELECT * FROM opportunity"),
+    "kpi_nonendemic_adoption": (
+        ["arpu", "aw_denom"],
+        f"{DELTAS},\n{POP},\n{NE_ADOPTERS}",
+        """SELECT n_adopters, non_endemic_adv, non_endemic_adx_adv,
+                  CASE WHEN non_endemic_adv != 0 THEN n_adopters / non_endemic_adv * 100 ELSE 0.0 END AS adoption_pct_display,
+                  CASE WHEN non_endemic_adx_adv != 0 THEN n_adopters / non_endemic_adx_adv * 100 ELSE 0.0 END AS adoption_pct_adx
+           FROM (SELECT COUNT(*) AS n_adopters FROM ne_ids) n CROSS JOIN pop_tot""",
+    ),
+    "kpi_first_time_counts": (
+        ["nuevos"],
+        "",
+        """SELECT COUNT(*) FILTER (WHERE COALESCE(nuevo_en_adx, FALSE)) AS n_new_adx,
+                  COUNT(*) FILTER (WHERE COALESCE(nuevo_en_dsp, FALSE)) AS n_new_dsp, COUNT(*) AS n_adopters FROM nuevos""",
+    ),
+    "kpi_creative_adoption": (
+        ["iab"],
+        IAB_FLAGS,
+        """SELECT *,
+                  CASE WHEN campaigns_enet != 0 THEN campaigns_enet_with_format / campaigns_enet * 100 ELSE 0.0 END
+                    AS adoption_pct_enet,
+                  CASE WHEN campaigns_oo != 0 THEN campaigns_oo_with_format / campaigns_oo * 100 ELSE 0.0 END
+                    AS adoption_pct_oo
+           FROM iab_counts""",
+    ),
+    "top_endemic_adopters": (
+        ["arpu"],
+        DELTAS,
+        f"""SELECT site, advertiser_id, advertiser_name, strategy, has_dot_com, rev_before, rev_after_total,
+                   arpu_delta_pct, in_meli_delta_pct, oo_incremental_pct,
+                   CASE WHEN arpu_delta_pct IS NOT NULL AND arpu_delta_pct > 0 THEN 'pos' ELSE 'neg' END AS delta_class,
+                   CASE WHEN in_meli_delta_pct IS NOT NULL AND in_meli_delta_pct < {CANNIBAL} THEN 'neg' ELSE '' END
+                     AS cannibal_class
+            FROM deltas WHERE is_endemic ORDER BY rev_after_total DESC, {TIES} LIMIT {C.TOP_ENDEMIC}""",
+    ),
+    "top_opportunities": (
+        ["arpu", "aw_denom"],
+        f"{DELTAS},\n{POP},\n{OPPORTUNITY}",
+        f"""SELECT site, advertiser_id, advertiser_name, vertical, strategy, rev_total FROM opportunity
+            ORDER BY rev_total DESC, {TIES} LIMIT {C.TOP_OPPORTUNITIES}""",
+    ),
+    "top_nonendemic_adopters": (
+        ["arpu"],
+        DELTAS,
+        f"""SELECT site, advertiser_id, advertiser_name, vertical, strategy, rev_after_oo, rev_after_total
+            FROM deltas WHERE NOT is_endemic ORDER BY rev_after_total DESC, {TIES} LIMIT {C.TOP_NON_ENDEMIC}""",
+    ),
+    "list_first_time_adx": (
+        ["nuevos"],
+        "",
+        "SELECT advertiser_name, site, advertiser_id FROM nuevos WHERE COALESCE(nuevo_en_adx, FALSE)",
+    ),
+    "list_first_time_dsp": (
+        ["nuevos"],
+        "",
+        "SELECT advertiser_name, site, advertiser_id FROM nuevos WHERE COALESCE(nuevo_en_dsp, FALSE)",
+    ),
+    "tbl_volume": (
+        ["enet"],
+        f"{ENET_C},\n{VOLUME}",
+        f"""SELECT inv_setting, {_LABEL} AS inv_label, n_adv, n_li, rev,
+                   CASE WHEN prints_total != 0 THEN rev / prints_total * 1000 END AS cpm FROM volume""",
+    ),
+    "tbl_adoption": (
+        ["enet", "aw_denom"],
+        f"{ENET_C},\n{VOLUME},\n{POP},\n{ADOPTION}",
+        f"SELECT category, n_adv, {_rnd('adv_pct')} AS adv_pct, rev, {_rnd('rev_pct')} AS rev_pct FROM adoption",
+    ),
+    "qc_unknown_inventory": (
+        ["enet"],
+        ENET_C,
+        """SELECT COUNT(*) AS n_rows, COUNT(DISTINCT advertiser_id) AS n_advertisers,
+                  CAST(COALESCE(SUM(rev_total), 0) AS DOUBLE) AS rev_total
+           FROM enet_c WHERE inv_setting IS NULL""",
+    ),
+    "qc_unknown_inventory_values": (
+        ["enet"],
+        ENET_C,
+        "SELECT raw_inventory, COUNT(*) AS n_rows FROM enet_c WHERE inv_setting IS NULL GROUP BY raw_inventory",
+    ),
+}
+
+
+def kpi_sql(name: str) -> str:
+    exts, ctes, select = KPI_SQL[name]
+    return with_extracts(exts, select, ctes)
+
+
+# --- single-operator queries ---------------------------------------------------
+
+_FACT = "daily_metrics md"
+
+OPS_SQL = {
+    "op_strategy_variants": oracle(
+        "",
+        f"""SELECT DISTINCT md.campaign_target, {S1} AS strategy_network, {S2} AS strategy_population,
+                   {S3} AS strategy_adopters, {S5} AS strategy_creative FROM {_FACT}""",
+    ),
+    "op_inventory_variants": oracle(
+        "",
+        f"""SELECT inventory,
+                   CASE WHEN UPPER(inventory) = 'OFF' THEN 'ONLY_OFF' WHEN UPPER(inventory) = 'MELI_OFF' THEN 'IN_PLUS_OFF'
+                        ELSE 'ONLY_IN' END AS lenient,
+                   {_strict('inventory')} AS strict, COUNT(*) AS n_rows
+            FROM line_item GROUP BY 1, 2, 3""",
+    ),
+    "op_sector_flag": oracle("", f"SELECT DISTINCT vertical, {_non_endemic('vertical')} AS non_endemic FROM daily_metrics"),
+    "op_site_label": oracle(
+        "",
+        "SELECT DISTINCT CAST(site AS VARCHAR) AS site, COALESCE(CASE CAST(site AS VARCHAR) "
+        + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.SITE_LABELS.items())
+        + " END, CAST(site AS VARCHAR)) AS site_label FROM daily_metrics",
+    ),
+    "op_null_default": oracle(
+        "",
+        f"""SELECT COALESCE(li.inventory, '') AS raw_inventory, COUNT(*) AS n_rows
+            FROM {_FACT} LEFT JOIN line_item li ON li.line_item_id = md.line_item_id
+            WHERE {AFTER} GROUP BY 1""",
+    ),
+    "op_date_window": oracle(
+        "",
+        f"""SELECT COUNT(*) FILTER (WHERE {BEFORE}) AS n_before,
+                   CAST(COALESCE(SUM(md.cost_usd) FILTER (WHERE {BEFORE}), 0) AS DOUBLE) AS cost_before,
+                   COUNT(*) FILTER (WHERE {AFTER}) AS n_after,
+                   CAST(COALESCE(SUM(md.cost_usd) FILTER (WHERE {AFTER}), 0) AS DOUBLE) AS cost_after,
+                   COUNT(*) FILTER (WHERE {HISTORY}) AS n_history,
+                   CAST(COALESCE(SUM(md.cost_usd) FILTER (WHERE {HISTORY}), 0) AS DOUBLE) AS cost_history
+            FROM {_FACT}""",
+    ),
+    "op_display_scope": oracle(
+        "",
+        f"""SELECT md.campaign_type, md.product_type, md.line_item_type, COALESCE({SCOPE}, FALSE) AS in_scope,
+                   COUNT(*) AS n_rows
+            FROM {_FACT} GROUP BY 1, 2, 3, 4""",
+    ),
+    "op_destination_flag": oracle(
+        ARPU.split(",\noo_adv AS")[0], "SELECT line_item_id, has_ext_destination FROM li_destination"
+    ),
+    "op_semi_join": oracle(
+        "",
+        f"""SELECT DISTINCT md.advertiser_id, md.site FROM {_FACT}
+            WHERE md.line_item_id IN ({OO_IDS}) AND {AFTER} AND md.cost_usd > 0""",
+    ),
+    "op_having": oracle(
+        "",
+        f"""SELECT md.advertiser_id, md.site, CAST(SUM(md.cost_usd) AS DOUBLE) AS oo_spend FROM {_FACT}
+            WHERE md.line_item_id IN ({OO_IDS}) AND {AFTER} AND md.cost_usd > 0
+            GROUP BY 1, 2 HAVING SUM(md.cost_usd) >= {CFG.min_spend}""",
+    ),
+    "op_distinct_keys": oracle(
+        "", f"SELECT DISTINCT md.advertiser_id, md.site FROM {_FACT} WHERE {HISTORY} AND md.cost_usd > 0"
+    ),
+    "op_inner_join": oracle(
+        "",
+        """SELECT c.advertiser_id, COUNT(*) AS n_links
+           FROM creative c JOIN line_item_creative lic ON c.creative_id = lic.creative_id GROUP BY 1""",
+    ),
+    "op_array_exists": oracle(
+        "",
+        f"""SELECT creative_id,
+                   COALESCE(json_type(images) = 'VARCHAR'
+                            AND list_contains(json_extract_string(json_extract_string(images, '$'), '$[*].type'),
+                                              '{CFG.creative_format}'), FALSE) AS has_format
+            FROM creative""",
+    ),
+    "op_conditional_sum": oracle(
+        "",
+        f"""SELECT md.site, CAST(SUM(md.cost_usd) AS DOUBLE) AS cost_total,
+                   CAST(SUM(CASE WHEN {OFF} THEN md.cost_usd ELSE 0 END) AS DOUBLE) AS cost_off,
+                   CAST(SUM(CASE WHEN {ON} THEN md.cost_usd ELSE 0 END) AS DOUBLE) AS cost_in
+            FROM {_FACT} WHERE {AFTER} GROUP BY 1""",
+    ),
+    "op_any_flag": oracle(
+        "",
+        f"""SELECT md.advertiser_id, MAX(CASE WHEN {OFF} THEN 1 ELSE 0 END) AS any_offsite
+            FROM {_FACT} WHERE {AFTER} GROUP BY 1""",
+    ),
+    "op_safe_ratio": with_extracts(
+        ["enet"],
+        """SELECT site, advertiser_id, advertiser_name, vertical, campaign_id, line_item_id, raw_inventory, strategy,
+                  CASE WHEN prints_off != 0 THEN rev_off / prints_off * 1000 END AS cpm_off FROM enet""",
+    ),
+}
+
+QC_DUPLICATES = oracle(
+    "",
+    """SELECT 'line_item' AS table_name, CAST(line_item_id AS BIGINT) AS key_value, COUNT(*) AS n_rows
+       FROM line_item GROUP BY line_item_id HAVING COUNT(*) > 1
+       UNION ALL
+       SELECT 'advertiser', CAST(advertiser_id AS BIGINT), COUNT(*)
+       FROM advertiser GROUP BY advertiser_id HAVING COUNT(*) > 1""",
+)
+
+EXTRACT_COUNTS = with_extracts(
+    ["enet", "aw_denom", "arpu", "nuevos", "iab"],
+    """SELECT 'enet' AS extract, COUNT(*) AS n_rows FROM enet
+       UNION ALL SELECT 'aw_denom', COUNT(*) FROM aw_denom
+       UNION ALL SELECT 'arpu', COUNT(*) FROM arpu
+       UNION ALL SELECT 'nuevos', COUNT(*) FROM nuevos
+       UNION ALL SELECT 'iab', COUNT(*) FROM iab""",
+)

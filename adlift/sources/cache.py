@@ -16,6 +16,13 @@ from pyspark.errors import AnalysisException
 from .schemas import EXTRACT_NAMES, extract_schemas
 
 FORMATS = ("parquet", "csv", "json")
+CSV_OPTIONS = {
+    "header": "true",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "",
+    "emptyValue": '""',
+}
 
 
 def _path(root: str, name: str) -> str:
@@ -29,7 +36,8 @@ def write_extracts(extracts: Mapping[str, DataFrame], root: str, fmt: str = "par
     for name, df in extracts.items():
         w = df.write.mode(mode)
         if fmt == "csv":
-            w.option("header", True).csv(_path(root, name))
+            # keep text exactly: no trimming on write, NULL and '' stay apart
+            w.options(**CSV_OPTIONS).csv(_path(root, name))
         elif fmt == "json":
             w.option("ignoreNullFields", False).json(_path(root, name))
         else:
@@ -40,7 +48,7 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
     if fmt == "parquet":
         return lambda p: spark.read.parquet(p)
     if fmt == "csv":
-        return lambda p: spark.read.schema(schema).option("header", True).csv(p)
+        return lambda p: spark.read.schema(schema).options(**CSV_OPTIONS).csv(p)
     return lambda p: spark.read.schema(schema).json(p)
 
 
