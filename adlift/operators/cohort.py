@@ -25,8 +25,8 @@ def only_off_ids(line_item: DataFrame) -> DataFrame:
 
 
 def external_destination_items(src: Sources, candidates: DataFrame) -> DataFrame:
-    """Distinct ids among ``candidates`` that exist in the line-item master and
-    have a creative whose destination subtype is external.
+    """Ids among ``candidates`` that exist in the line-item master and have a
+    creative whose destination subtype is external (ids may repeat).
 
     Written as a chain of semi joins starting from the (small) destination
     list, so the n:m link and the creative history are filtered, never
@@ -42,18 +42,30 @@ def external_destination_items(src: Sources, candidates: DataFrame) -> DataFrame
     )
     links = src.line_item_creative_rel.select("line_item_id", "creative_id").join(candidates, "line_item_id", "left_semi")
     items = links.join(ext_creatives, "creative_id", "left_semi").select("line_item_id")
-    return items.join(src.line_item_master.select("line_item_id"), "line_item_id", "left_semi").distinct()
+    return items.join(src.line_item_master.select("line_item_id"), "line_item_id", "left_semi")
 
 
 def off_item_flags(src: Sources) -> DataFrame:
     """``(line_item_id, is_oo, has_ext)`` for every off-site-only line item:
     ``is_oo`` is always true, ``has_ext`` is 1 when the item has an external
-    destination (0 otherwise)."""
-    oo = only_off_ids(src.line_item)
-    ext = external_destination_items(src, oo).withColumn("has_ext", F.lit(1))
+    destination (0 otherwise).
+
+    Both memberships are gathered as rows of one union and folded by a
+    single aggregate on the id (one shuffle, duplicates absorbed), instead
+    of two de-duplications and a join.
+    """
+    off = src.line_item.where(F.upper(F.col("inventory")) == C.INVENTORY_OFF).select("line_item_id").where(
+        F.col("line_item_id").isNotNull()
+    )
+    ext = external_destination_items(src, off)
+    marks = off.select("line_item_id", F.lit(1).alias("oo"), F.lit(0).alias("ext")).unionByName(
+        ext.select("line_item_id", F.lit(0).alias("oo"), F.lit(1).alias("ext"))
+    )
     return (
-        oo.join(ext, "line_item_id", "left")
-        .select("line_item_id", F.lit(True).alias("is_oo"), F.coalesce(F.col("has_ext"), F.lit(0)).alias("has_ext"))
+        marks.groupBy("line_item_id")
+        .agg(F.max("oo").alias("oo"), F.max("ext").alias("has_ext"))
+        .where(F.col("oo") == 1)
+        .select("line_item_id", F.lit(True).alias("is_oo"), "has_ext")
     )
 
 

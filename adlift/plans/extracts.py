@@ -99,13 +99,24 @@ def ext_display_population(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     fact = src.daily_metrics.where(
         _after(cfg) & display_scope() & target_allowed(C.TARGETS_POPULATION) & positive_cost()
     )
+    keys = ["site", "advertiser_id", "strategy"]
+    # name and vertical are grouping keys of the fact-side pass: a string in
+    # an aggregation buffer (MIN) would force a sort-based aggregate of every
+    # fact row; MIN runs only on the reduced rows of the final pass
+    per_name = fact.groupBy(
+        "site",
+        "advertiser_id",
+        strategy(F.col("campaign_target"), C.STRATEGY_POPULATION).alias("strategy"),
+        "advertiser_name",
+        "vertical",
+    ).agg(F.sum(F.col("cost_usd")).alias("rev"), any_flag(is_offsite()).alias("flag"))
     return (
-        fact.groupBy("site", "advertiser_id", strategy(F.col("campaign_target"), C.STRATEGY_POPULATION).alias("strategy"))
+        per_name.groupBy(*keys)
         .agg(
             pick_value(F.col("advertiser_name")).alias("advertiser_name"),
             pick_value(F.col("vertical")).alias("vertical"),
-            F.sum(F.col("cost_usd")).alias("rev_total"),
-            any_flag(is_offsite()).alias("flag_adx"),
+            F.sum("rev").alias("rev_total"),
+            F.max("flag").alias("flag_adx"),
         )
         .select("site", "advertiser_id", "advertiser_name", "vertical", "rev_total", "flag_adx", "strategy")
     )
@@ -135,20 +146,21 @@ def ext_adopters(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     fact = src.daily_metrics.where(in_window(lo, hi) & display_scope()).withColumn(
         "strategy", strategy(F.col("campaign_target"), C.STRATEGY_ADOPTERS)
     )
-    per_item = fact.groupBy("site", "advertiser_id", "strategy", "line_item_id").agg(
+    # name and vertical are keys here (not MIN buffers) so the fact-side
+    # aggregate stays hash-based; ``q`` marks the (name, vertical) values
+    # seen on qualifying rows
+    per_item = fact.groupBy("site", "advertiser_id", "strategy", "line_item_id", "advertiser_name", "vertical").agg(
         F.sum(F.when(before, F.col("cost_usd"))).alias("b"),
         F.sum(F.when(after, F.col("cost_usd"))).alias("a"),
         F.sum(F.when(after & is_onsite(), F.col("cost_usd"))).alias("a_in"),
         any_flag(qual).alias("q"),
-        F.min(F.when(qual, F.col("advertiser_name"))).alias("q_name"),
-        F.min(F.when(qual, F.col("vertical"))).alias("q_vertical"),
     )
     j = per_item.join(off_item_flags(src), "line_item_id", "left")
     adopt = F.coalesce(F.col("is_oo"), F.lit(False)) & (F.col("q") == 1)
     g = j.groupBy("site", "advertiser_id", "strategy").agg(
         F.max(adopt).alias("adopter"),
-        F.min(F.when(adopt, F.col("q_name"))).alias("advertiser_name"),
-        F.min(F.when(adopt, F.col("q_vertical"))).alias("vertical"),
+        F.min(F.when(adopt, F.col("advertiser_name"))).alias("advertiser_name"),
+        F.min(F.when(adopt, F.col("vertical"))).alias("vertical"),
         F.max(F.when(adopt, F.col("has_ext"))).alias("has_dot_com"),
         F.sum("b").alias("rev_before"),
         F.sum("a").alias("rev_after_total"),

@@ -19,9 +19,14 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # broadcast only what AQE measured below this size at run time
+    # no broadcast from plan-time estimates (a compressed Parquet size can
+    # under-count a dimension many times); AQE broadcasts a join side only
+    # after its shuffle stage *measured* it below this size, and otherwise
+    # keeps the sort-merge join, splitting skewed partitions
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.parquet.filterPushdown": "true",
 }
