@@ -30,10 +30,11 @@ DENOM_NUMERIC = ("rev_total", "flag_adx")
 ARPU_NUMERIC = ("rev_before", "rev_after_total", "rev_after_oo", "rev_after_in_meli")
 
 
-def _one_row_join(left: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a global aggregate (exactly one row, so its
-    size is bounded and broadcasting it is safe) to every row of ``left``."""
-    return left.withColumn("__k", F.lit(1)).join(F.broadcast(one_row.withColumn("__k", F.lit(1))), "__k").drop("__k")
+def _scalar(one_row: DataFrame, col: str):
+    """A column of a global aggregate as a scalar subquery: evaluated once
+    and used as a value, no join (Catalyst merges subqueries over the same
+    aggregate into one)."""
+    return one_row.select(col).scalar()
 
 
 # --- preparation of each extract -------------------------------------------
@@ -166,16 +167,15 @@ def kpi_adoption_rates(enet: DataFrame, denom: DataFrame) -> DataFrame:
         F.coalesce(F.col("n_adv"), F.lit(0)).cast("bigint").alias("n_adv"),
         F.coalesce(F.col("rev"), F.lit(0.0)).alias("rev"),
     )
-    tot = population_totals(denom).select("total_adv", "total_rev")
+    tot = population_totals(denom)
     return (
-        _one_row_join(rows, tot)
-        .select(
+        rows.select(
             "inv_setting",
             "category",
             "n_adv",
             "rev",
-            ratio_or_zero(F.col("n_adv"), F.col("total_adv")).alias("adv_pct"),
-            ratio_or_zero(F.col("rev"), F.col("total_rev")).alias("rev_pct"),
+            ratio_or_zero(F.col("n_adv"), _scalar(tot, "total_adv")).alias("adv_pct"),
+            ratio_or_zero(F.col("rev"), _scalar(tot, "total_rev")).alias("rev_pct"),
             "ord",
         )
         .orderBy("ord")
@@ -235,11 +235,14 @@ def kpi_nonendemic_adoption(arpu: DataFrame, denom: DataFrame) -> DataFrame:
     ids = non_endemic_adopters(arpu).groupBy("advertiser_id").agg(F.lit(1).alias("x"))
     # a missing id counts once, as one element of a set
     n = ids.agg(F.count(F.lit(1)).alias("n_adopters"))
-    tot = population_totals(denom).select("non_endemic_adv", "non_endemic_adx_adv")
-    return _one_row_join(n, tot).select(
+    tot = population_totals(denom)
+    base = n.select(
         "n_adopters",
-        "non_endemic_adv",
-        "non_endemic_adx_adv",
+        _scalar(tot, "non_endemic_adv").alias("non_endemic_adv"),
+        _scalar(tot, "non_endemic_adx_adv").alias("non_endemic_adx_adv"),
+    )
+    return base.select(
+        "*",
         ratio_or_zero(F.col("n_adopters"), F.col("non_endemic_adv")).alias("adoption_pct_display"),
         ratio_or_zero(F.col("n_adopters"), F.col("non_endemic_adx_adv")).alias("adoption_pct_adx"),
     )

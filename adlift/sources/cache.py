@@ -20,8 +20,11 @@ CSV_OPTIONS = {
     "header": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    "nullValue": "",
-    "emptyValue": '""',
+    # NULL is written as \N, so an empty text survives the round trip
+    "nullValue": "\\N",
+    # a quoted value may hold a line break; each file is then read whole
+    # by one task (files are per writer task, so still many in parallel)
+    "multiLine": "true",
 }
 
 
@@ -36,7 +39,7 @@ def write_extracts(extracts: Mapping[str, DataFrame], root: str, fmt: str = "par
     for name, df in extracts.items():
         w = df.write.mode(mode)
         if fmt == "csv":
-            # keep text exactly: no trimming on write, NULL and '' stay apart
+            # keep text exactly: no trimming, NULL and '' stay apart
             w.options(**CSV_OPTIONS).csv(_path(root, name))
         elif fmt == "json":
             w.option("ignoreNullFields", False).json(_path(root, name))
