@@ -146,17 +146,29 @@ def ext_adopters(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     fact = src.daily_metrics.where(in_window(lo, hi) & display_scope()).withColumn(
         "strategy", strategy(F.col("campaign_target"), C.STRATEGY_ADOPTERS)
     )
-    # name and vertical are keys here (not MIN buffers) so the fact-side
-    # aggregate stays hash-based; ``q`` marks the (name, vertical) values
-    # seen on qualifying rows
-    per_item = fact.groupBy("site", "advertiser_id", "strategy", "line_item_id", "advertiser_name", "vertical").agg(
+    # Keys of the fact-side pass: the line item only matters after launch
+    # (for the off-only split), name and vertical only on qualifying rows;
+    # elsewhere they are NULL, so the before window folds to one row per
+    # group.  Name and vertical are keys, not MIN buffers, which keeps this
+    # aggregate hash-based.
+    per_item = fact.groupBy(
+        "site",
+        "advertiser_id",
+        "strategy",
+        F.when(after, F.col("line_item_id")).alias("line_item_id"),
+        F.when(qual, F.col("advertiser_name")).alias("advertiser_name"),
+        F.when(qual, F.col("vertical")).alias("vertical"),
+    ).agg(
         F.sum(F.when(before, F.col("cost_usd"))).alias("b"),
         F.sum(F.when(after, F.col("cost_usd"))).alias("a"),
         F.sum(F.when(after & is_onsite(), F.col("cost_usd"))).alias("a_in"),
         any_flag(qual).alias("q"),
     )
     j = per_item.join(off_item_flags(src), "line_item_id", "left")
-    adopt = F.coalesce(F.col("is_oo"), F.lit(False)) & (F.col("q") == 1)
+    is_oo = F.coalesce(F.col("is_oo"), F.lit(False))
+    adopt = is_oo & (F.col("q") == 1)
+    # MIN of a string makes this a sort-based aggregate, but only over the
+    # folded rows (about one per active line item), never over fact rows
     g = j.groupBy("site", "advertiser_id", "strategy").agg(
         F.max(adopt).alias("adopter"),
         F.min(F.when(adopt, F.col("advertiser_name"))).alias("advertiser_name"),
@@ -164,7 +176,7 @@ def ext_adopters(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         F.max(F.when(adopt, F.col("has_ext"))).alias("has_dot_com"),
         F.sum("b").alias("rev_before"),
         F.sum("a").alias("rev_after_total"),
-        F.sum(F.when(F.coalesce(F.col("is_oo"), F.lit(False)), F.col("a"))).alias("rev_after_oo"),
+        F.sum(F.when(is_oo, F.col("a"))).alias("rev_after_oo"),
         F.sum("a_in").alias("rev_after_in_meli"),
     ).where(F.col("adopter"))
     keys_ok = F.col("site").isNotNull() & F.col("advertiser_id").isNotNull()
@@ -203,7 +215,9 @@ def ext_first_time(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     lo = min(cfg.history_start, cfg.launch_date)
     hi = max(cfg.analysis_end, cfg.history_end)
     fact = src.daily_metrics.where(in_window(lo, hi) & positive_cost())
-    per_item = fact.groupBy("site", "advertiser_id", "line_item_id").agg(
+    # the line item is needed after launch only: history rows fold to one
+    # row per (site, advertiser) before the shuffle
+    per_item = fact.groupBy("site", "advertiser_id", F.when(after, F.col("line_item_id")).alias("line_item_id")).agg(
         F.sum(F.when(after, F.col("cost_usd"))).alias("a"),
         any_flag(hist).alias("h_dsp"),
         any_flag(hist & is_offsite()).alias("h_adx"),
