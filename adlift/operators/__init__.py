@@ -9,7 +9,7 @@ from .cohort import (
     off_item_flags,
     only_off_ids,
 )
-from .joins import absent_flag, anti_join_null_safe, membership_flag
+from .joins import absent_flag, anti_join_null_safe, left_join_nullable_key, membership_flag
 from .scope import date_window, display_scope, in_window, is_offsite, is_onsite, positive_cost, target_allowed
 
 __all__ = [
@@ -27,6 +27,7 @@ __all__ = [
     "inventory_settings",
     "is_offsite",
     "is_onsite",
+    "left_join_nullable_key",
     "membership_flag",
     "off_item_flags",
     "only_off_ids",

@@ -30,3 +30,20 @@ def anti_join_null_safe(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     (set membership, not SQL ``NOT IN``)."""
     other = ids.select(F.col(key).alias("__k")).distinct()
     return df.join(other, df[key].eqNullSafe(other["__k"]), "left_anti")
+
+
+def left_join_nullable_key(df: DataFrame, right: DataFrame, key: str, spread: int = 512) -> DataFrame:
+    """``df LEFT JOIN right USING (key)`` that does not pile NULL keys into one
+    task.
+
+    In a shuffle join every NULL key hashes to the same partition, so a key
+    that is often NULL would land in one task.  Rows with a NULL key get a
+    salt in ``1..spread`` taken from a hash of their other columns
+    (deterministic, so a retried task places them the same way); the right
+    side has salt 0.  The join is on ``(key, salt)``: NULL rows still never
+    match, but they are spread over many partitions.  Nothing is dropped.
+    """
+    others = [c for c in df.columns if c != key]
+    salt = F.when(F.col(key).isNull(), F.lit(1) + F.pmod(F.xxhash64(*others), F.lit(spread))).otherwise(F.lit(0))
+    left = df.withColumn("__salt", salt.cast("int"))
+    return left.join(right.withColumn("__salt", F.lit(0)), [key, "__salt"], "left").drop("__salt")

@@ -35,6 +35,7 @@ from ..operators import (
     inventory_settings,
     is_offsite,
     is_onsite,
+    left_join_nullable_key,
     off_item_flags,
     only_off_ids,
     pick_value,
@@ -72,7 +73,7 @@ def ext_network_items(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         F.sum(F.col("clicks_qty")).alias("clicks_total"),
     )
     inv = inventory_multiplicity(src.line_item)
-    j = per_item.join(inv, "line_item_id", "left")
+    j = left_join_nullable_key(per_item, inv, "line_item_id")
     n = F.coalesce(F.col("n_rows"), F.lit(1))
     return j.select(
         "site",
@@ -164,7 +165,7 @@ def ext_adopters(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         F.sum(F.when(after & is_onsite(), F.col("cost_usd"))).alias("a_in"),
         any_flag(qual).alias("q"),
     )
-    j = per_item.join(off_item_flags(src), "line_item_id", "left")
+    j = left_join_nullable_key(per_item, off_item_flags(src), "line_item_id")
     is_oo = F.coalesce(F.col("is_oo"), F.lit(False))
     adopt = is_oo & (F.col("q") == 1)
     # MIN of a string makes this a sort-based aggregate, but only over the
@@ -223,7 +224,7 @@ def ext_first_time(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         any_flag(hist & is_offsite()).alias("h_adx"),
     )
     oo = only_off_ids(src.line_item).withColumn("is_oo", F.lit(True))
-    j = per_item.join(oo, "line_item_id", "left")
+    j = left_join_nullable_key(per_item, oo, "line_item_id")
     is_oo = F.coalesce(F.col("is_oo"), F.lit(False))
     g = (
         j.groupBy("site", "advertiser_id")
@@ -266,11 +267,11 @@ def ext_creative_adoption(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         "advertiser_id",
         strategy(F.col("campaign_target"), C.STRATEGY_CREATIVE).alias("strategy"),
     ).distinct()
-    with_inv = active.join(inventory_settings(src.line_item), "line_item_id", "left").withColumn(
+    with_inv = left_join_nullable_key(active, inventory_settings(src.line_item), "line_item_id").withColumn(
         "inv_setting", F.coalesce(F.col("inv_setting"), F.lit(C.ONLY_IN))
     )
     marks = creative_format_items(src, cfg).withColumn("__hit", F.lit(True))
-    return with_inv.join(marks, "line_item_id", "left").select(
+    return left_join_nullable_key(with_inv, marks, "line_item_id").select(
         "site",
         "campaign_id",
         "line_item_id",

@@ -159,8 +159,9 @@ def kpi_adoption_rates(enet: DataFrame, denom: DataFrame) -> DataFrame:
     and revenue (0 when absent) and their share of the population (0 when
     the population is empty).  Shares may exceed 100: the population has a
     narrower target list than the network items."""
+    # at most one row per category (three), so broadcasting it is bounded
     vol = kpi_volume_by_inventory(enet).select("inv_setting", "n_adv", "rev")
-    rows = _categories(enet).join(vol, "inv_setting", "left").select(
+    rows = _categories(enet).join(F.broadcast(vol), "inv_setting", "left").select(
         "inv_setting",
         "category",
         "ord",
