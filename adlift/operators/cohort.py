@@ -40,9 +40,13 @@ def external_destination_items(src: Sources, candidates: DataFrame) -> DataFrame
     ext_creatives = src.creative_history.select("creative_id", "creative_destination_id").join(
         ext_dest, "creative_destination_id", "left_semi"
     )
-    links = src.line_item_creative_rel.select("line_item_id", "creative_id").join(candidates, "line_item_id", "left_semi")
-    items = links.join(ext_creatives, "creative_id", "left_semi").select("line_item_id")
-    return items.join(src.line_item_master.select("line_item_id"), "line_item_id", "left_semi")
+    # both id filters first (same key, one partitioning), then the creative test
+    links = (
+        src.line_item_creative_rel.select("line_item_id", "creative_id")
+        .join(candidates, "line_item_id", "left_semi")
+        .join(src.line_item_master.select("line_item_id"), "line_item_id", "left_semi")
+    )
+    return links.join(ext_creatives, "creative_id", "left_semi").select("line_item_id")
 
 
 def off_item_flags(src: Sources) -> DataFrame:
