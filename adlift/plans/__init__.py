@@ -1,0 +1,2 @@
+"""Plans: the extracts, their plain forms, KPI tables, report tables and the
+single-operator queries."""

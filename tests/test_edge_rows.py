@@ -151,3 +151,31 @@ def test_top_k_ties_are_deterministic(spark):
     )
     ids = [r.advertiser_id for r in report.top_endemic_adopters(arpu.repartition(7), CFG).collect()]
     assert ids == list(range(5, 20))
+
+
+def test_end_before_launch_gives_empty_extracts(src):
+    from adlift.config import LaunchConfig
+
+    cfg = LaunchConfig(launch_date="1999-07-01", analysis_end="1999-06-15", history_start="1998-07-01")
+    for name in ("enet", "aw_denom", "arpu", "nuevos", "iab"):
+        assert EXTRACTS[name](src, cfg).count() == 0, name
+    assert kpis.kpi_first_time_counts(EXTRACTS["nuevos"](src, cfg)).first().n_adopters == 0
+
+
+def test_equal_window_policy_moves_the_before_window(spark):
+    from adlift.config import LaunchConfig
+    from edge_sources import FACT, TABLES, r
+
+    # one adopter row after launch; one before-window row on the first day of
+    # the "equal" window (one day earlier than the reference window starts)
+    ref = LaunchConfig(launch_date="1999-07-01", analysis_end="1999-07-03", history_start="1998-07-01")
+    eq = LaunchConfig(launch_date="1999-07-01", analysis_end="1999-07-03", history_start="1998-07-01",
+                      window_policy="equal")
+    assert eq.before_start == ref.before_start.replace(day=ref.before_start.day - 1)
+    rows = [r(ref.launch_date, "MLA", 1, 100, 150.0), r(eq.before_start, "MLA", 1, 100, 7.0)]
+    src = spark_sources(spark).replace(
+        daily_metrics=spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t, _ in TABLES["daily_metrics"][1]))
+    )
+    assert EXTRACTS["arpu"](src, ref).first().rev_before == 0.0
+    assert EXTRACTS["arpu"](src, eq).first().rev_before == 7.0
+    assert FACT  # the shared rows are untouched
