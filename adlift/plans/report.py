@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -213,13 +213,22 @@ def write_report_bundle(bundle: DataFrame, out_dir: str) -> None:
     bundle.write.mode("overwrite").partitionBy("record_set").text(out_dir)
 
 
-def run_report(src: Sources, cfg: C.LaunchConfig, out_dir: str, cache_format: str = "parquet") -> dict[str, str]:
+def run_report(src: Sources, cfg: C.LaunchConfig, out_dir: str, cache_format: str = "parquet") -> dict:
     """The whole job: extracts -> cache (cuts lineage: KPIs re-read small
     files, a lost executor never re-runs a fact scan) -> KPI tables and the
-    bundle, written under ``out_dir``.  Returns the written paths."""
+    bundle, written under ``out_dir``.
+
+    Returns ``{"paths": {name: path}, "rows": {extract: row count}}``; the
+    counts are observed while the cache is written (no extra job).
+    """
     root = out_dir.rstrip("/")
     cache = f"{root}/extracts"
-    write_extracts(all_extracts(src, cfg), cache, fmt=cache_format)
+    observed, frames = {}, {}
+    for name, df in all_extracts(src, cfg).items():
+        observed[name] = Observation(f"rows_{name}")
+        frames[name] = df.observe(observed[name], F.count(F.lit(1)).alias("rows"))
+    write_extracts(frames, cache, fmt=cache_format)
+    rows = {name: int(o.get["rows"]) for name, o in observed.items()}
     ext = read_extracts(src.daily_metrics.sparkSession, cache, fmt=cache_format)
     tables = {
         "kpi_advertiser_summary": kpis.kpi_advertiser_summary(ext["enet"]),
@@ -238,8 +247,11 @@ def run_report(src: Sources, cfg: C.LaunchConfig, out_dir: str, cache_format: st
         "top_nonendemic_adopters": top_nonendemic_adopters(ext["arpu"]),
         "list_first_time_adx": list_first_time_adx(ext["nuevos"]),
         "list_first_time_dsp": list_first_time_dsp(ext["nuevos"]),
+        "tbl_volume": tbl_volume(ext["enet"]),
+        "tbl_adoption": tbl_adoption(ext["enet"], ext["aw_denom"]),
         "qc_unknown_inventory": qc_unknown_inventory(ext["enet"]),
         "qc_unknown_inventory_values": qc_unknown_inventory_values(ext["enet"]),
+        "qc_duplicate_keys": qc_duplicate_keys(src),
     }
     paths = {"extracts": cache}
     for name, df in tables.items():
@@ -248,4 +260,4 @@ def run_report(src: Sources, cfg: C.LaunchConfig, out_dir: str, cache_format: st
         paths[name] = p
     paths["bundle"] = f"{root}/bundle"
     write_report_bundle(report_bundle(ext, cfg), paths["bundle"])
-    return paths
+    return {"paths": paths, "rows": rows}

@@ -69,7 +69,9 @@ def test_bundle_written_per_record_set(spark, edge_extracts):
 
 def test_run_report_end_to_end(spark):
     out = scratch_path(spark, "report")
-    paths = report.run_report(fixture_sources(spark, SF0001), CFG, out)
+    result = report.run_report(fixture_sources(spark, SF0001), CFG, out)
+    paths = result["paths"]
+    assert result["rows"] == {"enet": 138, "aw_denom": 96, "arpu": 22, "nuevos": 50, "iab": 111}
     assert spark.read.json(paths["kpi_first_time_counts"]).count() == 1
     assert spark.read.json(paths["top_endemic_adopters"]).count() <= 15
     assert spark.read.parquet(f"{paths['extracts']}/arpu").count() == 22
