@@ -76,3 +76,23 @@ def test_run_report_end_to_end(spark):
     assert spark.read.json(paths["top_endemic_adopters"]).count() <= 15
     assert spark.read.parquet(f"{paths['extracts']}/arpu").count() == 22
     assert spark.read.text(paths["bundle"]).where("record_set = 'config'").count() == 1
+
+
+def test_cli_run_and_replay(spark):
+    from adlift.cli import main
+    from adlift.sources import fixture_frames
+
+    root = scratch_path(spark, "cli-sources")
+    for name, df in fixture_frames(spark, SF0001).items():
+        df.write.parquet(f"{root}/{name}")
+    dates = ["--launch", "1999-07-01", "--end", "1999-12-31", "--history-start", "1998-07-01"]
+    out = scratch_path(spark, "cli-run")
+    live = main(dates + ["--sources-root", root, "--out", out, "--cache-format", "csv"])
+    assert live["rows"]["arpu"] == 22
+    again = main(dates + ["--from-cache", live["paths"]["extracts"], "--out", scratch_path(spark, "cli-replay"),
+                          "--cache-format", "csv"])
+    a = spark.read.json(live["paths"]["kpi_endemic_arpu"]).collect()
+    b = spark.read.json(again["paths"]["kpi_endemic_arpu"]).collect()
+    assert a == b
+    with pytest.raises(FileNotFoundError):
+        main(dates + ["--from-cache", scratch_path(spark, "nothing"), "--out", scratch_path(spark, "cli-x")])
