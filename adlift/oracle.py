@@ -1,10 +1,10 @@
 """DuckDB reference SQL for the registered queries (the correctness gate).
 
 Each text starts with the fixture CTEs (DuckDB sees only the base tables)
-and then states the query in the plain, literal shape: separate scans,
-``IN`` subqueries, joins before aggregates.  The Spark side computes the
-same result with a different plan, so equal results check both the
-semantics and the rewrites.  Sums are cast (DuckDB widens integer sums).
+and then states the query directly from its definition — predicates,
+``IN`` / ``EXISTS`` membership, correlated sums — independently of how the
+Spark side plans it, so equal results check both the semantics and the
+Spark rewrites.  Sums are cast (DuckDB widens integer sums).
 """
 
 from __future__ import annotations
@@ -73,99 +73,101 @@ DENOM = f"""aw_denom AS (
   GROUP BY md.site, md.advertiser_id, {S2}
 )"""
 
-ARPU = f"""li_destination AS (
-  SELECT li.line_item_id,
-         MAX(CASE WHEN UPPER(dest.destination_subtype) IN {_in(C.EXTERNAL_DESTINATION_SUBTYPES)} THEN 1 ELSE 0 END)
-           AS has_ext_destination
-  FROM line_item_master li
-  LEFT JOIN line_item_creative_rel rel ON rel.line_item_id = li.line_item_id
-  LEFT JOIN creative_history cr ON cr.creative_id = rel.creative_id
-  LEFT JOIN destination dest ON dest.destination_id = cr.creative_destination_id
-  WHERE li.line_item_id IN ({OO_IDS})
-  GROUP BY li.line_item_id
+def _win(alias: str, start, end) -> str:
+    return f"{alias}.event_local_dt BETWEEN {_d(start)} AND {_d(end)}"
+
+
+def _scope(alias: str) -> str:
+    return SCOPE.replace("md.", f"{alias}.")
+
+
+# Adopters, stated with predicates and correlated sums: a group adopts when an
+# off-only item has qualifying delivery after launch; each revenue figure is
+# a correlated sum over the group's display-scope rows of one window.
+ARPU = f"""oo_ids AS (SELECT DISTINCT line_item_id FROM line_item WHERE UPPER(inventory) = 'OFF'),
+ext_items AS (
+  SELECT DISTINCT r.line_item_id
+  FROM line_item_creative_rel r
+  JOIN creative_history h ON h.creative_id = r.creative_id
+  JOIN destination d ON d.destination_id = h.creative_destination_id
+  WHERE UPPER(d.destination_subtype) IN {_in(C.EXTERNAL_DESTINATION_SUBTYPES)}
+    AND r.line_item_id IN (SELECT line_item_id FROM line_item_master)
 ),
-oo_adv AS (
-  SELECT md.advertiser_id, md.site, MIN(md.advertiser_name) AS advertiser_name, MIN(md.vertical) AS vertical,
-         MAX(COALESCE(ld.has_ext_destination, 0)) AS has_dot_com, {S3} AS strategy
-  FROM daily_metrics md LEFT JOIN li_destination ld ON ld.line_item_id = md.line_item_id
-  WHERE md.line_item_id IN ({OO_IDS}) AND {AFTER} AND {SCOPE} AND md.cost_usd > 0
-  GROUP BY md.advertiser_id, md.site, {S3}
+destination_flag AS (
+  SELECT m.line_item_id, MAX(CASE WHEN m.line_item_id IN (SELECT line_item_id FROM ext_items) THEN 1 ELSE 0 END)
+           AS has_ext_destination
+  FROM line_item_master m WHERE m.line_item_id IN (SELECT line_item_id FROM oo_ids) GROUP BY m.line_item_id
 ),
-rev_before AS (
-  SELECT md.advertiser_id, md.site, oa.strategy, SUM(md.cost_usd) AS rev_before
-  FROM daily_metrics md JOIN oo_adv oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  WHERE {BEFORE} AND {SCOPE} AND {S3} = oa.strategy
-  GROUP BY 1, 2, 3
+scoped AS (
+  SELECT md.*, {S3} AS strategy, md.line_item_id IN (SELECT line_item_id FROM oo_ids) AS is_oo
+  FROM daily_metrics md WHERE {SCOPE}
 ),
-oo_ids AS (SELECT DISTINCT line_item_id FROM line_item WHERE UPPER(inventory) = 'OFF'),
-rev_after AS (
-  SELECT md.advertiser_id, md.site, oa.strategy, SUM(md.cost_usd) AS rev_after_total,
-         SUM(CASE WHEN o.line_item_id IS NOT NULL THEN md.cost_usd ELSE 0 END) AS rev_after_oo,
-         SUM(CASE WHEN {ON} THEN md.cost_usd ELSE 0 END) AS rev_after_in_meli
-  FROM daily_metrics md JOIN oo_adv oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  LEFT JOIN oo_ids o ON o.line_item_id = md.line_item_id
-  WHERE {AFTER} AND {SCOPE} AND {S3} = oa.strategy
-  GROUP BY 1, 2, 3
+adopter_groups AS (
+  SELECT s.site, s.advertiser_id, s.strategy, MIN(s.advertiser_name) AS advertiser_name,
+         MIN(s.vertical) AS vertical,
+         MAX(CASE WHEN s.line_item_id IN (SELECT line_item_id FROM ext_items) THEN 1 ELSE 0 END) AS has_dot_com
+  FROM scoped s WHERE s.is_oo AND {_win("s", CFG.launch_date, CFG.analysis_end)} AND s.cost_usd > 0
+  GROUP BY s.site, s.advertiser_id, s.strategy
 ),
 arpu AS (
-  SELECT oa.site, oa.advertiser_id, oa.advertiser_name, oa.vertical, oa.has_dot_com, oa.strategy,
-         CAST(COALESCE(b.rev_before, 0) AS DOUBLE) AS rev_before,
-         CAST(COALESCE(a.rev_after_total, 0) AS DOUBLE) AS rev_after_total,
-         CAST(COALESCE(a.rev_after_oo, 0) AS DOUBLE) AS rev_after_oo,
-         CAST(COALESCE(a.rev_after_in_meli, 0) AS DOUBLE) AS rev_after_in_meli
-  FROM oo_adv oa
-  LEFT JOIN rev_before b ON b.advertiser_id = oa.advertiser_id AND b.site = oa.site AND b.strategy = oa.strategy
-  LEFT JOIN rev_after a ON a.advertiser_id = oa.advertiser_id AND a.site = oa.site AND a.strategy = oa.strategy
+  SELECT g.site, g.advertiser_id, g.advertiser_name, g.vertical, g.has_dot_com, g.strategy,
+    CAST(COALESCE((SELECT SUM(x.cost_usd) FROM scoped x
+                   WHERE x.site = g.site AND x.advertiser_id = g.advertiser_id AND x.strategy = g.strategy
+                     AND {_win("x", CFG.before_start, CFG.before_end)}), 0) AS DOUBLE) AS rev_before,
+    CAST(COALESCE((SELECT SUM(x.cost_usd) FROM scoped x
+                   WHERE x.site = g.site AND x.advertiser_id = g.advertiser_id AND x.strategy = g.strategy
+                     AND {_win("x", CFG.launch_date, CFG.analysis_end)}), 0) AS DOUBLE) AS rev_after_total,
+    CAST(COALESCE((SELECT SUM(x.cost_usd) FROM scoped x
+                   WHERE x.site = g.site AND x.advertiser_id = g.advertiser_id AND x.strategy = g.strategy
+                     AND x.is_oo AND {_win("x", CFG.launch_date, CFG.analysis_end)}), 0) AS DOUBLE) AS rev_after_oo,
+    CAST(COALESCE((SELECT SUM(x.cost_usd) FROM scoped x
+                   WHERE x.site = g.site AND x.advertiser_id = g.advertiser_id AND x.strategy = g.strategy
+                     AND x.page_name != '{C.OFFSITE_PAGE}' AND {_win("x", CFG.launch_date, CFG.analysis_end)}), 0)
+         AS DOUBLE) AS rev_after_in_meli
+  FROM adopter_groups g
 )"""
 
-NUEVOS = f"""oo_adv4 AS (
-  SELECT md.advertiser_id, md.site
+# First-timers: buyers of off-only items reaching the minimum spend; "new"
+# means no matching positive-cost row exists in the history window.
+NUEVOS = f"""buyers AS (
+  SELECT md.site, md.advertiser_id
   FROM daily_metrics md
   WHERE md.line_item_id IN ({OO_IDS}) AND {AFTER} AND md.cost_usd > 0
-  GROUP BY md.advertiser_id, md.site
+  GROUP BY md.site, md.advertiser_id
   HAVING SUM(md.cost_usd) >= {CFG.min_spend}
 ),
-history_adx AS (
-  SELECT md.advertiser_id, md.site
-  FROM daily_metrics md JOIN oo_adv4 oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  WHERE {HISTORY} AND {OFF} AND md.cost_usd > 0
-  GROUP BY 1, 2
-),
-history_dsp AS (
-  SELECT DISTINCT md.advertiser_id, md.site
-  FROM daily_metrics md JOIN oo_adv4 oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  WHERE {HISTORY} AND md.cost_usd > 0
-),
 nuevos AS (
-  SELECT oa.site, oa.advertiser_id, adv.advertiser_name,
-         (ha.advertiser_id IS NULL) AS nuevo_en_adx, (hd.advertiser_id IS NULL) AS nuevo_en_dsp
-  FROM oo_adv4 oa
-  LEFT JOIN advertiser adv ON adv.advertiser_id = oa.advertiser_id
-  LEFT JOIN history_adx ha ON ha.advertiser_id = oa.advertiser_id AND ha.site = oa.site
-  LEFT JOIN history_dsp hd ON hd.advertiser_id = oa.advertiser_id AND hd.site = oa.site
+  SELECT b.site, b.advertiser_id, a.advertiser_name,
+    NOT EXISTS (SELECT 1 FROM daily_metrics h
+                WHERE h.advertiser_id = b.advertiser_id AND h.site = b.site AND h.cost_usd > 0
+                  AND h.page_name = '{C.OFFSITE_PAGE}' AND {_win("h", CFG.history_start, CFG.history_end)}) AS nuevo_en_adx,
+    NOT EXISTS (SELECT 1 FROM daily_metrics h
+                WHERE h.advertiser_id = b.advertiser_id AND h.site = b.site AND h.cost_usd > 0
+                  AND {_win("h", CFG.history_start, CFG.history_end)}) AS nuevo_en_dsp
+  FROM buyers b LEFT JOIN advertiser a ON a.advertiser_id = b.advertiser_id
 )"""
 
-IAB_LI = f"""iab_li AS (
-  SELECT DISTINCT CAST(lic.line_item_id AS BIGINT) AS line_item_id
-  FROM creative c JOIN line_item_creative lic ON c.creative_id = lic.creative_id
-  WHERE c.advertiser_id NOT IN ({", ".join(str(x) for x in CFG.excluded_creative_advertisers)})
-    AND json_type(c.images) = 'VARCHAR'
-    AND list_contains(json_extract_string(json_extract_string(c.images, '$'), '$[*].type'), '{CFG.creative_format}')
-)"""
+_EXCLUDED = ", ".join(str(x) for x in CFG.excluded_creative_advertisers)
+_HAS_FORMAT = (
+    "json_type(c.images) = 'VARCHAR' AND list_contains(json_extract_string(json_extract_string(c.images, '$'), "
+    f"'$[*].type'), '{CFG.creative_format}')"
+)
 
-IAB = f"""{IAB_LI},
-active_display_li AS (
+# Creative format: the flag is a membership predicate on the line item.
+IAB = f"""format_items AS (
+  SELECT DISTINCT CAST(lic.line_item_id AS BIGINT) AS line_item_id
+  FROM line_item_creative lic
+  WHERE EXISTS (SELECT 1 FROM creative c
+                WHERE c.creative_id = lic.creative_id AND c.advertiser_id NOT IN ({_EXCLUDED}) AND {_HAS_FORMAT})
+),
+iab AS (
   SELECT DISTINCT md.site, md.campaign_id, md.line_item_id, md.advertiser_id,
-         CASE WHEN UPPER(li.inventory) = 'OFF' THEN 'ONLY_OFF' WHEN UPPER(li.inventory) = 'MELI_OFF' THEN 'IN_PLUS_OFF'
-              ELSE 'ONLY_IN' END AS inv_setting,
-         {S5} AS strategy
+         CASE UPPER(li.inventory) WHEN 'OFF' THEN 'ONLY_OFF' WHEN 'MELI_OFF' THEN 'IN_PLUS_OFF' ELSE 'ONLY_IN' END
+           AS inv_setting,
+         {S5} AS strategy,
+         COALESCE(md.line_item_id IN (SELECT line_item_id FROM format_items), FALSE) AS has_iab_creative
   FROM daily_metrics md LEFT JOIN line_item li ON li.line_item_id = md.line_item_id
   WHERE {AFTER} AND {SCOPE} AND md.campaign_target IN {_in(C.TARGETS_CREATIVE)} AND md.cost_usd > 0
-),
-iab AS (
-  SELECT dl.site, dl.campaign_id, dl.line_item_id, dl.advertiser_id, dl.inv_setting, dl.strategy,
-         (iab.line_item_id IS NOT NULL) AS has_iab_creative
-  FROM active_display_li dl LEFT JOIN iab_li iab ON iab.line_item_id = dl.line_item_id
 )"""
 
 EXTRACT_CTES = {"enet": ENET, "aw_denom": DENOM, "arpu": ARPU, "nuevos": NUEVOS, "iab": IAB}
@@ -475,7 +477,7 @@ OPS_SQL = {
             FROM {_FACT} GROUP BY 1, 2, 3, 4""",
     ),
     "op_destination_flag": oracle(
-        ARPU.split(",\noo_adv AS")[0], "SELECT line_item_id, has_ext_destination FROM li_destination"
+        ARPU.split(",\nscoped AS")[0], "SELECT line_item_id, has_ext_destination FROM destination_flag"
     ),
     "op_semi_join": oracle(
         "",

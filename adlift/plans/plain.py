@@ -1,138 +1,119 @@
-"""Plain forms of the multi-scan extracts, in Spark SQL.
+"""Plain forms of the multi-scan extracts.
 
-These state the extracts the literal way — one fact scan per sub-query,
-``IN`` subqueries (planned as semi / existence joins), joins before
-aggregates — and exist to be compared with the optimised forms in
-``extracts`` (tests check equal rows; the benchmark times both).  Dates are
-bound as named parameters, sources as DataFrame arguments; no text is
-spliced into the SQL.
+The straightforward plan shape: every sub-result reads the fact on its own
+(cohort, before window, after window; cohort, two histories), rows are
+joined to the cohort before they are aggregated, and dimensions are joined
+as they are.  They exist to be compared with the optimised forms in
+``extracts`` — tests check equal rows, the benchmark times both — and are
+not used by the report.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import strategy
+from ..operators import display_scope, in_window, is_offsite, is_onsite, only_off_ids, positive_cost
 from ..sources.registry import Sources
 
-_S3 = (
-    "CASE WHEN UPPER(md.campaign_target) IN ('REACH', 'IMPRESSION', 'IMPRESSIONS') THEN 'AWARENESS' "
-    "WHEN UPPER(md.campaign_target) IN ('CPA', 'CONVERSION', 'CONVERSIONS') THEN 'CONVERSION' "
-    "ELSE 'CONSIDERACION' END"
-)
-_SCOPE = (
-    "md.campaign_type = 'PROGRAMMATIC' AND md.product_type = 'DSP_SELFSERVICE' "
-    "AND UPPER(md.line_item_type) NOT IN ('VIDEO', 'SOCIAL')"
-)
-_OO = "SELECT line_item_id FROM {li} WHERE UPPER(inventory) = 'OFF'"
+KEYS3 = ["advertiser_id", "site", "strategy"]
+KEYS2 = ["advertiser_id", "site"]
 
-ADOPTERS_SQL = f"""
-WITH li_destination AS (
-  SELECT m.line_item_id,
-         MAX(CASE WHEN UPPER(d.destination_subtype) IN ('CLICK_OFF', 'CLICK_OFF_SAFE') THEN 1 ELSE 0 END)
-           AS has_ext_destination
-  FROM {{master}} m
-  LEFT JOIN {{rel}} r ON r.line_item_id = m.line_item_id
-  LEFT JOIN {{hist}} h ON h.creative_id = r.creative_id
-  LEFT JOIN {{dest}} d ON d.destination_id = h.creative_destination_id
-  WHERE m.line_item_id IN ({_OO})
-  GROUP BY m.line_item_id
-),
-oo_adv AS (
-  SELECT md.advertiser_id, md.site, MIN(md.advertiser_name) AS advertiser_name, MIN(md.vertical) AS vertical,
-         MAX(COALESCE(ld.has_ext_destination, 0)) AS has_dot_com, {_S3} AS strategy
-  FROM {{md}} md LEFT JOIN li_destination ld ON ld.line_item_id = md.line_item_id
-  WHERE md.line_item_id IN ({_OO})
-    AND md.event_local_dt BETWEEN :launch AND :analysis_end AND {_SCOPE} AND md.cost_usd > 0
-  GROUP BY md.advertiser_id, md.site, {_S3}
-),
-rev_before AS (
-  SELECT md.advertiser_id, md.site, oa.strategy, SUM(md.cost_usd) AS rev_before
-  FROM {{md}} md JOIN oo_adv oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  WHERE md.event_local_dt BETWEEN :before_start AND :before_end AND {_SCOPE} AND {_S3} = oa.strategy
-  GROUP BY 1, 2, 3
-),
-rev_after AS (
-  SELECT md.advertiser_id, md.site, oa.strategy, SUM(md.cost_usd) AS rev_after_total,
-         SUM(CASE WHEN md.line_item_id IN ({_OO}) THEN md.cost_usd ELSE 0 END) AS rev_after_oo,
-         SUM(CASE WHEN md.page_name != 'adx-display' THEN md.cost_usd ELSE 0 END) AS rev_after_in_meli
-  FROM {{md}} md JOIN oo_adv oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  WHERE md.event_local_dt BETWEEN :launch AND :analysis_end AND {_SCOPE} AND {_S3} = oa.strategy
-  GROUP BY 1, 2, 3
-)
-SELECT oa.site, oa.advertiser_id, oa.advertiser_name, oa.vertical, oa.has_dot_com, oa.strategy,
-       CAST(COALESCE(b.rev_before, 0) AS DOUBLE) AS rev_before,
-       CAST(COALESCE(a.rev_after_total, 0) AS DOUBLE) AS rev_after_total,
-       CAST(COALESCE(a.rev_after_oo, 0) AS DOUBLE) AS rev_after_oo,
-       CAST(COALESCE(a.rev_after_in_meli, 0) AS DOUBLE) AS rev_after_in_meli
-FROM oo_adv oa
-LEFT JOIN rev_before b ON b.advertiser_id = oa.advertiser_id AND b.site = oa.site AND b.strategy = oa.strategy
-LEFT JOIN rev_after a ON a.advertiser_id = oa.advertiser_id AND a.site = oa.site AND a.strategy = oa.strategy
-"""
-
-FIRST_TIME_SQL = f"""
-WITH oo_adv AS (
-  SELECT md.advertiser_id, md.site
-  FROM {{md}} md
-  WHERE md.line_item_id IN ({_OO}) AND md.event_local_dt BETWEEN :launch AND :analysis_end AND md.cost_usd > 0
-  GROUP BY md.advertiser_id, md.site
-  HAVING SUM(md.cost_usd) >= :min_spend
-),
-history_adx AS (
-  SELECT md.advertiser_id, md.site
-  FROM {{md}} md JOIN oo_adv oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  WHERE md.event_local_dt BETWEEN :history_start AND :launch - INTERVAL 1 DAY
-    AND md.page_name = 'adx-display' AND md.cost_usd > 0
-  GROUP BY 1, 2
-),
-history_dsp AS (
-  SELECT DISTINCT md.advertiser_id, md.site
-  FROM {{md}} md JOIN oo_adv oa ON oa.advertiser_id = md.advertiser_id AND oa.site = md.site
-  WHERE md.event_local_dt BETWEEN :history_start AND :launch - INTERVAL 1 DAY AND md.cost_usd > 0
-)
-SELECT oa.site, oa.advertiser_id, adv.advertiser_name,
-       (ha.advertiser_id IS NULL) AS nuevo_en_adx, (hd.advertiser_id IS NULL) AS nuevo_en_dsp
-FROM oo_adv oa
-LEFT JOIN {{adv}} adv ON adv.advertiser_id = oa.advertiser_id
-LEFT JOIN history_adx ha ON ha.advertiser_id = oa.advertiser_id AND ha.site = oa.site
-LEFT JOIN history_dsp hd ON hd.advertiser_id = oa.advertiser_id AND hd.site = oa.site
-"""
 
-
-def _args(cfg: C.LaunchConfig) -> dict:
-    return {
-        "launch": cfg.launch_date,
-        "analysis_end": cfg.analysis_end,
-        "before_start": cfg.before_start,
-        "before_end": cfg.before_end,
-        "history_start": cfg.history_start,
-        "min_spend": float(cfg.min_spend),
-    }
+def _destination_flag(src: Sources, oo: DataFrame) -> DataFrame:
+    """Per off-only item of the master: 1 when any creative along the
+    link -> history -> destination left-join chain has an external subtype."""
+    hist, dest = src.creative_history, src.destination
+    chain = (
+        src.line_item_master.select("line_item_id")
+        .join(oo, "line_item_id", "left_semi")
+        .join(src.line_item_creative_rel.select("line_item_id", "creative_id"), "line_item_id", "left")
+        .join(hist.select("creative_id", "creative_destination_id"), "creative_id", "left")
+        .join(dest, F.col("creative_destination_id") == dest["destination_id"], "left")
+    )
+    ext = F.upper(F.col("destination_subtype")).isin(*C.EXTERNAL_DESTINATION_SUBTYPES)
+    return chain.groupBy("line_item_id").agg(F.max(F.when(ext, 1).otherwise(0)).alias("ext"))
 
 
 def ext_adopters_plain(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
-    """Adopters as three fact scans, joins first, ``IN`` inside the sum."""
-    spark = src.daily_metrics.sparkSession
-    a = _args(cfg)
-    used = {k: a[k] for k in ("launch", "analysis_end", "before_start", "before_end")}
-    return spark.sql(
-        ADOPTERS_SQL,
-        args=used,
-        md=src.daily_metrics,
-        li=src.line_item,
-        master=src.line_item_master,
-        rel=src.line_item_creative_rel,
-        hist=src.creative_history,
-        dest=src.destination,
+    """Adopters with three fact scans and joins before aggregates."""
+    md = src.daily_metrics.withColumn("strategy", strategy(F.col("campaign_target"), C.STRATEGY_ADOPTERS))
+    oo = only_off_ids(src.line_item)
+    after = in_window(cfg.launch_date, cfg.analysis_end)
+    cohort = (
+        md.where(after & display_scope() & positive_cost())
+        .join(oo, "line_item_id", "left_semi")
+        .join(_destination_flag(src, oo), "line_item_id", "left")
+        .groupBy(*KEYS3)
+        .agg(
+            F.min("advertiser_name").alias("advertiser_name"),
+            F.min("vertical").alias("vertical"),
+            F.max(F.coalesce(F.col("ext"), F.lit(0))).alias("has_dot_com"),
+        )
+    )
+    members = cohort.select(*KEYS3)
+    cost = F.col("cost_usd")
+    before = (
+        md.where(in_window(cfg.before_start, cfg.before_end) & display_scope())
+        .join(members, KEYS3)
+        .groupBy(*KEYS3)
+        .agg(F.sum(cost).alias("rev_before"))
+    )
+    oo_marks = oo.withColumn("is_oo", F.lit(True))
+    after_sums = (
+        md.where(after & display_scope())
+        .join(members, KEYS3)
+        .join(oo_marks, "line_item_id", "left")
+        .groupBy(*KEYS3)
+        .agg(
+            F.sum(cost).alias("rev_after_total"),
+            F.sum(F.when(F.col("is_oo"), cost).otherwise(0)).alias("rev_after_oo"),
+            F.sum(F.when(is_onsite(), cost).otherwise(0)).alias("rev_after_in_meli"),
+        )
+    )
+    out = cohort.join(before, KEYS3, "left").join(after_sums, KEYS3, "left")
+    return out.select(
+        "site",
+        "advertiser_id",
+        "advertiser_name",
+        "vertical",
+        "has_dot_com",
+        "strategy",
+        *[
+            F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c)
+            for c in ("rev_before", "rev_after_total", "rev_after_oo", "rev_after_in_meli")
+        ],
     )
 
 
 def ext_first_time_plain(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
-    """First-time buyers as three fact scans (cohort, two histories)."""
-    spark = src.daily_metrics.sparkSession
-    a = _args(cfg)
-    used = {k: a[k] for k in ("launch", "analysis_end", "history_start", "min_spend")}
-    return spark.sql(FIRST_TIME_SQL, args=used, md=src.daily_metrics, li=src.line_item, adv=src.advertiser)
+    """First-time buyers with three fact scans (cohort, two histories)."""
+    md = src.daily_metrics
+    cohort = (
+        md.where(in_window(cfg.launch_date, cfg.analysis_end) & positive_cost())
+        .join(only_off_ids(src.line_item), "line_item_id", "left_semi")
+        .groupBy(*KEYS2)
+        .agg(F.sum("cost_usd").alias("spend"))
+        .where(F.col("spend") >= F.lit(cfg.min_spend))
+        .select(*KEYS2)
+    )
+    history = md.where(in_window(cfg.history_start, cfg.history_end) & positive_cost())
+    seen_offsite = history.where(is_offsite()).join(cohort, KEYS2).select(*KEYS2).distinct()
+    seen_any = history.join(cohort, KEYS2).select(*KEYS2).distinct()
+    return (
+        cohort.join(src.advertiser.select("advertiser_id", "advertiser_name"), "advertiser_id", "left")
+        .join(seen_offsite.withColumn("h_adx", F.lit(True)), KEYS2, "left")
+        .join(seen_any.withColumn("h_dsp", F.lit(True)), KEYS2, "left")
+        .select(
+            "site",
+            "advertiser_id",
+            "advertiser_name",
+            F.col("h_adx").isNull().alias("nuevo_en_adx"),
+            F.col("h_dsp").isNull().alias("nuevo_en_dsp"),
+        )
+    )
 
 
 PLAIN = {"ext_adopters_plain": ext_adopters_plain, "ext_first_time_plain": ext_first_time_plain}
