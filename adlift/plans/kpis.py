@@ -117,7 +117,10 @@ def kpi_volume_by_inventory(enet: DataFrame) -> DataFrame:
         g.withColumn("cpm", safe_ratio(F.col("rev"), F.col("prints_total"), 1000))
         .withColumn("inv_label", inventory_label(F.col("inv_setting")))
         .withColumn("inv_priority", inventory_priority(F.col("inv_setting")))
-        .orderBy(F.desc("inv_priority"))
+        # at most three rows (one per category): sorted in one partition,
+        # without the sampling job of a global sort
+        .coalesce(1)
+        .sortWithinPartitions(F.desc("inv_priority"))
     )
 
 
@@ -179,7 +182,8 @@ def kpi_adoption_rates(enet: DataFrame, denom: DataFrame) -> DataFrame:
             ratio_or_zero(F.col("rev"), _scalar(tot, "total_rev")).alias("rev_pct"),
             "ord",
         )
-        .orderBy("ord")
+        .coalesce(1)
+        .sortWithinPartitions("ord")
         .drop("ord")
     )
 
