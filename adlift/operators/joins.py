@@ -40,10 +40,14 @@ def left_join_nullable_key(df: DataFrame, right: DataFrame, key: str, spread: in
     that is often NULL would land in one task.  Rows with a NULL key get a
     salt in ``1..spread`` taken from a hash of their other columns
     (deterministic, so a retried task places them the same way); the right
-    side has salt 0.  The join is on ``(key, salt)``: NULL rows still never
+    side has salt 0 (a frame with only the key column is salted by its input
+    partition).  The join is on ``(key, salt)``: NULL rows still never
     match, but they are spread over many partitions.  Nothing is dropped.
     """
     others = [c for c in df.columns if c != key]
-    salt = F.when(F.col(key).isNull(), F.lit(1) + F.pmod(F.xxhash64(*others), F.lit(spread))).otherwise(F.lit(0))
+    # with no other column to hash, the input partition (stable across task
+    # retries) spreads them instead
+    basis = F.xxhash64(*others) if others else F.spark_partition_id().cast("bigint")
+    salt = F.when(F.col(key).isNull(), F.lit(1) + F.pmod(basis, F.lit(spread))).otherwise(F.lit(0))
     left = df.withColumn("__salt", salt.cast("int"))
     return left.join(right.withColumn("__salt", F.lit(0)), [key, "__salt"], "left").drop("__salt")

@@ -525,6 +525,63 @@ OPS_SQL = {
     ),
 }
 
+_ADOPTER_KEYS = ARPU.split(",\narpu AS")[0]
+
+OPS_SQL.update({
+    "op_not_in_null": oracle(
+        "",
+        f"""SELECT md.line_item_type, COUNT(*) AS n_rows FROM {_FACT}
+            WHERE UPPER(md.line_item_type) NOT IN {_in(C.SCOPE_EXCLUDED_LINE_TYPES)} GROUP BY 1""",
+    ),
+    "op_left_join": oracle(
+        "",
+        f"""SELECT DISTINCT md.line_item_id, li.inventory
+            FROM {_FACT} LEFT JOIN line_item li ON li.line_item_id = md.line_item_id WHERE {AFTER}""",
+    ),
+    "op_cohort_restrict": oracle(
+        f"""buyers AS (
+              SELECT md.advertiser_id, md.site FROM {_FACT}
+              WHERE md.line_item_id IN ({OO_IDS}) AND {AFTER} AND md.cost_usd > 0
+              GROUP BY 1, 2 HAVING SUM(md.cost_usd) >= {CFG.min_spend})""",
+        f"""SELECT b.advertiser_id, b.site, COUNT(*) AS n_rows
+            FROM buyers b JOIN daily_metrics h ON h.advertiser_id = b.advertiser_id AND h.site = b.site
+            WHERE {_win("h", CFG.history_start, CFG.history_end)} AND h.cost_usd > 0 GROUP BY 1, 2""",
+    ),
+    "op_computed_key_join": oracle(
+        _ADOPTER_KEYS,
+        f"""SELECT g.advertiser_id, g.site, g.strategy, CAST(SUM(x.cost_usd) AS DOUBLE) AS rev_before
+            FROM adopter_groups g
+            JOIN scoped x ON x.advertiser_id = g.advertiser_id AND x.site = g.site AND x.strategy = g.strategy
+            WHERE {_win("x", CFG.before_start, CFG.before_end)} GROUP BY 1, 2, 3""",
+    ),
+    "op_existence_in_aggregate": oracle(
+        "",
+        f"""SELECT md.advertiser_id, md.site, {S3} AS strategy, CAST(SUM(md.cost_usd) AS DOUBLE) AS cost_total,
+                   CAST(SUM(CASE WHEN md.line_item_id IN ({OO_IDS}) THEN md.cost_usd ELSE 0 END) AS DOUBLE) AS cost_oo
+            FROM {_FACT} WHERE {AFTER} AND {SCOPE} GROUP BY 1, 2, 3""",
+    ),
+    "op_anti_flag": oracle(
+        "",
+        """SELECT m.line_item_id,
+                  NOT EXISTS (SELECT 1 FROM line_item_creative_rel r WHERE r.line_item_id = m.line_item_id) AS no_creative
+           FROM line_item_master m""",
+    ),
+    "op_anti_join": oracle(
+        "",
+        f"""SELECT a.advertiser_id, a.advertiser_name FROM advertiser a
+            WHERE NOT EXISTS (SELECT 1 FROM {_FACT} WHERE {AFTER} AND md.advertiser_id IS NOT DISTINCT FROM a.advertiser_id)""",
+    ),
+    "op_any_value": oracle(
+        "", f"SELECT md.site, md.advertiser_id, MIN(md.advertiser_name) AS advertiser_name FROM {_FACT} WHERE {AFTER} GROUP BY 1, 2"
+    ),
+    "op_group_by_expression": oracle(
+        "",
+        f"""SELECT {S2} AS strategy, COUNT(*) AS n_rows, CAST(SUM(md.cost_usd) AS DOUBLE) AS cost
+            FROM {_FACT} WHERE {AFTER} GROUP BY 1""",
+    ),
+})
+
+
 QC_DUPLICATES = oracle(
     "",
     """SELECT 'line_item' AS table_name, CAST(line_item_id AS BIGINT) AS key_value, COUNT(*) AS n_rows

@@ -22,6 +22,8 @@ from ..functions import (
     strategy,
 )
 from ..operators import (
+    absent_flag,
+    anti_join_null_safe,
     any_flag,
     cond_sum,
     display_scope,
@@ -29,8 +31,10 @@ from ..operators import (
     inventory_multiplicity,
     is_offsite,
     is_onsite,
+    left_join_nullable_key,
     off_item_flags,
     only_off_ids,
+    pick_value,
     positive_cost,
 )
 from ..session import scratch_path
@@ -190,6 +194,91 @@ def op_safe_ratio(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     )
 
 
+def op_not_in_null(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Rows per line item type kept by ``UPPER(type) NOT IN ('VIDEO', 'SOCIAL')``
+    (a NULL type is not kept)."""
+    kept = ~F.upper(F.col("line_item_type")).isin(*C.SCOPE_EXCLUDED_LINE_TYPES)
+    return src.daily_metrics.where(kept).groupBy("line_item_type").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def op_left_join(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Line items delivered after launch with their inventory (NULL when the
+    dimension has no row; every dimension row of the item is kept)."""
+    items = src.daily_metrics.where(_after(cfg)).select("line_item_id").distinct()
+    dim = src.line_item.select("line_item_id", "inventory")
+    return left_join_nullable_key(items, dim, "line_item_id").distinct()
+
+
+def op_cohort_restrict(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Positive-cost history rows of the first-timer cohort, per advertiser x
+    site (the fact restricted to a composite-key cohort)."""
+    cohort = op_having(src, cfg).select("advertiser_id", "site")
+    hist = src.daily_metrics.where(in_window(cfg.history_start, cfg.history_end) & positive_cost())
+    per_key = hist.groupBy("advertiser_id", "site").agg(F.count(F.lit(1)).alias("n_rows"))
+    return per_key.join(cohort, ["advertiser_id", "site"])
+
+
+def op_computed_key_join(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Before-window revenue of each adopter group, matched on advertiser,
+    site and the strategy computed from the row's target."""
+    groups = ext_adopters(src, cfg).select("advertiser_id", "site", "strategy")
+    rows = src.daily_metrics.where(in_window(cfg.before_start, cfg.before_end) & display_scope())
+    keyed = rows.groupBy(
+        "advertiser_id", "site", strategy(F.col("campaign_target"), C.STRATEGY_ADOPTERS).alias("strategy")
+    ).agg(F.sum("cost_usd").alias("rev_before"))
+    return keyed.join(groups, ["advertiser_id", "site", "strategy"])
+
+
+def op_existence_in_aggregate(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Per advertiser x site x strategy after launch: total cost and the part
+    on off-only line items (``SUM(CASE WHEN id IN (...) ...)``)."""
+    rows = src.daily_metrics.where(_after(cfg) & display_scope())
+    per_item = rows.groupBy(
+        "advertiser_id",
+        "site",
+        strategy(F.col("campaign_target"), C.STRATEGY_ADOPTERS).alias("strategy"),
+        "line_item_id",
+    ).agg(F.sum("cost_usd").alias("cost"))
+    marks = only_off_ids(src.line_item).withColumn("is_oo", F.lit(True))
+    j = left_join_nullable_key(per_item, marks, "line_item_id")
+    return j.groupBy("advertiser_id", "site", "strategy").agg(
+        F.sum("cost").alias("cost_total"),
+        F.coalesce(F.sum(F.when(F.col("is_oo"), F.col("cost"))), F.lit(0.0)).alias("cost_oo"),
+    )
+
+
+def op_anti_flag(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Every master line item with whether it has no creative link (all rows kept)."""
+    return absent_flag(
+        src.line_item_master.select("line_item_id"), src.line_item_creative_rel, ["line_item_id"], "no_creative"
+    )
+
+
+def op_anti_join(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Advertisers of the dimension with no delivery after launch."""
+    active = src.daily_metrics.where(_after(cfg)).select("advertiser_id")
+    return anti_join_null_safe(src.advertiser.select("advertiser_id", "advertiser_name"), active, "advertiser_id")
+
+
+def op_any_value(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """One name per advertiser x site after launch (the smallest: a
+    deterministic ``ANY_VALUE``), folded by name first so the pass over the
+    fact stays hash-based."""
+    per_name = src.daily_metrics.where(_after(cfg)).groupBy("site", "advertiser_id", "advertiser_name").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return per_name.groupBy("site", "advertiser_id").agg(pick_value(F.col("advertiser_name")).alias("advertiser_name"))
+
+
+def op_group_by_expression(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Rows and cost after launch grouped by the strategy computed from the
+    target (population rules)."""
+    rows = src.daily_metrics.where(_after(cfg))
+    return rows.groupBy(strategy(F.col("campaign_target"), C.STRATEGY_POPULATION).alias("strategy")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("cost_usd").alias("cost")
+    )
+
+
 def csv_replay(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     """Adopters written as CSV to the shared folder and read back with the
     live schema: the replayed rows must equal the live ones."""
@@ -216,4 +305,13 @@ OPS = {
     "op_conditional_sum": op_conditional_sum,
     "op_any_flag": op_any_flag,
     "op_safe_ratio": op_safe_ratio,
+    "op_not_in_null": op_not_in_null,
+    "op_left_join": op_left_join,
+    "op_cohort_restrict": op_cohort_restrict,
+    "op_computed_key_join": op_computed_key_join,
+    "op_existence_in_aggregate": op_existence_in_aggregate,
+    "op_anti_flag": op_anti_flag,
+    "op_anti_join": op_anti_join,
+    "op_any_value": op_any_value,
+    "op_group_by_expression": op_group_by_expression,
 }

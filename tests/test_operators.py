@@ -47,3 +47,9 @@ def test_distinct_counts_two_step(spark):
     )
     got = distinct_counts(df, "c", {"nx": F.col("x"), "ny": F.col("y"), "nxy": F.col("x") & F.col("y")}).first()
     assert (got.nx, got.ny, got.nxy) == (1, 2, 1)
+
+
+def test_left_join_nullable_key_with_only_the_key_column(spark):
+    left = spark.createDataFrame([(None,), (1,), (None,), (2,)], "k bigint").repartition(3)
+    right = spark.createDataFrame([(1, "x")], "k bigint, r string")
+    assert _rows(left_join_nullable_key(left, right, "k")) == _rows(left.join(right, "k", "left"))
