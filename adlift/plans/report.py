@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -250,6 +251,9 @@ def run_report(
         write_extracts(frames, cache, fmt=cache_format)
         rows = {name: int(o.get["rows"]) for name, o in observed.items()}
         ext = read_extracts(src.daily_metrics.sparkSession, cache, fmt=cache_format)
+    # each cached extract feeds several tables: keep it once in executor
+    # memory (spilling to disk); a lost block is re-read from the cache files
+    ext = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in ext.items()}
     tables = {
         "kpi_advertiser_summary": kpis.kpi_advertiser_summary(ext["enet"]),
         "kpi_volume_by_inventory": kpis.kpi_volume_by_inventory(ext["enet"]),
@@ -281,4 +285,6 @@ def run_report(
         paths[name] = p
     paths["bundle"] = f"{root}/bundle"
     write_report_bundle(report_bundle(ext, cfg), paths["bundle"])
+    for v in ext.values():
+        v.unpersist()
     return {"paths": paths, "rows": rows}
