@@ -19,7 +19,7 @@ from pyspark.sql import SparkSession
 
 from .config import LaunchConfig
 from .plans.report import run_report
-from .session import RECOMMENDED_CONF
+from .session import CLUSTER_CONF, RECOMMENDED_CONF
 from .sources.registry import Sources
 
 
@@ -41,7 +41,8 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> dict:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("adlift").getOrCreate()
-    for k, v in RECOMMENDED_CONF.items():
+    local = spark.sparkContext.master.startswith("local")
+    for k, v in {**RECOMMENDED_CONF, **({} if local else CLUSTER_CONF)}.items():
         if spark.conf.get(k, None) in (None, ""):
             spark.conf.set(k, v)
     kw = {"min_spend": args.min_spend} if args.min_spend is not None else {}

@@ -32,6 +32,18 @@ RECOMMENDED_CONF = {
 }
 
 
+#: sizing for a large cluster (applied by the command line when unset): many
+#: initial shuffle partitions, which AQE coalesces to ~128 MB each, so a
+#: multi-terabyte shuffle never puts more than a few hundred MB in one task;
+#: 256 MB scan splits keep the Parquet read at a few hundred thousand tasks
+#: for 100 TB while each split still fits an executor core comfortably
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8192",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "adlift", **conf) -> SparkSession:
     """A session for tests and the benchmark (UI off, checkpoint folder set
     only when the session has none)."""
