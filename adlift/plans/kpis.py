@@ -124,12 +124,6 @@ def kpi_volume_by_inventory(enet: DataFrame) -> DataFrame:
     )
 
 
-def _categories(df: DataFrame) -> DataFrame:
-    """The fixed list of inventory categories (a scaffold of three rows)."""
-    spark = df.sparkSession
-    return spark.createDataFrame([(c, C.INV_LABELS[c], i) for i, c in enumerate(C.INV_ORDER)], "inv_setting string, category string, ord int")
-
-
 # --- population --------------------------------------------------------------
 
 
@@ -161,16 +155,38 @@ def kpi_adoption_rates(enet: DataFrame, denom: DataFrame) -> DataFrame:
     """The three inventory categories in fixed order, each with advertisers
     and revenue (0 when absent) and their share of the population (0 when
     the population is empty).  Shares may exceed 100: the population has a
-    narrower target list than the network items."""
-    # at most one row per category (three), so broadcasting it is bounded
-    vol = kpi_volume_by_inventory(enet).select("inv_setting", "n_adv", "rev")
-    rows = _categories(enet).join(F.broadcast(vol), "inv_setting", "left").select(
-        "inv_setting",
-        "category",
-        "ord",
-        F.coalesce(F.col("n_adv"), F.lit(0)).cast("bigint").alias("n_adv"),
-        F.coalesce(F.col("rev"), F.lit(0.0)).alias("rev"),
+    narrower target list than the network items.
+
+    All three categories come from one two-step aggregate (per advertiser,
+    then global; no ``Expand``, no join); its single row is unfolded into
+    the three category rows."""
+    e = network_items(enet)
+    inv = F.col("inv_setting")
+    per_adv = e.groupBy("advertiser_id").agg(
+        *[F.max(inv == c).alias(f"in_{i}") for i, c in enumerate(C.INV_ORDER)],
+        *[F.sum(F.when(inv == c, F.col("rev_total"))).alias(f"rev_{i}") for i, c in enumerate(C.INV_ORDER)],
+    )
+    known = F.col("advertiser_id").isNotNull()
+    one = per_adv.agg(
+        *[F.count_if(known & F.col(f"in_{i}")).alias(f"n_{i}") for i in range(len(C.INV_ORDER))],
+        *[F.coalesce(F.sum(f"rev_{i}"), F.lit(0.0)).alias(f"r_{i}") for i in range(len(C.INV_ORDER))],
     )
+    rows = one.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("inv_setting"),
+                        F.lit(C.INV_LABELS[c]).alias("category"),
+                        F.lit(i).alias("ord"),
+                        F.col(f"n_{i}").cast("bigint").alias("n_adv"),
+                        F.col(f"r_{i}").alias("rev"),
+                    )
+                    for i, c in enumerate(C.INV_ORDER)
+                ]
+            )
+        ).alias("x")
+    ).select("x.*")
     tot = population_totals(denom)
     return (
         rows.select(
