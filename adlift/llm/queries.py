@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontaminate
+from .fingerprints import edited_fingerprints
 from .mixing import mix
 
 
@@ -17,7 +18,12 @@ def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_document_fingerprints": op10_document_fingerprints,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_pareto_mixing": op9_pareto_mixing,
 }
