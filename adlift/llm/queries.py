@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .fingerprints import edited_fingerprints
 from .mixing import mix
+from .ngram_join import jaccard_components
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,12 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("cls")
+
+
 QUERIES = {
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_pareto_mixing": op9_pareto_mixing,
