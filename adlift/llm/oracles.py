@@ -49,7 +49,29 @@ SELECT doc_id, source, size, source_size, target,
 FROM c
 """
 
+OP7 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b,
+    CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c,
+    CASE WHEN i > 1 THEN w[i - 1] END AS ca, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS cb
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+g AS (SELECT doc_id, a AS g FROM p UNION ALL SELECT doc_id, b FROM p WHERE b IS NOT NULL UNION ALL SELECT doc_id, c FROM p WHERE c IS NOT NULL),
+o AS (SELECT doc_id, g, count(*) AS own FROM g GROUP BY ALL),
+x AS (SELECT doc_id, g, sum(own) OVER (PARTITION BY g) - own AS k FROM o),
+s AS (SELECT p.doc_id, p.n, a.k AS ka, b.k AS kb, c.k AS kc, ca.k AS kca, cb.k AS kcb, (SELECT count(*) FROM p) - p.n AS rest
+  FROM p JOIN x a ON a.doc_id = p.doc_id AND a.g = p.a
+  LEFT JOIN x b ON b.doc_id = p.doc_id AND b.g = p.b LEFT JOIN x c ON c.doc_id = p.doc_id AND c.g = p.c
+  LEFT JOIN x ca ON ca.doc_id = p.doc_id AND ca.g = p.ca LEFT JOIN x cb ON cb.doc_id = p.doc_id AND cb.g = p.cb),
+u AS (SELECT doc_id, n, ln(CASE WHEN kc > 0 THEN kc::DOUBLE / kcb::DOUBLE
+    ELSE (CASE WHEN kc IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN kb > 0 THEN kb::DOUBLE / kca::DOUBLE
+    ELSE (CASE WHEN kb IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END) * (CASE WHEN ka > 0 THEN ka::DOUBLE / rest::DOUBLE ELSE 1.0::DOUBLE / (rest + 1)::DOUBLE END) END) END) AS l FROM s),
+t AS (SELECT doc_id, sum(l) AS l FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(l, 0.0::DOUBLE), 4) AS log_score, round(l / len(w)::DOUBLE, 6) AS mean_log_score
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
 ORACLES = {
+    "op7_stupid_backoff": OP7,
     "op8_benchmark_decontamination": OP8,
     "op9_pareto_mixing": OP9,
 }

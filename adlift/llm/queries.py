@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import decontaminate
 from .fingerprints import edited_fingerprints
+from .lm_scoring import backoff_scores
 from .mixing import mix
 from .ngram_join import jaccard_components
 
@@ -27,7 +29,13 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).drop("cls")
 
 
+def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = backoff_scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 QUERIES = {
+    "op7_stupid_backoff": op7_stupid_backoff,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
