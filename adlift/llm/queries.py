@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import WORD_BPE, table
 from .decontaminate import decontaminate
 from .fingerprints import edited_fingerprints
 from .lm_scoring import backoff_scores
 from .mixing import mix
 from .ngram_join import jaccard_components
+from .token_counts import length_histogram
+from .token_ids import token_ids
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +36,17 @@ def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op5_token_ids": op5_token_ids,
     "op7_stupid_backoff": op7_stupid_backoff,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op10_document_fingerprints": op10_document_fingerprints,
