@@ -13,6 +13,7 @@ from .mixing import mix
 from .ngram_join import jaccard_components
 from .token_counts import length_histogram
 from .token_ids import token_ids
+from .toxicity import toxicity
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
     "op1_token_counts": op1_token_counts,
     "op5_token_ids": op5_token_ids,
     "op7_stupid_backoff": op7_stupid_backoff,
