@@ -32,6 +32,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -311,8 +312,9 @@ def _opened(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls): a row for each document; the
-    smallest doc_id reachable by links, its own included, names a component."""
+    """(doc_id, n_shingles, component_id, cls, root): a row for each document;
+    the smallest doc_id reachable by links, its own included, names a
+    component; cls is the hash of its set, root a hash for its component."""
     rows = stored(_documents(docs, shingle), "shingle-sets")
     levels = _frequency_levels(rows)
     rows = rows.where("block is null")
@@ -337,4 +339,24 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     names = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = member.join(names, "root").select("cls", "component_id", "root")
     out = rows.select("doc_id", "n", "cls").join(named, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", "root")
+
+
+def group_keepers(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their components: the
+    one with the smallest doc_id (null last; equal ids by set), and every
+    document without words.  Repeated rows stand once."""
+    rows = jaccard_components(docs, percent, shingle)
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "cls")
+    first = rows.where("n_shingles > 0").groupBy("root").agg(F.min(order).alias("k")).select("k.doc_id", "k.cls")
+    first = stored(first.select(F.col("doc_id").alias("__id"), F.col("cls").alias("__cls")), "group-keepers")
+
+    @F.pandas_udf("long")
+    def set_class(texts: pd.Series) -> pd.Series:
+        return pd.Series([class_of(shingle_set(w, shingle)) for w in hash_texts(list(texts), SPACES)], dtype="int64")
+
+    # ids are looked up first, so sets are hashed again for keepers' ids alone
+    same_id = docs.join(first, docs["doc_id"].eqNullSafe(first["__id"]))
+    kept = same_id.where(set_class(utf8()) == F.col("__cls")).dropDuplicates(["__id", "__cls"]).select(*[docs[c] for c in docs.columns])
+    blank = docs.where(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return kept.unionByName(blank)

@@ -70,7 +70,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(l, 0.0::DOUBL
 FROM d LEFT JOIN t USING (doc_id)
 """
 
+OP3 = """
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT DISTINCT source, trim(x) AS line FROM (SELECT source, unnest(ls) AS x FROM d) WHERE trim(x) <> '' AND source IS NOT NULL),
+b AS (SELECT list(line) AS bad FROM (SELECT line FROM l GROUP BY line HAVING count(DISTINCT source) >= 5)),
+k AS (SELECT doc_id, text, ls, [x FOR x IN ls IF NOT coalesce(list_contains(bad, trim(x)), false)] AS kept FROM d, b)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(kept, chr(10))) AS text_sha256
+FROM k
+"""
+
+OP2 = r"""
+WITH p AS (SELECT page_id, url, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rule, host, path, action) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'),
+  ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+s AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(action, len(rule)) AS action
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id)
+SELECT p.page_id, p.host, p.path, s.rule, CASE WHEN s.action IS NOT NULL THEN s.action
+  WHEN regexp_matches(low, '(?s)(?:\A|://)(?:[^/?#]*\.)?blog\..*/en/') THEN 'allow'
+  WHEN regexp_matches(low, '(?s)(?:\A|://)(?:[^/?#]*\.)?(?:casino-win|free-bets|cheap-pills)\.') THEN 'block'
+  WHEN contains(low, '/ads/') THEN 'block'
+  WHEN regexp_matches(low, '(?s)[^a-z0-9\-.%_]utm_source=spam(?:[^a-z0-9\-.%_]|\z)') THEN 'block'
+  WHEN regexp_matches(low, '(?s)/en/.*\.php(?:[^a-z0-9\-.%_]|\z)') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM p LEFT JOIN s USING (page_id)
+"""
+
 ORACLES = {
+    "op2_url_filters": OP2,
+    "op3_line_spread": OP3,
     "op7_stupid_backoff": OP7,
     "op8_benchmark_decontamination": OP8,
     "op9_pareto_mixing": OP9,

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .common import WORD_BPE, table
 from .decontaminate import decontaminate
 from .fingerprints import edited_fingerprints
+from .line_spread import without_spread_lines
 from .lm_scoring import backoff_scores
 from .mixing import mix
 from .ngram_join import jaccard_components
 from .token_counts import length_histogram
 from .token_ids import token_ids
 from .toxicity import toxicity
+from .url_filters import judge_urls
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("cls")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("cls", "root")
 
 
 def op7_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +51,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_spread_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES = {
+    "op3_line_spread": op3_line_spread,
+    "op2_url_filters": op2_url_filters,
     "op4_toxicity": op4_toxicity,
     "op1_token_counts": op1_token_counts,
     "op5_token_ids": op5_token_ids,
