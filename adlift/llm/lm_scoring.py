@@ -30,24 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import conf_partitions, utf8
-from .text_hash import SPACES, U64, hash_texts, ngram_hashes
+from .text_hash import SPACES, U64, from_planes, hash_texts, ngram_hashes, planes
 
 ORDER, ALPHA = 3, 0.4
 #: bytes of text in a batch, and of the corpus for each range of the table, about
 BATCH_BYTES, RANGE_BYTES = 8_000_000, 12_000_000
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Byte planes: high bytes that are mostly zero come together, which
-    Spark's shuffle compression then takes out."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
-
-
-def _values(planes: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
-
-
 def _ngrams(words: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The distinct n-grams of a batch (sorted), their counts, and for each
     length the place among them of each n-gram, document after document."""
@@ -102,14 +91,14 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
                 part = distinct[start:end]
                 out["range"].append(r)
                 out["batch"].append(t.column("batch")[0].as_py())
-                out["hashes"].append(_planes(np.diff(part, prepend=U64(0))))
-                out["counts"].append(_planes(counts[start:end].astype(np.uint32)))
+                out["hashes"].append(planes(np.diff(part, prepend=U64(0))))
+                out["counts"].append(planes(counts[start:end].astype(np.uint32)))
                 start = end
         return pa.table(out, pa.schema([("range", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     def total(t: pa.Table) -> pa.Table:
-        hashes = [np.cumsum(_values(x, U64)) for x in t.column("hashes").to_pylist()]
-        counts = np.concatenate([_values(x, np.uint32) for x in t.column("counts").to_pylist()])
+        hashes = [np.cumsum(from_planes(x, U64)) for x in t.column("hashes").to_pylist()]
+        counts = np.concatenate([from_planes(x, np.uint32) for x in t.column("counts").to_pylist()])
         ends = np.cumsum([len(h) for h in hashes])
         every = np.concatenate(hashes)
         del hashes
@@ -119,14 +108,14 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
         sums = np.add.reduceat(counts.astype(np.int64), first)
         back = np.empty(len(every), dtype=np.int64)
         back[order_] = np.repeat(sums, np.diff(np.append(first, len(every))))
-        packed = [zlib.compress(_planes(x), 1) for x in np.split(back, ends[:-1])]
+        packed = [zlib.compress(planes(x), 1) for x in np.split(back, ends[:-1])]
         return pa.table({"range": t.column("range"), "batch": t.column("batch"), "totals": pa.array(packed, pa.binary())})
 
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
         words = hash_texts(t.column("text").to_pylist(), SPACES)
         _, _, places = _ngrams(words, order)
         parts = sorted(zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist()))
-        totals = np.concatenate([_values(zlib.decompress(x), np.int64) for _, x in parts] or [np.empty(0, np.int64)])
+        totals = np.concatenate([from_planes(zlib.decompress(x), np.int64) for _, x in parts] or [np.empty(0, np.int64)])
         n = np.array([len(w) for w in words])
         ends = [np.cumsum(np.maximum(n - k, 0)) for k in range(order)]
         scores = [

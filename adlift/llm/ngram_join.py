@@ -11,13 +11,13 @@ of its shingles, so only such groups are opened and compared member by member.
    the components of these links are clusters, cut into groups of at most
    ``GROUP`` members.
 3. The matrix holds, for each shingle, the groups whose members have it among
-   the first ``n - ceil(n * percent / 100) + 1`` of their shingles.  (In any
-   common order two linked sets share one of these.)  The order takes shingles
-   that a counting sketch over all documents calls frequent last, so a passage
-   that many documents share makes no candidates of them.
-4. Each class meets the groups of larger clusters found in the matrix; the
-   union bounds its overlap, qualifying groups are opened, and the first link
-   into each is kept, which is all that components need.
+   the first ``n - ceil(n * percent / 100) + l`` of their ``n`` shingles.  (In
+   any common order, two linked sets share ``l`` of these.)  The order takes
+   shingles that a counting sketch over all documents calls frequent last, so
+   a passage that many documents share makes no candidates of them.
+4. Each class that has enough shingles of a larger cluster's group in the
+   matrix meets the group; the union bounds its overlap, qualifying groups are
+   opened, and the first link into each is kept, all that components need.
 
 Cases: null text is empty; a document without words has 0 shingles and is its
 own component; with fewer than five words the whole sequence is one shingle;
@@ -41,7 +41,7 @@ from pyspark.sql.window import Window
 
 from .common import conf_partitions, stored, utf8
 from .components import components
-from .text_hash import SPACES, U64, hash_texts, shingle_set
+from .text_hash import SPACES, U64, from_planes, hash_texts, planes, shingle_set
 
 SHINGLE, PERCENT = 5, 75
 #: members of a group at most; queries that meet a group in one call at most
@@ -50,6 +50,8 @@ GROUP, QUERIES = 64, 256
 COUNTERS, BLOCKS = 1 << 22, 16
 #: min-hashes of a document, and how many of them make buckets
 SIGNATURE, BUCKETS = 16, 8
+#: linked sets must share an n-th of their size among their first shingles
+PREFIX = 10
 #: shingles that one task of the matrix step takes, about
 TASK_TOKENS = 4_000_000
 #: bits of the filter of documents whose sets are needed (4 MB)
@@ -63,7 +65,8 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def prefix_length(n, percent: int):
-    return n - -(-n * percent // 100) + 1
+    """First shingles of a set that the matrix holds."""
+    return n - -(-n * percent // 100) + -(-n // PREFIX)
 
 
 def _documents(docs: DataFrame, shingle: int) -> DataFrame:
@@ -136,21 +139,26 @@ def _frequency_levels(rows: DataFrame) -> np.ndarray:
 def _shared_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, shingle: int, percent: int) -> DataFrame:
     """(token, cls) of the prefix shingles that several classes have."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    shift, width = U64(64 - (COUNTERS.bit_length() - 1)), 1 << 20
+    shift, width = U64(64 - (COUNTERS.bit_length() - 1)), 1 << 21
+
+    packing = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary()), ("places", pa.binary())])
 
     def emit(tokens, owners):
         t, o = np.concatenate(tokens), np.concatenate(owners)
         # buckets by the low bits: the order has spent the high ones
         at = (t & U64(0xFFFFFFFF)).astype(np.int64) % buckets
-        order = np.argsort(at, kind="stable")
+        order = np.lexsort((t, at))
         ends = np.searchsorted(at[order], np.arange(buckets + 1))
         t, o = t[order], o[order]
-        full = np.flatnonzero(ends[1:] > ends[:-1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32()), pa.array([t[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary()),
-             pa.array([o[ends[i] : ends[i + 1]].tobytes() for i in full], pa.binary())],
-            names=["bucket", "tokens", "owners"],
-        )
+        out = {"bucket": [], "tokens": [], "owners": [], "places": []}
+        for i in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            part = slice(ends[i], ends[i + 1])
+            owners, places = np.unique(o[part], return_inverse=True)
+            out["bucket"].append(i)
+            out["tokens"].append(planes(np.diff(t[part], prepend=U64(0))))
+            out["owners"].append(owners.tobytes())
+            out["places"].append(planes(places.astype(np.uint32)))
+        return pa.RecordBatch.from_pydict(out, schema=packing)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, tokens, owners, size = shared.value, [], [], 0
@@ -172,8 +180,9 @@ def _shared_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, shingle:
             yield emit(tokens, owners)
 
     def several(t: pa.Table) -> pa.Table:
-        token = np.concatenate([np.frombuffer(x, dtype=U64) for x in t.column("tokens").to_pylist()])
-        owner = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in t.column("owners").to_pylist()])
+        token = np.concatenate([np.cumsum(from_planes(x, U64)) for x in t.column("tokens").to_pylist()])
+        owners = zip(t.column("owners").to_pylist(), t.column("places").to_pylist())
+        owner = np.concatenate([np.frombuffer(x, dtype=np.int64)[from_planes(y, np.uint32)] for x, y in owners])
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
         same = token[1:] == token[:-1]
@@ -187,7 +196,7 @@ def _shared_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, shingle:
         keep = (np.append(same, False) | np.insert(same, 0, False))[: len(token)]
         return pa.table({"token": pa.array(token[keep].view(np.int64)), "cls": pa.array(owner[keep])})
 
-    packed = docs.select(utf8().alias("text")).mapInArrow(prefixes, "bucket int, tokens binary, owners binary")
+    packed = docs.select(utf8().alias("text")).mapInArrow(prefixes, "bucket int, tokens binary, owners binary, places binary")
     return packed.groupBy("bucket").applyInArrow(several, "token bigint, cls bigint")
 
 
@@ -206,6 +215,7 @@ def _needed_filter(needed: DataFrame) -> np.ndarray:
 
 def _sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
     """(cls, tokens) of the needed classes, once each."""
+    needed = stored(needed, "needed-classes")
     shared = docs.sparkSession.sparkContext.broadcast(_needed_filter(needed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,9 +267,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _grouped(classes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cls, cluster, members, grp): every class with its cluster, the
+    """(cls, n, cluster, members, grp): every class with its cluster, the
     cluster's size and its group, a run of at most ``GROUP`` members."""
-    rows = classes.select("cls", "first").join(clusters.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = classes.select("cls", "n", "first").join(clusters.withColumnRenamed("node", "cls"), "cls", "left")
     rows = rows.withColumn("cluster", F.coalesce("root", "cls"))
     sizes = rows.groupBy("cluster").agg(F.count("*").alias("members"))
     rows = rows.join(sizes, "cluster")
@@ -268,18 +278,20 @@ def _grouped(classes: DataFrame, clusters: DataFrame) -> DataFrame:
     rows = rows.withColumn("part", part)
     place = F.row_number().over(Window.partitionBy("cluster", "part").orderBy("first", "cls")) - 1
     grp = F.xxhash64("cluster", "part", F.floor(place / GROUP))
-    return rows.select("cls", "cluster", "members", grp.alias("grp"))
+    return rows.select("cls", "n", "cluster", "members", grp.alias("grp"))
 
 
-def _met_groups(prefixes: DataFrame, grouped: DataFrame) -> DataFrame:
+def _met_groups(prefixes: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
     """(cls, grp): classes and groups of other, larger clusters (equal sizes:
-    with a greater id) that have a prefix shingle in common."""
+    with a greater id) that share enough first shingles."""
     rows = prefixes.join(grouped, "cls")
     two = rows.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
     rows = rows.join(two, "token", "left_semi")
     matrix = rows.select("token", F.col("grp").alias("met"), F.col("cluster").alias("g_cluster"), F.col("members").alias("g_members")).distinct()
     above = (F.col("g_members") > F.col("members")) | ((F.col("g_members") == F.col("members")) & (F.col("g_cluster") > F.col("cluster")))
-    return rows.join(matrix, "token").where(above).select("cls", F.col("met").alias("grp")).distinct()
+    met = rows.join(matrix, "token").where(above).groupBy("cls", F.col("met").alias("grp")).agg(F.first("n").alias("n"), F.count("*").alias("shared"))
+    enough = F.ceil(F.ceil(F.col("n") * percent / 100) / PREFIX)
+    return met.where(F.col("shared") >= enough).select("cls", "grp")
 
 
 def _opened(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -320,15 +332,17 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     rows = rows.where("block is null")
     classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
     classes = stored(classes.withColumn("first", F.element_at("sig", 1)), "shingle-classes")
-    total = rows.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).alias("t")).first()["t"] or 0
+    total = rows.agg(F.sum(F.col("n") * (1 - percent / 100 + 1 / PREFIX) + 2)).first()[0] or 0
     buckets = max(conf_partitions(docs.sparkSession), int(total) // TASK_TOKENS + 1)
-    prefixes = stored(_shared_prefixes(docs, levels, buckets, shingle, percent), "shared-prefixes")
     pairs = stored(_bucket_pairs(classes, percent), "bucket-pairs")
-    needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(prefixes.select("cls")).distinct()
-    sets = stored(_sets(docs, stored(needed, "needed-classes"), shingle), "needed-sets")
-    near = stored(_verified(pairs, sets, percent), "bucket-links")
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    near = stored(_verified(pairs, stored(_sets(docs, ends, shingle), "pair-sets"), percent), "bucket-links")
     grouped = stored(_grouped(classes, components(near)), "groups")
-    more = stored(_opened(_met_groups(prefixes, grouped), grouped, sets, percent), "group-links")
+    prefixes = stored(_shared_prefixes(docs, levels, buckets, shingle, percent), "shared-prefixes")
+    met = stored(_met_groups(prefixes, grouped, percent), "met-groups")
+    members = grouped.join(met.select("grp").distinct(), "grp", "left_semi").select("cls")
+    sets = stored(_sets(docs, met.select("cls").unionByName(members).distinct(), shingle), "group-sets")
+    more = stored(_opened(met, grouped, sets, percent), "group-links")
     # a link found in step 4 joins whole clusters
     whole = grouped.select("cls", "cluster")
     ends = more.join(whole.withColumnRenamed("cls", "a").withColumnRenamed("cluster", "x"), "a")

@@ -131,3 +131,14 @@ def shingle_set(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, dtype=U64)
     h = np.sort(ngram_hashes(words, min(n, len(words))))
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Byte planes of a column: high bytes that are mostly zero come together,
+    where Spark's shuffle compression takes them out."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
