@@ -7,17 +7,19 @@ document can link with a member only if the group's union holds ``percent`` %
 of its shingles, so only such groups are opened and compared member by member.
 
 1. Equal sets become one class, held by one 64-bit hash of the set.
-2. Classes that share a min-hash are compared with the least of their bucket;
-   the components of these links are clusters, cut into groups of at most
-   ``GROUP`` members.
+2. Classes that share one, two or three min-hashes meet ``HUBS`` members of
+   their bucket.  Pairs with a few equal min-hashes partition the classes into
+   groups of about ``GROUP`` similar members at most; pairs with most equal are
+   compared, and their links form first clusters.
 3. The matrix holds, for each shingle, the groups whose members have it among
    the first ``n - ceil(n * percent / 100) + l`` of their ``n`` shingles.  (In
    any common order, two linked sets share ``l`` of these.)  The order takes
    shingles that a counting sketch over all documents calls frequent last, so
    a passage that many documents share makes no candidates of them.
-4. Each class that has enough shingles of a larger cluster's group in the
-   matrix meets the group; the union bounds its overlap, qualifying groups are
-   opened, and the first link into each is kept, all that components need.
+4. A class that shares enough of these with the members of larger clusters in
+   a group meets the group.  The group's union bounds its overlap; qualifying
+   groups are opened, and a link into each cluster found there is kept, all
+   that components need.
 
 Cases: null text is empty; a document without words has 0 shingles and is its
 own component; with fewer than five words the whole sequence is one shingle;
@@ -37,19 +39,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import conf_partitions, stored, utf8
 from .components import components
 from .text_hash import SPACES, U64, from_planes, hash_texts, planes, shingle_set
 
 SHINGLE, PERCENT = 5, 75
-#: members of a group at most; queries that meet a group in one call at most
-GROUP, QUERIES = 64, 256
-#: counters of the sketch (of fixed size, whatever the corpus), in blocks
-COUNTERS, BLOCKS = 1 << 22, 16
-#: min-hashes of a document, and how many of them make buckets
-SIGNATURE, BUCKETS = 16, 8
+#: members of a group, and queries that meet it in one call, about
+GROUP, QUERIES = 512, 256
+#: counters of the sketch, by the corpus' size within these bounds; its blocks
+COUNTERS, BLOCKS = (1 << 20, 1 << 25), 64
+#: min-hashes of a document, how many must agree for one group and before sets
+#: are compared, buckets of each kind that a document is in, hubs of a bucket
+SIGNATURE, ALIKE, AGREE, BUCKETS, HUBS = 16, 5, 9, 8, 2
 #: linked sets must share an n-th of their size among their first shingles
 PREFIX = 10
 #: shingles that one task of the matrix step takes, about
@@ -69,18 +71,20 @@ def prefix_length(n, percent: int):
     return n - -(-n * percent // 100) + -(-n // PREFIX)
 
 
-def _documents(docs: DataFrame, shingle: int) -> DataFrame:
+def _documents(docs: DataFrame, shingle: int, counters: int) -> DataFrame:
     """A row for each document (doc_id, n, cls, sig), and in rows with a block
     each task's share of the counting sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size, like = np.zeros(COUNTERS, dtype=np.uint32), [], 0, None
+        counts, waiting, size, like = np.zeros(counters, dtype=np.uint16), [], 0, None
 
         def flush():
             if waiting:
-                slots = np.concatenate(waiting) >> U64(64 - (COUNTERS.bit_length() - 1))
-                np.add(counts, np.bincount(slots.astype(np.int64), minlength=COUNTERS), out=counts, casting="unsafe")
+                slots = np.sort((np.concatenate(waiting) >> U64(65 - counters.bit_length())).astype(np.uint32))
+                first = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1]))) if len(slots) else slots
+                at, more = slots[first], np.diff(np.append(first, len(slots)))
+                counts[at] = np.minimum(counts[at] + more, 65535)  # the order of frequencies needs no more
                 waiting.clear()
 
         for b in batches:
@@ -93,7 +97,7 @@ def _documents(docs: DataFrame, shingle: int) -> DataFrame:
                 sig.append([int((tokens * c).min().view(np.int64)) for c in _ODD] if len(tokens) else [])
                 waiting.append(tokens)
                 size += len(tokens)
-                if size > COUNTERS // 2:
+                if size > 1 << 20:
                     flush()
                     size = 0
             k = len(n)
@@ -117,29 +121,32 @@ def _documents(docs: DataFrame, shingle: int) -> DataFrame:
     )
 
 
-def _frequency_levels(rows: DataFrame) -> np.ndarray:
+def _frequency_levels(rows: DataFrame, counters: int) -> np.ndarray:
     """For each counter its level: 0 up to twice the mean, then doublings."""
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), dtype=np.uint32).astype(np.uint64) for x in t.column("counts").to_pylist())
-        packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+        total = np.zeros(counters // BLOCKS, dtype=np.int64)
+        for x in t.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(x), dtype=np.uint16)
+        packed = zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)
         return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([packed], pa.binary())})
 
     parts = rows.where("block is not null").select("block", (F.col("task") % 256).alias("salt"), "counts")
     parts = parts.groupBy("block", "salt").applyInArrow(add, "block int, counts binary")
     blocks = parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    counts = np.zeros(COUNTERS)
+    counts = np.zeros(counters, dtype=np.uint16)
     for r in blocks:
-        one = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint32)
+        one = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint16)
         counts[r["block"] * len(one) :][: len(one)] = one
     usual = max(1.0, 2 * counts.mean())
-    return np.ceil(np.log2(np.maximum(counts / usual, 1.0))).astype(np.uint8)
+    level = np.ceil(np.log2(np.maximum(np.arange(65536) / usual, 1.0))).astype(np.uint8)
+    return level[counts]
 
 
 def _shared_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, shingle: int, percent: int) -> DataFrame:
     """(token, cls) of the prefix shingles that several classes have."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
-    shift, width = U64(64 - (COUNTERS.bit_length() - 1)), 1 << 21
+    shift, width = U64(65 - len(levels).bit_length()), 1 << 21
 
     packing = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("owners", pa.binary()), ("places", pa.binary())])
 
@@ -244,16 +251,21 @@ def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _bucket_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a class and the least class of a min-hash bucket, where half of
-    the min-hashes agree and the sizes allow a link."""
-    keys = classes.select("cls", F.posexplode(F.slice("sig", 1, BUCKETS)).alias("k", "v"))
-    hubs = keys.groupBy("k", "v").agg(F.min("cls").alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    pairs = keys.join(hubs, ["k", "v"]).where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    """(a, b, compare): a class and a hub of one of its min-hash buckets, where
+    some min-hashes agree; compare if most do and the sizes allow a link."""
+    at = lambda k: F.element_at("sig", k % SIGNATURE + 1)
+    keys = [F.struct(F.lit(width * BUCKETS + k).alias("k"), F.xxhash64(*[at(k + 5 * i) for i in range(width)]).alias("v")) for width in (1, 2, 3) for k in range(BUCKETS)]
+    keys = classes.select("cls", F.inline(F.array(*keys)))
+    # hubs differ from bucket to bucket, so a class meets many of its likes
+    picks = [F.min(F.struct(F.xxhash64("cls", "k", F.lit(h)), "cls")).getField("cls") for h in range(HUBS)]
+    hubs = keys.groupBy("k", "v").agg(F.array(*picks).alias("hubs"), F.count("*").alias("m")).where("m > 1")
+    pairs = keys.join(hubs, ["k", "v"]).select("cls", F.explode(F.array_distinct("hubs")).alias("hub")).where("cls <> hub")
+    pairs = pairs.select(F.greatest("cls", "hub").alias("a"), F.least("cls", "hub").alias("b")).distinct()
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     agree = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
     fit = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.where((agree * 2 >= SIGNATURE) & fit).select("a", "b")
+    return pairs.withColumn("agree", agree).where(F.col("agree") >= ALIKE).select("a", "b", ((F.col("agree") >= AGREE) & fit).alias("compare"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -266,58 +278,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _grouped(classes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(cls, n, cluster, members, grp): every class with its cluster, the
-    cluster's size and its group, a run of at most ``GROUP`` members."""
-    rows = classes.select("cls", "n", "first").join(clusters.withColumnRenamed("node", "cls"), "cls", "left")
-    rows = rows.withColumn("cluster", F.coalesce("root", "cls"))
-    sizes = rows.groupBy("cluster").agg(F.count("*").alias("members"))
-    rows = rows.join(sizes, "cluster")
-    # a cluster of m members has about 2 m / GROUP groups by the range of a min-hash
-    part = F.when(F.col("members") <= GROUP, F.lit(0)).otherwise(F.pmod(F.col("first"), F.ceil(F.col("members") * 2 / GROUP)))
-    rows = rows.withColumn("part", part)
-    place = F.row_number().over(Window.partitionBy("cluster", "part").orderBy("first", "cls")) - 1
-    grp = F.xxhash64("cluster", "part", F.floor(place / GROUP))
-    return rows.select("cls", "n", "cluster", "members", grp.alias("grp"))
+def _grouped(classes: DataFrame, clusters: DataFrame, alike: DataFrame) -> DataFrame:
+    """(cls, n, rank, grp): every class with its cluster, as (size, id), and
+    its group, a part of the classes alike."""
+    def rooted(rows, roots, name):
+        rows = rows.join(roots.select(F.col("node").alias("cls"), F.col("root").alias(name)), "cls", "left")
+        rows = rows.withColumn(name, F.coalesce(name, "cls"))
+        return rows.join(rows.groupBy(name).agg(F.count("*").alias(f"{name}_size")), name)
+
+    rows = rooted(rooted(classes.select("cls", "n"), clusters, "cluster"), alike, "kin")
+    part = F.pmod(F.xxhash64("cls"), F.ceil(F.col("kin_size") / GROUP))
+    return rows.select("cls", "n", F.struct(F.col("cluster_size").alias("size"), F.col("cluster").alias("id")).alias("rank"), F.xxhash64("kin", part).alias("grp"))
 
 
 def _met_groups(prefixes: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """(cls, grp): classes and groups of other, larger clusters (equal sizes:
-    with a greater id) that share enough first shingles."""
+    """(cls, grp): classes and groups that share enough first shingles, with
+    members whose clusters rank above the class's."""
     rows = prefixes.join(grouped, "cls")
-    two = rows.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
-    rows = rows.join(two, "token", "left_semi")
-    matrix = rows.select("token", F.col("grp").alias("met"), F.col("cluster").alias("g_cluster"), F.col("members").alias("g_members")).distinct()
-    above = (F.col("g_members") > F.col("members")) | ((F.col("g_members") == F.col("members")) & (F.col("g_cluster") > F.col("cluster")))
-    met = rows.join(matrix, "token").where(above).groupBy("cls", F.col("met").alias("grp")).agg(F.first("n").alias("n"), F.count("*").alias("shared"))
+    matrix = rows.groupBy("token", F.col("grp").alias("met")).agg(F.max("rank").alias("top"))
+    queries = rows.select("token", "cls", "n", "rank")
+    met = queries.join(matrix, "token").where("top > rank").groupBy("cls", F.col("met").alias("grp")).agg(F.first("n").alias("n"), F.count("*").alias("shared"))
     enough = F.ceil(F.ceil(F.col("n") * percent / 100) / PREFIX)
     return met.where(F.col("shared") >= enough).select("cls", "grp")
 
 
 def _opened(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each class and met group whose union holds enough of its
-    shingles, its first link with a member."""
+    shingles, a link with a member of each cluster of higher rank."""
     load = met.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+    of = grouped.select("cls", "grp", F.col("rank.size").alias("size"), F.col("rank.id").alias("id"))
     queries = met.join(load, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    queries = queries.select("grp", "block", "cls").join(sets, "cls").select("grp", "block", "cls", "tokens")
-    members = grouped.select("cls", "grp").join(load, "grp").join(sets, "cls")
-    members = members.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "tokens")
+    queries = queries.select("grp", "block", "cls").join(of.drop("grp"), "cls").join(sets, "cls").select("grp", "block", "cls", "size", "id", "tokens")
+    members = of.join(load, "grp").join(sets, "cls")
+    members = members.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "size", "id", "tokens")
     members = members.select(*[F.col(c).alias(c) for c in members.columns])  # own columns beside the queries'
 
     def run(q: pa.Table, m: pa.Table) -> pa.Table:
         a, b = [], []
-        sets_m = [np.frombuffer(x, dtype=U64) for x in m.column("tokens").to_pylist()]
-        ids = m.column("cls").to_pylist()
-        union = np.unique(np.concatenate(sets_m)) if sets_m else np.empty(0, dtype=U64)
-        for c, x in zip(q.column("cls").to_pylist(), q.column("tokens").to_pylist()):
-            own = np.frombuffer(x, dtype=U64)
-            if 100 * len(np.intersect1d(own, union, assume_unique=True)) < percent * len(own):
-                continue
-            for i, other in zip(ids, sets_m):
-                if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)) and _links(own, other, percent):
-                    a.append(c)
-                    b.append(i)
-                    break
+        own = [np.frombuffer(x, dtype=U64) for x in m.column("tokens").to_pylist()]
+        if own and q.num_rows:
+            n = np.array([len(x) for x in own])
+            every, member = np.concatenate(own), np.repeat(np.arange(len(own)), n)
+            order = np.argsort(every, kind="stable")
+            every, member = every[order], member[order]
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            union, ends = every[first], np.append(first, len(every))
+            names, ranks = m.column("cls").to_pylist(), list(zip(m.column("size").to_pylist(), m.column("id").to_pylist()))
+            for c, size, cluster, x in zip(*(q.column(k).to_pylist() for k in ("cls", "size", "id", "tokens"))):
+                x = np.frombuffer(x, dtype=U64)
+                at = np.minimum(np.searchsorted(union, x), len(union) - 1)
+                at = at[union[at] == x]
+                if 100 * len(at) < percent * len(x):  # the union's bound
+                    continue
+                lengths = ends[at + 1] - ends[at]
+                places = np.repeat(ends[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+                both = np.bincount(member[places], minlength=len(own))
+                found = {}
+                for i in np.flatnonzero(100 * both >= percent * (len(x) + n - both)).tolist():
+                    if ranks[i] > (size, cluster):
+                        found[ranks[i]] = names[i]
+                a += [c] * len(found)
+                b += found.values()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return queries.groupBy("grp", "block").cogroup(members.groupBy("grp", "block")).applyInArrow(run, "a bigint, b bigint")
@@ -327,24 +348,27 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     """(doc_id, n_shingles, component_id, cls, root): a row for each document;
     the smallest doc_id reachable by links, its own included, names a
     component; cls is the hash of its set, root a hash for its component."""
-    rows = stored(_documents(docs, shingle), "shingle-sets")
-    levels = _frequency_levels(rows)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (size // 64).bit_length()))
+    rows = stored(_documents(docs, shingle, counters), "shingle-sets")
+    levels = _frequency_levels(rows, counters)
     rows = rows.where("block is null")
     classes = rows.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min("doc_id").alias("doc_id"))
     classes = stored(classes.withColumn("first", F.element_at("sig", 1)), "shingle-classes")
     total = rows.agg(F.sum(F.col("n") * (1 - percent / 100 + 1 / PREFIX) + 2)).first()[0] or 0
     buckets = max(conf_partitions(docs.sparkSession), int(total) // TASK_TOKENS + 1)
     pairs = stored(_bucket_pairs(classes, percent), "bucket-pairs")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    near = stored(_verified(pairs, stored(_sets(docs, ends, shingle), "pair-sets"), percent), "bucket-links")
-    grouped = stored(_grouped(classes, components(near)), "groups")
+    compared = pairs.where("compare").select("a", "b")
+    ends = compared.select(F.col("a").alias("cls")).unionByName(compared.select(F.col("b").alias("cls"))).distinct()
+    near = stored(_verified(compared, stored(_sets(docs, ends, shingle), "pair-sets"), percent), "bucket-links")
+    grouped = stored(_grouped(classes, components(near), components(pairs)), "groups")
     prefixes = stored(_shared_prefixes(docs, levels, buckets, shingle, percent), "shared-prefixes")
     met = stored(_met_groups(prefixes, grouped, percent), "met-groups")
     members = grouped.join(met.select("grp").distinct(), "grp", "left_semi").select("cls")
     sets = stored(_sets(docs, met.select("cls").unionByName(members).distinct(), shingle), "group-sets")
     more = stored(_opened(met, grouped, sets, percent), "group-links")
     # a link found in step 4 joins whole clusters
-    whole = grouped.select("cls", "cluster")
+    whole = grouped.select("cls", F.col("rank.id").alias("cluster"))
     ends = more.join(whole.withColumnRenamed("cls", "a").withColumnRenamed("cluster", "x"), "a")
     ends = ends.join(whole.withColumnRenamed("cls", "b").withColumnRenamed("cluster", "y"), "b")
     last = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
