@@ -33,6 +33,9 @@ from .common import conf_partitions, utf8
 from .text_hash import SPACES, U64, from_planes, hash_texts, ngram_hashes, planes
 
 ORDER, ALPHA = 3, 0.4
+#: the bits of an n-gram's hash that name it: 56, since a further byte per entry
+#: of the table would buy little (10**9 distinct n-grams: 7 in 10**9 collide)
+KEY = U64(0xFFFFFFFFFFFFFF00)
 #: bytes of text in a batch, and of the corpus for each range of the table, about
 BATCH_BYTES, RANGE_BYTES = 8_000_000, 12_000_000
 
@@ -41,6 +44,7 @@ def _ngrams(words: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray
     """The distinct n-grams of a batch (sorted), their counts, and for each
     length the place among them of each n-gram, document after document."""
     grams = [np.concatenate([ngram_hashes(w, n) for w in words] or [np.empty(0, U64)]) for n in range(1, order + 1)]
+    grams = [g & KEY for g in grams]
     distinct, place, counts = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     return distinct, counts, np.split(place.astype(np.int32), np.cumsum([len(g) for g in grams])[:-1])
 
@@ -91,13 +95,13 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
                 part = distinct[start:end]
                 out["range"].append(r)
                 out["batch"].append(t.column("batch")[0].as_py())
-                out["hashes"].append(planes(np.diff(part, prepend=U64(0))))
+                out["hashes"].append(planes(np.diff(part >> U64(8), prepend=U64(0))))
                 out["counts"].append(planes(counts[start:end].astype(np.uint32)))
                 start = end
         return pa.table(out, pa.schema([("range", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
     def total(t: pa.Table) -> pa.Table:
-        hashes = [np.cumsum(from_planes(x, U64)) for x in t.column("hashes").to_pylist()]
+        hashes = [np.cumsum(from_planes(x, U64)) << U64(8) for x in t.column("hashes").to_pylist()]
         counts = np.concatenate([from_planes(x, np.uint32) for x in t.column("counts").to_pylist()])
         ends = np.cumsum([len(h) for h in hashes])
         every = np.concatenate(hashes)
@@ -108,14 +112,14 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
         sums = np.add.reduceat(counts.astype(np.int64), first)
         back = np.empty(len(every), dtype=np.int64)
         back[order_] = np.repeat(sums, np.diff(np.append(first, len(every))))
-        packed = [zlib.compress(planes(x), 1) for x in np.split(back, ends[:-1])]
+        packed = [zlib.compress(planes(x.astype(np.uint32)), 4) for x in np.split(back, ends[:-1])]
         return pa.table({"range": t.column("range"), "batch": t.column("batch"), "totals": pa.array(packed, pa.binary())})
 
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
         words = hash_texts(t.column("text").to_pylist(), SPACES)
         _, _, places = _ngrams(words, order)
         parts = sorted(zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist()))
-        totals = np.concatenate([from_planes(zlib.decompress(x), np.int64) for _, x in parts] or [np.empty(0, np.int64)])
+        totals = np.concatenate([from_planes(zlib.decompress(x), np.uint32).astype(np.int64) for _, x in parts] or [np.empty(0, np.int64)])
         n = np.array([len(w) for w in words])
         ends = [np.cumsum(np.maximum(n - k, 0)) for k in range(order)]
         scores = [
