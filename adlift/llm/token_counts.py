@@ -32,8 +32,8 @@ def token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
         own = encoder(tokenizer)
         for b in batches:
             texts, out = b.column(0).to_pylist(), []
-            for k in range(0, len(texts), 256):
-                out += [len(x) // 4 for x in own.encode(texts[k : k + 256])]
+            for k in range(0, len(texts), 2048):
+                out += [len(x) // 4 for x in own.encode(texts[k : k + 2048])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["n_tokens"])
 
     return docs.select(utf8().alias("text")).mapInArrow(run, "n_tokens bigint")

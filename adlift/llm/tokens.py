@@ -2,25 +2,50 @@
 
 The pretokens of ``word_bpe_49k.json`` never span white space and begin anew
 at a full stop or comma that follows a letter, and its normaliser lower-cases,
-so a text's ids are those of its pieces cut there, in order.  Each distinct
-piece is encoded by the library and kept (up to ``KEPT`` pieces, then the
-table starts anew); a text that could hold a special token's string is
-encoded whole.
+so a text's ids are those of its pieces cut there, in order.  Pieces are found
+and hashed (64 bits) many at a time; each distinct one is encoded by the
+library and its ids kept (up to ``KEPT`` pieces, then the table starts anew).
+A text that could hold a special token's string is encoded whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
-#: pieces kept by a worker process, about 250 bytes each
-KEPT = 800_000
-#: longer pieces are encoded each time, not kept
-LONG_PIECE = 64
+from .text_hash import _BASE, _BYTE, _powers, SPACES, U64, mixed
+
+#: pieces, and ids of pieces, kept by a worker process: 50 MB or so
+KEPT, KEPT_IDS = 1_000_000, 6_000_000
+#: bytes of text taken at once
+CHUNK = 1 << 21
 
-_CUT = re.compile(rb"(?<=[a-z])(?=[.,])")
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[97:123] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[44, 46]] = True
 _encoders: dict[str, "Encoder"] = {}
+_tables: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if n > CHUNK:  # a single word longer than a chunk
+        return [_powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)]
+    if not _tables:
+        _tables.extend((_powers(_BASE, CHUNK), _powers(pow(_BASE, -1, 2**64), CHUNK)))
+    return _tables
+
+
+def _pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the pieces of lower-cased text."""
+    word = ~SPACES[buf]
+    cut = np.zeros(len(buf) + 1, dtype=bool)
+    cut[1:-1] = _STOP[buf[1:]] & _LETTER[buf[:-1]]
+    starts = np.flatnonzero(word & (cut[:-1] | ~np.concatenate(([False], word[:-1]))))
+    ends = np.flatnonzero(word & (cut[1:] | ~np.concatenate((word[1:], [False])))) + 1
+    powers, inverse = _power_tables(len(buf))
+    sums = np.zeros(len(buf) + 1, dtype=U64)
+    np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
+    return starts, ends, mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
 class Encoder:
@@ -30,27 +55,82 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self):
+        # of each kept piece: hash (ascending), where its ids are, how many
+        self.hashes, self.at, self.n = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids = np.empty(0, dtype="<u4")
 
-    def _library(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
+        found = self._library(texts)
+        n = np.array([len(x) for x in found], dtype=np.int64)
+        at = len(self.ids) + np.cumsum(n) - n
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype="<u4")])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.at, self.n = (np.insert(a, place, b) for a, b in ((self.hashes, hashes), (self.at, at), (self.n, n)))
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.searchsorted(self.hashes, hashes)
+        inside = np.minimum(place, max(0, len(self.hashes) - 1))
+        return inside, self.hashes[inside] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
+
+    def _encode_chunk(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"\n".join(texts).lower()
+        starts, ends, hashes = _pieces(np.frombuffer(joined, dtype=np.uint8))
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) + len(distinct) > KEPT or len(self.ids) > KEPT_IDS:
+            self._forget()
+        new = np.flatnonzero(~self._known(distinct)[1])
+        if len(new):
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
+            self._learn(distinct[new], [joined[a:b] for a, b in spans])
+        place = self._known(distinct)[0]
+        n, at = self.n[place][inverse], self.at[place][inverse]
+        upto = np.cumsum(n)
+        ids = self.ids[np.repeat(at - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        stops = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        stops = np.concatenate(([0], upto))[stops]
+        return [x.tobytes() for x in np.split(ids, stops[:-1])]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        pieces = [None if b"<|" in t else _CUT.sub(b" ", t.lower()).split() for t in texts]
-        new = {p for own in pieces if own for p in own} - self.kept.keys()
-        long = {p for p in new if len(p) > LONG_PIECE}
-        new -= long
-        if len(self.kept) + len(new) > KEPT:
-            self.kept.clear()
-            new = {p for own in pieces if own for p in own} - long
-        new, long = list(new), list(long)
-        self.kept.update(zip(new, self._library(new)))
-        known = self.kept
-        if long:
-            known = self.kept | dict(zip(long, self._library(long)))
-        return [self._library([t])[0] if own is None else b"".join(map(known.__getitem__, own)) for t, own in zip(texts, pieces)]
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush():
+            for (i, _), ids in zip(waiting, self._encode_chunk([t for _, t in waiting]) if waiting else ()):
+                out[i].append(ids)
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            if b"<|" in text:
+                out[i].append(np.array(self._library([text])[0], dtype="<u4").tobytes())
+                continue
+            for part in _parts(text):
+                if size + len(part) >= CHUNK:
+                    flush()
+                    size = 0
+                waiting.append((i, part))
+                size += len(part) + 1
+        flush()
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+
+def _parts(text: bytes) -> list[bytes]:
+    """A text in parts below ``CHUNK`` bytes, cut at spaces and line breaks."""
+    out, start = [], 0
+    while len(text) - start >= CHUNK:
+        at = max(text.rfind(c, start + 1, start + CHUNK) for c in (b" ", b"\n"))
+        if at < 0:
+            at = min((p for c in (b" ", b"\n") if (p := text.find(c, start + CHUNK - 1)) >= 0), default=len(text))
+        out.append(text[start:at])
+        start = at
+    return out + [text[start:]]
 
 
 def encoder(path: str) -> Encoder:
