@@ -9,8 +9,8 @@ from .cohort import (
     off_item_flags,
     only_off_ids,
 )
-from .joins import absent_flag, anti_join_null_safe, left_join_nullable_key, membership_flag
-from .scope import date_window, display_scope, in_window, is_offsite, is_onsite, positive_cost, target_allowed
+from .joins import absent_flag, anti_join_null_safe, left_join_nullable_key
+from .scope import display_scope, in_window, is_offsite, is_onsite, positive_cost, target_allowed
 
 __all__ = [
     "absent_flag",
@@ -18,7 +18,6 @@ __all__ = [
     "any_flag",
     "cond_sum",
     "creative_format_items",
-    "date_window",
     "display_scope",
     "distinct_counts",
     "external_destination_items",
@@ -28,7 +27,6 @@ __all__ = [
     "is_offsite",
     "is_onsite",
     "left_join_nullable_key",
-    "membership_flag",
     "off_item_flags",
     "only_off_ids",
     "pick_value",

@@ -11,13 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def membership_flag(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
-    """Add boolean ``name``: the row's key is in ``ids`` (a left join on the
-    *distinct* ids, so no row is multiplied; NULL keys are never members)."""
-    marks = ids.select(key).distinct().withColumn(name, F.lit(True))
-    return df.join(marks, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-
-
 def absent_flag(df: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Add boolean ``name``: no row of ``other`` has the same keys (a left
     join + ``IS NULL`` test kept as a column; every row of ``df`` stays)."""
@@ -41,13 +34,15 @@ def left_join_nullable_key(df: DataFrame, right: DataFrame, key: str, spread: in
     salt in ``1..spread`` taken from a hash of their other columns
     (deterministic, so a retried task places them the same way); the right
     side has salt 0 (a frame with only the key column is salted by its input
-    partition).  The join is on ``(key, salt)``: NULL rows still never
-    match, but they are spread over many partitions.  Nothing is dropped.
+    partition).  The join is on the one value ``struct(key, salt)``, which the
+    optimizer cannot take apart into a filter on the left side: NULL rows still
+    never match, but they are shuffled to many partitions.  Nothing is dropped.
     """
     others = [c for c in df.columns if c != key]
     # with no other column to hash, the input partition (stable across task
     # retries) spreads them instead
     basis = F.xxhash64(*others) if others else F.spark_partition_id().cast("bigint")
     salt = F.when(F.col(key).isNull(), F.lit(1) + F.pmod(basis, F.lit(spread))).otherwise(F.lit(0))
-    left = df.withColumn("__salt", salt.cast("int"))
-    return left.join(right.withColumn("__salt", F.lit(0)), [key, "__salt"], "left").drop("__salt")
+    left = df.withColumn("__key", F.struct(F.col(key).alias("key"), salt.cast("int").alias("salt")))
+    other = right.withColumn("__key", F.struct(F.col(key).alias("key"), F.lit(0).alias("salt"))).drop(key)
+    return left.join(other, "__key", "left").drop("__key")

@@ -7,9 +7,9 @@ partitioned by date, prunes partitions from the date literals.
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -18,12 +18,12 @@ DATE_COL = "event_local_dt"
 
 
 def in_window(start: date, end: date, col: str = DATE_COL) -> Column:
-    """Inclusive ``start <= col <= end``; empty when start > end."""
-    return F.col(col).between(F.lit(start), F.lit(end))
+    """From ``start`` to the end of the day ``end``; empty when start > end.
 
-
-def date_window(df: DataFrame, start: date, end: date, col: str = DATE_COL) -> DataFrame:
-    return df.where(in_window(start, end, col))
+    Half-open on the following midnight, so a timestamp column keeps its whole
+    last day; on a date column it is ``start <= col <= end``.
+    """
+    return (F.col(col) >= F.lit(start)) & (F.col(col) < F.lit(end + timedelta(days=1)))
 
 
 def display_scope() -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
@@ -20,10 +21,11 @@ CSV_OPTIONS = {
     "header": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
-    # NULL is written as \N, so an empty text survives the round trip
+    # NULL is written as \N, so an empty text survives the round trip; a text
+    # that begins with a backslash is written with one more (see _escaped)
     "nullValue": "\\N",
     # a quoted value may hold a line break; each file is then read whole
-    # by one task (files are per writer task, so still many in parallel)
+    # by one task, so CSV is for small extracts and Parquet the default
     "multiLine": "true",
 }
 
@@ -32,6 +34,19 @@ def _path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
+def _texts(df: DataFrame, change) -> DataFrame:
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(F.col(c).startswith("\\"), change(F.col(c))).otherwise(F.col(c)) for c in texts})
+
+
+def _escaped(df: DataFrame) -> DataFrame:
+    return _texts(df, lambda c: F.concat(F.lit("\\"), c))
+
+
+def _unescaped(df: DataFrame) -> DataFrame:
+    return _texts(df, lambda c: c.substr(F.lit(2), F.length(c)))
+
+
 def write_extracts(extracts: Mapping[str, DataFrame], root: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """One folder per extract under ``root``; CSV gets a header row."""
     if fmt not in FORMATS:
@@ -40,7 +55,7 @@ def write_extracts(extracts: Mapping[str, DataFrame], root: str, fmt: str = "par
         w = df.write.mode(mode)
         if fmt == "csv":
             # keep text exactly: no trimming, NULL and '' stay apart
-            w.options(**CSV_OPTIONS).csv(_path(root, name))
+            _escaped(df).write.mode(mode).options(**CSV_OPTIONS).csv(_path(root, name))
         elif fmt == "json":
             w.option("ignoreNullFields", False).json(_path(root, name))
         else:
@@ -51,7 +66,7 @@ def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None):
     if fmt == "parquet":
         return lambda p: spark.read.parquet(p)
     if fmt == "csv":
-        return lambda p: spark.read.schema(schema).options(**CSV_OPTIONS).csv(p)
+        return lambda p: _unescaped(spark.read.schema(schema).options(**CSV_OPTIONS).csv(p))
     return lambda p: spark.read.schema(schema).json(p)
 
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .schemas import SOURCE_COLUMNS
 
@@ -54,7 +55,8 @@ class Sources:
         return cls.from_frames({n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in cls.names()})
 
     def validate(self) -> None:
-        """Fail early (at plan time) when a source lacks a column."""
+        """Fail early (at plan time) when a source lacks a column, or the
+        fact's day is neither a date nor a timestamp."""
         problems = []
         for name in self.names():
             have = set(getattr(self, name).columns)
@@ -63,6 +65,9 @@ class Sources:
                 problems.append(f"{name}: {lacking}")
         if problems:
             raise ValueError("sources lack columns: " + "; ".join(problems))
+        day = self.daily_metrics.schema["event_local_dt"].dataType
+        if not isinstance(day, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            raise ValueError(f"daily_metrics.event_local_dt must be a date or a timestamp, not {day.simpleString()}")
 
     def replace(self, **frames: DataFrame) -> Sources:
         cur = {n: getattr(self, n) for n in self.names()}

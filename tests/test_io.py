@@ -96,3 +96,12 @@ def test_cli_run_and_replay(spark):
     assert a == b
     with pytest.raises(FileNotFoundError):
         main(dates + ["--from-cache", scratch_path(spark, "nothing"), "--out", scratch_path(spark, "cli-x")])
+
+
+def test_csv_keeps_a_text_that_looks_like_the_null_marker(spark, tmp_path):
+    from adlift.sources.cache import read_extracts, write_extracts
+
+    df = spark.createDataFrame([(1, "\\N"), (2, None), (3, ""), (4, "\\\\N"), (5, "a\\b")], "k int, t string")
+    write_extracts({"x": df}, str(tmp_path), "csv")
+    back = read_extracts(spark, str(tmp_path), "csv", {"x": df.schema}, ("x",))["x"]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
