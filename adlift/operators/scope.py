@@ -7,7 +7,7 @@ partitioned by date, prunes partitions from the date literals.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,12 +18,10 @@ DATE_COL = "event_local_dt"
 
 
 def in_window(start: date, end: date, col: str = DATE_COL) -> Column:
-    """From ``start`` to the end of the day ``end``; empty when start > end.
-
-    Half-open on the following midnight, so a timestamp column keeps its whole
-    last day; on a date column it is ``start <= col <= end``.
-    """
-    return (F.col(col) >= F.lit(start)) & (F.col(col) < F.lit(end + timedelta(days=1)))
+    """Inclusive ``start <= col <= end``; empty when start > end.  The column
+    is a date (``Sources`` refuses other types: a timestamp would lose its last
+    day after midnight)."""
+    return F.col(col).between(F.lit(start), F.lit(end))
 
 
 def display_scope() -> Column:

@@ -56,7 +56,7 @@ class Sources:
 
     def validate(self) -> None:
         """Fail early (at plan time) when a source lacks a column, or the
-        fact's day is neither a date nor a timestamp."""
+        fact's day is not a date (a timestamp would lose its last day)."""
         problems = []
         for name in self.names():
             have = set(getattr(self, name).columns)
@@ -66,8 +66,8 @@ class Sources:
         if problems:
             raise ValueError("sources lack columns: " + "; ".join(problems))
         day = self.daily_metrics.schema["event_local_dt"].dataType
-        if not isinstance(day, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            raise ValueError(f"daily_metrics.event_local_dt must be a date or a timestamp, not {day.simpleString()}")
+        if not isinstance(day, T.DateType):
+            raise ValueError(f"daily_metrics.event_local_dt must be a date, not {day.simpleString()}: cast it with to_date")
 
     def replace(self, **frames: DataFrame) -> Sources:
         cur = {n: getattr(self, n) for n in self.names()}

@@ -38,16 +38,15 @@ def test_null_keys_are_spread_over_partitions(spark):
     assert len(counts) > 4 and max(counts) < 1000
 
 
-def test_windows_keep_the_last_day_of_a_timestamp(spark):
-    from datetime import date
+def test_a_timestamp_fact_is_refused(spark):
+    import pytest
 
-    from adlift.operators import in_window
+    from adlift.sources import fixture_sources
 
-    days = spark.sql("SELECT explode(sequence(date'2026-01-01', date'2026-01-10')) AS event_local_dt")
-    noon = days.select((F.col("event_local_dt").cast("timestamp") + F.expr("interval 13 hours")).alias("event_local_dt"))
-    window = in_window(date(2026, 1, 3), date(2026, 1, 5))
-    assert days.where(window).count() == noon.where(window).count() == 3
-    assert days.where(in_window(date(2026, 1, 5), date(2026, 1, 4))).count() == 0
+    src = fixture_sources(spark, "/root/testdata/sf0.001")
+    noon = src.daily_metrics.withColumn("event_local_dt", F.col("event_local_dt").cast("timestamp"))
+    with pytest.raises(ValueError, match="must be a date"):
+        src.replace(daily_metrics=noon)
 
 
 def test_flags_and_anti_join(spark):
