@@ -13,29 +13,32 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
+    # one row for each edge at most; repeated ones go with the small star
+    both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, "a", F.least("a", "m").alias("m"))
+    return both.where("b > a").join(least, [*by, "a"]).select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
     # every edge points from the greater to the smaller node
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    rest = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy(*by, "a").agg(F.min("b").alias("m"))
+    rest = edges.join(least, [*by, "a"]).where("b <> m").select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
     return rest.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of an edge, from columns a and b (long);
-    the root is the smallest node of the component."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def components(edges: DataFrame, *by: str) -> DataFrame:
+    """(*by, node, root) for every node of an edge, from columns a and b
+    (long); the root is the smallest node of the component.  Columns ``by``
+    name separate graphs, whose rounds run together."""
+    by = list(by)
+    edges = edges.where("a <> b").select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     before = None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "component-edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
+        edges = stored(_small_star(_large_star(edges, by), by), "component-edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64(*by, "a", "b") % 1_000_000_007)).first()
         if now == before:
             break
         before = now
-    roots = edges.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    roots = edges.select(*by, F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
+    return edges.select(*by, F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -361,7 +361,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     compared = pairs.where("compare").select("a", "b")
     ends = compared.select(F.col("a").alias("cls")).unionByName(compared.select(F.col("b").alias("cls"))).distinct()
     near = stored(_verified(compared, stored(_sets(docs, ends, shingle), "pair-sets"), percent), "bucket-links")
-    grouped = stored(_grouped(classes, components(near), components(pairs)), "groups")
+    both = near.select(F.lit("near").alias("graph"), "a", "b").unionByName(pairs.select(F.lit("alike").alias("graph"), "a", "b"))
+    parts = components(both, "graph")
+    grouped = stored(_grouped(classes, *(parts.where(F.col("graph") == g) for g in ("near", "alike"))), "groups")
     prefixes = stored(_shared_prefixes(docs, levels, buckets, shingle, percent), "shared-prefixes")
     met = stored(_met_groups(prefixes, grouped, percent), "met-groups")
     members = grouped.join(met.select("grp").distinct(), "grp", "left_semi").select("cls")
