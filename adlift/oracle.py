@@ -599,3 +599,46 @@ EXTRACT_COUNTS = with_extracts(
        UNION ALL SELECT 'nuevos', COUNT(*) FROM nuevos
        UNION ALL SELECT 'iab', COUNT(*) FROM iab""",
 )
+
+# Records read back from JSON text: the columns that went in.
+_RECORDS = {
+    "enet": (
+        "enet_k",
+        "site, advertiser_id, advertiser_name, vertical, campaign_id, line_item_id, inv_setting, strategy, rev_total, "
+        "rev_off, rev_in, prints_total, prints_off, prints_in, clicks_total",
+    ),
+    "denom": ("pop", "site, advertiser_id, vertical, rev_total, flag_adx, is_endemic, strategy"),
+    "arpu": (
+        "deltas",
+        "site, advertiser_id, advertiser_name, vertical, has_dot_com, strategy, rev_before, rev_after_total, rev_after_oo, "
+        "rev_after_in_meli, arpu_delta_pct, in_meli_delta_pct, oo_incremental_pct",
+    ),
+    "nuevos": ("nuevos", "site, advertiser_id, advertiser_name, nuevo_en_adx, nuevo_en_dsp"),
+    "iab": ("iab", "site, campaign_id, line_item_id, advertiser_id, inv_setting, strategy, has_iab_creative"),
+}
+JSON_RECORDS = with_extracts(["arpu"], f"SELECT {_RECORDS['arpu'][1]} FROM deltas", DELTAS)
+REPORT_BUNDLE = with_extracts(
+    ["enet", "aw_denom", "arpu", "nuevos", "iab"],
+    """SELECT 'config' AS record_set, '1999-07-01' AS oo_start, '1999-12-31' AS analysis_end, '1998-12-30' AS before_start,
+              '1999-06-30' AS before_end, 183 AS days_after, 100.0::DOUBLE AS adx_min_usd, '1998-07-01' AS history_start,
+              'BUSINESS_SERVICES,EDUCATION_AND_TRAINING,ENTERTAINMENT,ENTERTAINMENT_AND_MEDIA,FINANCIAL_SERVICES,'
+              || 'GOVERNMENT,TELECOMMUNICATIONS,TRAVEL_AND_LEISURE,VIS,VIS_MOTORS,VIS_RE,VIS_RE_DEVELOPMENTS,'
+              || 'VIS_RE_REALTORS,VIS_VEHICLE_PARTS_AND_ACCESSORIES' AS non_endemic,
+              'MLA=Argentina,MLB=Brasil,MLC=Chile,MLM=México,MCO=Colombia,MLU=Uruguay,MPE=Perú' AS sites_lbl
+    """
+    + "".join(f" UNION ALL BY NAME SELECT '{k}' AS record_set, {cols} FROM {t}" for k, (t, cols) in _RECORDS.items()),
+    f"{ENET_C},\n{POP},\n{DELTAS}",
+)
+
+OPS_SQL["op_numeric_coercion"] = oracle(
+    "",
+    f"""SELECT text, CASE WHEN v IS NULL OR isnan(v) THEN 0.0 ELSE v END AS number, COUNT(*) AS n_rows
+        FROM (SELECT text, TRY_CAST(text AS DOUBLE) AS v
+              FROM (SELECT CASE md.line_item_id % 9
+                             WHEN 0 THEN CAST(CAST(md.cost_usd AS BIGINT) AS VARCHAR)
+                             WHEN 1 THEN ' -' || md.line_item_id || '.5 '
+                             WHEN 2 THEN '' WHEN 3 THEN 'abc' WHEN 4 THEN md.line_item_id || ',000'
+                             WHEN 5 THEN md.line_item_id || 'd' WHEN 6 THEN 'nan'
+                             WHEN 8 THEN md.line_item_id || 'e2' END AS text FROM {_FACT}) t) x
+        GROUP BY 1, 2""",
+)

@@ -30,11 +30,17 @@ DENOM_NUMERIC = ("rev_total", "flag_adx")
 ARPU_NUMERIC = ("rev_before", "rev_after_total", "rev_after_oo", "rev_after_in_meli")
 
 
-def _scalar(one_row: DataFrame, col: str):
-    """A column of a global aggregate as a scalar subquery: evaluated once
-    and used as a value, no join (Catalyst merges subqueries over the same
-    aggregate into one)."""
-    return one_row.select(col).scalar()
+def _scalars(one_row: DataFrame):
+    """The row of a global aggregate as one struct, a scalar subquery: no
+    join, and evaluated once however many of its fields are used (a subquery
+    for each column would be pruned to a plan of its own)."""
+    return one_row.select(F.struct("*").alias("row")).scalar()
+
+
+def _endemic(cfg: C.LaunchConfig | None):
+    """The sector flag by the run's own sector list."""
+    sectors = C.NON_ENDEMIC_VERTICALS if cfg is None else cfg.non_endemic_verticals
+    return ~is_non_endemic(F.col("vertical"), sectors)
 
 
 # --- preparation of each extract -------------------------------------------
@@ -55,11 +61,11 @@ def network_items(enet: DataFrame) -> DataFrame:
     return classified_network_items(enet).where(F.col("inv_setting").isNotNull())
 
 
-def population(denom: DataFrame) -> DataFrame:
-    return to_numbers(denom, DENOM_NUMERIC).withColumn("is_endemic", ~is_non_endemic(F.col("vertical")))
+def population(denom: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
+    return to_numbers(denom, DENOM_NUMERIC).withColumn("is_endemic", _endemic(cfg))
 
 
-def adopter_deltas(arpu: DataFrame) -> DataFrame:
+def adopter_deltas(arpu: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """Adopters with the sector flag and the delta columns."""
     a = to_numbers(arpu, ARPU_NUMERIC)
     if "has_dot_com" in a.columns:
@@ -68,7 +74,7 @@ def adopter_deltas(arpu: DataFrame) -> DataFrame:
         a = a.withColumn("has_dot_com", F.lit(False))
     before, after = F.col("rev_before"), F.col("rev_after_total")
     return (
-        a.withColumn("is_endemic", ~is_non_endemic(F.col("vertical")))
+        a.withColumn("is_endemic", _endemic(cfg))
         .withColumn("arpu_delta", after - before)
         .withColumn("arpu_delta_pct", safe_ratio(after - before, before, 100))
         # on-site revenue after launch against *total* revenue before it
@@ -80,7 +86,7 @@ def adopter_deltas(arpu: DataFrame) -> DataFrame:
 # --- network items -----------------------------------------------------------
 
 
-def kpi_advertiser_summary(enet: DataFrame) -> DataFrame:
+def kpi_advertiser_summary(enet: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """Per advertiser: name, vertical, highest inventory category, sums,
     distinct line items, endemic flag.  NULL advertisers are left out."""
     e = network_items(enet).where(F.col("advertiser_id").isNotNull())
@@ -96,7 +102,7 @@ def kpi_advertiser_summary(enet: DataFrame) -> DataFrame:
         F.countDistinct("line_item_id").alias("n_li"),
     )
     return g.withColumn("inv_category", priority_category(F.col("max_inv_pri"))).withColumn(
-        "is_endemic", ~is_non_endemic(F.col("vertical"))
+        "is_endemic", _endemic(cfg)
     )
 
 
@@ -105,13 +111,17 @@ def kpi_volume_by_inventory(enet: DataFrame) -> DataFrame:
     and label, highest priority first.  An advertiser may count in several
     categories, so shares need not add up to 100."""
     e = network_items(enet)
-    g = e.groupBy("inv_setting").agg(
-        F.countDistinct("advertiser_id").alias("n_adv"),
-        F.countDistinct("line_item_id").alias("n_li"),
-        F.sum("rev_total").alias("rev"),
-        F.sum("rev_off").alias("rev_off"),
-        F.sum("rev_in").alias("rev_in"),
-        F.sum("prints_total").alias("prints_total"),
+    # two distinct counts, each in two steps (per key, then counted), so that
+    # no row is expanded; the parts have three rows each
+    sums = {"rev": "rev_total", "rev_off": "rev_off", "rev_in": "rev_in", "prints_total": "prints_total"}
+    per_adv = e.groupBy("inv_setting", "advertiser_id").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    per_item = e.select("inv_setting", "line_item_id").distinct()
+    one = per_adv.groupBy("inv_setting").agg(
+        F.count("advertiser_id").alias("n_adv"), F.lit(0).cast("bigint").alias("n_li"), *[F.sum(n).alias(n) for n in sums]
+    )
+    two = per_item.groupBy("inv_setting").agg(F.count("line_item_id").alias("n_li"))
+    g = one.unionByName(two, allowMissingColumns=True).groupBy("inv_setting").agg(
+        *[F.sum(n).alias(n) for n in ("n_adv", "n_li", *sums)]
     )
     return (
         g.withColumn("cpm", safe_ratio(F.col("rev"), F.col("prints_total"), 1000))
@@ -127,11 +137,11 @@ def kpi_volume_by_inventory(enet: DataFrame) -> DataFrame:
 # --- population --------------------------------------------------------------
 
 
-def population_totals(denom: DataFrame) -> DataFrame:
+def population_totals(denom: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """One row: distinct advertisers and revenue of the population, and the
     distinct non-endemic advertisers, also those with off-site delivery.
     Distinct counts are done in two steps (per advertiser, then summed)."""
-    d = population(denom)
+    d = population(denom, cfg)
     non_end = ~F.col("is_endemic")
     per_adv = d.groupBy("advertiser_id").agg(
         F.sum("rev_total").alias("rev"),
@@ -147,11 +157,11 @@ def population_totals(denom: DataFrame) -> DataFrame:
     )
 
 
-def kpi_population_totals(denom: DataFrame) -> DataFrame:
-    return population_totals(denom)
+def kpi_population_totals(denom: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
+    return population_totals(denom, cfg)
 
 
-def kpi_adoption_rates(enet: DataFrame, denom: DataFrame) -> DataFrame:
+def kpi_adoption_rates(enet: DataFrame, denom: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """The three inventory categories in fixed order, each with advertisers
     and revenue (0 when absent) and their share of the population (0 when
     the population is empty).  Shares may exceed 100: the population has a
@@ -187,15 +197,15 @@ def kpi_adoption_rates(enet: DataFrame, denom: DataFrame) -> DataFrame:
             )
         ).alias("x")
     ).select("x.*")
-    tot = population_totals(denom)
+    rows = rows.withColumn("pop", _scalars(population_totals(denom, cfg)))
     return (
         rows.select(
             "inv_setting",
             "category",
             "n_adv",
             "rev",
-            ratio_or_zero(F.col("n_adv"), _scalar(tot, "total_adv")).alias("adv_pct"),
-            ratio_or_zero(F.col("rev"), _scalar(tot, "total_rev")).alias("rev_pct"),
+            ratio_or_zero(F.col("n_adv"), F.col("pop.total_adv")).alias("adv_pct"),
+            ratio_or_zero(F.col("rev"), F.col("pop.total_rev")).alias("rev_pct"),
             "ord",
         )
         .coalesce(1)
@@ -207,22 +217,22 @@ def kpi_adoption_rates(enet: DataFrame, denom: DataFrame) -> DataFrame:
 # --- adopters ----------------------------------------------------------------
 
 
-def kpi_adopter_deltas(arpu: DataFrame) -> DataFrame:
-    return adopter_deltas(arpu)
+def kpi_adopter_deltas(arpu: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
+    return adopter_deltas(arpu, cfg)
 
 
-def endemic_adopters(arpu: DataFrame) -> DataFrame:
-    return adopter_deltas(arpu).where(F.col("is_endemic"))
+def endemic_adopters(arpu: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
+    return adopter_deltas(arpu, cfg).where(F.col("is_endemic"))
 
 
-def non_endemic_adopters(arpu: DataFrame) -> DataFrame:
-    return adopter_deltas(arpu).where(~F.col("is_endemic"))
+def non_endemic_adopters(arpu: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
+    return adopter_deltas(arpu, cfg).where(~F.col("is_endemic"))
 
 
-def kpi_endemic_arpu(arpu: DataFrame) -> DataFrame:
+def kpi_endemic_arpu(arpu: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """One row: endemic adopter rows, revenue before / after and the average
     per row (divisor at least 1).  Rows are site x advertiser x strategy."""
-    e = endemic_adopters(arpu)
+    e = endemic_adopters(arpu, cfg)
     g = e.agg(
         F.count(F.lit(1)).alias("n_endemic"),
         F.coalesce(F.sum("rev_before"), F.lit(0.0)).alias("total_before"),
@@ -232,36 +242,32 @@ def kpi_endemic_arpu(arpu: DataFrame) -> DataFrame:
     return g.withColumn("arpu_before", F.col("total_before") / n).withColumn("arpu_after", F.col("total_after") / n)
 
 
-def kpi_endemic_incremental(arpu: DataFrame) -> DataFrame:
+def kpi_endemic_incremental(arpu: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """Endemic adopters whose revenue grew and that have an external destination."""
-    return endemic_adopters(arpu).where((F.col("rev_after_total") > F.col("rev_before")) & F.col("has_dot_com"))
+    return endemic_adopters(arpu, cfg).where((F.col("rev_after_total") > F.col("rev_before")) & F.col("has_dot_com"))
 
 
 def kpi_endemic_cannibalised(arpu: DataFrame, cfg: C.LaunchConfig) -> DataFrame:
     """Endemic adopters whose on-site revenue fell below the threshold."""
     d = F.col("in_meli_delta_pct")
-    return endemic_adopters(arpu).where(d.isNotNull() & (d < F.lit(cfg.cannibalisation_pct)))
+    return endemic_adopters(arpu, cfg).where(d.isNotNull() & (d < F.lit(cfg.cannibalisation_pct)))
 
 
-def kpi_nonendemic_opportunity(arpu: DataFrame, denom: DataFrame) -> DataFrame:
+def kpi_nonendemic_opportunity(arpu: DataFrame, denom: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """Non-endemic population rows of advertisers that adopted nowhere (the
     adopter set is by advertiser only: all its sites and strategies go)."""
-    pop = population(denom).where(~F.col("is_endemic"))
-    return anti_join_null_safe(pop, non_endemic_adopters(arpu).select("advertiser_id"), "advertiser_id")
+    pop = population(denom, cfg).where(~F.col("is_endemic"))
+    return anti_join_null_safe(pop, non_endemic_adopters(arpu, cfg).select("advertiser_id"), "advertiser_id")
 
 
-def kpi_nonendemic_adoption(arpu: DataFrame, denom: DataFrame) -> DataFrame:
+def kpi_nonendemic_adoption(arpu: DataFrame, denom: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """One row: distinct non-endemic adopters against the non-endemic
     population and its off-site part (shares 0 when a base is empty)."""
-    ids = non_endemic_adopters(arpu).groupBy("advertiser_id").agg(F.lit(1).alias("x"))
+    ids = non_endemic_adopters(arpu, cfg).groupBy("advertiser_id").agg(F.lit(1).alias("x"))
     # a missing id counts once, as one element of a set
     n = ids.agg(F.count(F.lit(1)).alias("n_adopters"))
-    tot = population_totals(denom)
-    base = n.select(
-        "n_adopters",
-        _scalar(tot, "non_endemic_adv").alias("non_endemic_adv"),
-        _scalar(tot, "non_endemic_adx_adv").alias("non_endemic_adx_adv"),
-    )
+    n = n.withColumn("pop", _scalars(population_totals(denom, cfg)))
+    base = n.select("n_adopters", "pop.non_endemic_adv", "pop.non_endemic_adx_adv")
     return base.select(
         "*",
         ratio_or_zero(F.col("n_adopters"), F.col("non_endemic_adv")).alias("adoption_pct_display"),

@@ -20,6 +20,7 @@ from ..functions import (
     safe_ratio,
     site_label,
     strategy,
+    to_number,
 )
 from ..operators import (
     absent_flag,
@@ -69,13 +70,13 @@ def op_inventory_variants(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
 
 def op_sector_flag(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     """Each vertical with its non-endemic flag."""
-    return src.daily_metrics.select("vertical", is_non_endemic(F.col("vertical")).alias("non_endemic")).distinct()
+    return src.daily_metrics.select("vertical", is_non_endemic(F.col("vertical"), cfg.non_endemic_verticals).alias("non_endemic")).distinct()
 
 
 def op_site_label(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     """Each site with its label (the code itself when unknown)."""
     return src.daily_metrics.select("site").distinct().select(
-        F.col("site").cast("string").alias("site"), site_label(F.col("site")).alias("site_label")
+        F.col("site").cast("string").alias("site"), site_label(F.col("site"), cfg.site_labels).alias("site_label")
     )
 
 
@@ -279,6 +280,19 @@ def op_group_by_expression(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     )
 
 
+def op_numeric_coercion(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Numbers read from text: each fact row's cost and line item as text,
+    written in one of nine ways (some no numbers: 0), with rows per value."""
+    cost, item = F.col("cost_usd").cast("bigint").cast("string"), F.col("line_item_id").cast("string")
+    texts = [
+        cost, F.concat(F.lit(" -"), item, F.lit(".5 ")), F.lit(""), F.lit("abc"), F.concat(item, F.lit(",000")),
+        F.concat(item, F.lit("d")), F.lit("nan"), F.lit(None).cast("string"), F.concat(item, F.lit("e2")),
+    ]
+    text = F.element_at(F.array(*texts), (F.col("line_item_id") % len(texts) + 1).cast("int"))
+    rows = src.daily_metrics.select(text.alias("text"))
+    return rows.groupBy("text", to_number(F.col("text")).alias("number")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def csv_replay(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     """Adopters written as CSV to the shared folder and read back with the
     live schema: the replayed rows must equal the live ones."""
@@ -314,4 +328,5 @@ OPS = {
     "op_anti_join": op_anti_join,
     "op_any_value": op_any_value,
     "op_group_by_expression": op_group_by_expression,
+    "op_numeric_coercion": op_numeric_coercion,
 }

@@ -37,7 +37,7 @@ def _top(df: DataFrame, by: str, n: int, ties=ADOPTER_TIES) -> DataFrame:
 def top_endemic_adopters(arpu: DataFrame, cfg: C.LaunchConfig, n: int = C.TOP_ENDEMIC) -> DataFrame:
     """Endemic adopters with the highest revenue after launch, raw numbers and
     the two status classes (a missing change counts as 'neg')."""
-    d = kpis.endemic_adopters(arpu)
+    d = kpis.endemic_adopters(arpu, cfg)
     pct, can = F.col("arpu_delta_pct"), F.col("in_meli_delta_pct")
     return _top(d, "rev_after_total", n).select(
         "site",
@@ -57,15 +57,15 @@ def top_endemic_adopters(arpu: DataFrame, cfg: C.LaunchConfig, n: int = C.TOP_EN
     )
 
 
-def top_opportunities(arpu: DataFrame, denom: DataFrame, n: int = C.TOP_OPPORTUNITIES) -> DataFrame:
+def top_opportunities(arpu: DataFrame, denom: DataFrame, cfg: C.LaunchConfig | None = None, n: int = C.TOP_OPPORTUNITIES) -> DataFrame:
     """Non-endemic population rows (site x advertiser x strategy) with the
     highest revenue among advertisers that did not adopt."""
-    opp = kpis.kpi_nonendemic_opportunity(arpu, denom)
+    opp = kpis.kpi_nonendemic_opportunity(arpu, denom, cfg)
     return _top(opp, "rev_total", n).select("site", "advertiser_id", "advertiser_name", "vertical", "strategy", "rev_total")
 
 
-def top_nonendemic_adopters(arpu: DataFrame, n: int = C.TOP_NON_ENDEMIC) -> DataFrame:
-    d = kpis.non_endemic_adopters(arpu)
+def top_nonendemic_adopters(arpu: DataFrame, cfg: C.LaunchConfig | None = None, n: int = C.TOP_NON_ENDEMIC) -> DataFrame:
+    d = kpis.non_endemic_adopters(arpu, cfg)
     return _top(d, "rev_after_total", n).select(
         "site", "advertiser_id", "advertiser_name", "vertical", "strategy", "rev_after_oo", "rev_after_total"
     )
@@ -97,10 +97,10 @@ def tbl_volume(enet: DataFrame) -> DataFrame:
     return kpis.kpi_volume_by_inventory(enet).select("inv_setting", "inv_label", "n_adv", "n_li", "rev", "cpm")
 
 
-def tbl_adoption(enet: DataFrame, denom: DataFrame) -> DataFrame:
+def tbl_adoption(enet: DataFrame, denom: DataFrame, cfg: C.LaunchConfig | None = None) -> DataFrame:
     """Adoption table rows with shares rounded to one decimal for display,
     half to even on the exact value like Python's ``round``."""
-    a = kpis.kpi_adoption_rates(enet, denom)
+    a = kpis.kpi_adoption_rates(enet, denom, cfg)
     return a.select(
         "category",
         "n_adv",
@@ -182,12 +182,12 @@ def json_records(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.select(F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}).alias("record"))
 
 
-def record_frames(extracts: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def record_frames(extracts: Mapping[str, DataFrame], cfg: C.LaunchConfig | None = None) -> dict[str, DataFrame]:
     """The five record sets of the report, derived from the extracts."""
     return {
         "enet": kpis.network_items(extracts["enet"]),
-        "denom": kpis.population(extracts["aw_denom"]),
-        "arpu": kpis.adopter_deltas(extracts["arpu"]),
+        "denom": kpis.population(extracts["aw_denom"], cfg),
+        "arpu": kpis.adopter_deltas(extracts["arpu"], cfg),
         "nuevos": extracts["nuevos"],
         "iab": extracts["iab"],
     }
@@ -197,7 +197,7 @@ def report_bundle(extracts: Mapping[str, DataFrame], cfg: C.LaunchConfig) -> Dat
     """``(record_set, record)`` rows: every record of the five sets as JSON,
     plus one ``config`` record (dates, thresholds, sorted sector list, site
     labels)."""
-    frames = record_frames(extracts)
+    frames = record_frames(extracts, cfg)
     parts = [
         json_records(frames[k], RECORD_COLUMNS[k]).select(F.lit(k).alias("record_set"), "record") for k in RECORD_COLUMNS
     ]
@@ -209,6 +209,32 @@ def report_bundle(extracts: Mapping[str, DataFrame], cfg: C.LaunchConfig) -> Dat
     return out
 
 
+CONFIG_FIELDS = (
+    "oo_start string, analysis_end string, before_start string, before_end string, days_after bigint, "
+    "adx_min_usd double, history_start string, non_endemic array<string>, sites_lbl map<string,string>"
+)
+
+
+def parsed_records(records: DataFrame, frame: DataFrame, cols: list[str]) -> DataFrame:
+    """JSON records read back into the typed columns they were made of."""
+    shape = frame.select([c for c in cols if c in frame.columns]).schema
+    return records.select(F.from_json("record", shape).alias("r")).select("r.*")
+
+
+def parsed_bundle(extracts: Mapping[str, DataFrame], cfg: C.LaunchConfig) -> DataFrame:
+    """The bundle read back: a row per record, with the fields of every
+    record set (NULL where a set lacks one); lists of the config as text."""
+    bundle, frames = report_bundle(extracts, cfg), record_frames(extracts, cfg)
+    of = lambda k: bundle.where(F.col("record_set") == k)
+    parts = [parsed_records(of(k), frames[k], c).withColumn("record_set", F.lit(k)) for k, c in RECORD_COLUMNS.items()]
+    config = of("config").select("record_set", F.from_json("record", CONFIG_FIELDS).alias("r")).select("record_set", "r.*")
+    labels = F.transform(F.map_entries("sites_lbl"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    out = config.withColumns({"non_endemic": F.array_join("non_endemic", ","), "sites_lbl": F.array_join(labels, ",")})
+    for p in parts:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def write_report_bundle(bundle: DataFrame, out_dir: str) -> None:
     """JSON-lines text, one folder per record set (``record_set=<name>``)."""
     bundle.write.mode("overwrite").partitionBy("record_set").text(out_dir)
@@ -255,36 +281,38 @@ def run_report(
     # memory (spilling to disk); a lost block is re-read from the cache files
     ext = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in ext.items()}
     tables = {
-        "kpi_advertiser_summary": kpis.kpi_advertiser_summary(ext["enet"]),
+        "kpi_advertiser_summary": kpis.kpi_advertiser_summary(ext["enet"], cfg),
         "kpi_volume_by_inventory": kpis.kpi_volume_by_inventory(ext["enet"]),
-        "kpi_population_totals": kpis.kpi_population_totals(ext["aw_denom"]),
-        "kpi_adoption_rates": kpis.kpi_adoption_rates(ext["enet"], ext["aw_denom"]),
-        "kpi_endemic_arpu": kpis.kpi_endemic_arpu(ext["arpu"]),
-        "kpi_endemic_incremental": kpis.kpi_endemic_incremental(ext["arpu"]),
+        "kpi_population_totals": kpis.kpi_population_totals(ext["aw_denom"], cfg),
+        "kpi_adoption_rates": kpis.kpi_adoption_rates(ext["enet"], ext["aw_denom"], cfg),
+        "kpi_endemic_arpu": kpis.kpi_endemic_arpu(ext["arpu"], cfg),
+        "kpi_endemic_incremental": kpis.kpi_endemic_incremental(ext["arpu"], cfg),
         "kpi_endemic_cannibalised": kpis.kpi_endemic_cannibalised(ext["arpu"], cfg),
-        "kpi_nonendemic_opportunity": kpis.kpi_nonendemic_opportunity(ext["arpu"], ext["aw_denom"]),
-        "kpi_nonendemic_adoption": kpis.kpi_nonendemic_adoption(ext["arpu"], ext["aw_denom"]),
+        "kpi_nonendemic_opportunity": kpis.kpi_nonendemic_opportunity(ext["arpu"], ext["aw_denom"], cfg),
+        "kpi_nonendemic_adoption": kpis.kpi_nonendemic_adoption(ext["arpu"], ext["aw_denom"], cfg),
         "kpi_first_time_counts": kpis.kpi_first_time_counts(ext["nuevos"]),
         "kpi_creative_adoption": kpis.kpi_creative_adoption(ext["iab"]),
         "top_endemic_adopters": top_endemic_adopters(ext["arpu"], cfg),
-        "top_opportunities": top_opportunities(ext["arpu"], ext["aw_denom"]),
-        "top_nonendemic_adopters": top_nonendemic_adopters(ext["arpu"]),
+        "top_opportunities": top_opportunities(ext["arpu"], ext["aw_denom"], cfg),
+        "top_nonendemic_adopters": top_nonendemic_adopters(ext["arpu"], cfg),
         "list_first_time_adx": list_first_time_adx(ext["nuevos"]),
         "list_first_time_dsp": list_first_time_dsp(ext["nuevos"]),
         "tbl_volume": tbl_volume(ext["enet"]),
-        "tbl_adoption": tbl_adoption(ext["enet"], ext["aw_denom"]),
+        "tbl_adoption": tbl_adoption(ext["enet"], ext["aw_denom"], cfg),
         "qc_unknown_inventory": qc_unknown_inventory(ext["enet"]),
         "qc_unknown_inventory_values": qc_unknown_inventory_values(ext["enet"]),
     }
     if src is not None:
         tables["qc_duplicate_keys"] = qc_duplicate_keys(src)
     paths = {"extracts": cache}
-    for name, df in tables.items():
-        p = f"{root}/tables/{name}"
-        df.write.mode("overwrite").option("ignoreNullFields", False).json(p)
-        paths[name] = p
-    paths["bundle"] = f"{root}/bundle"
-    write_report_bundle(report_bundle(ext, cfg), paths["bundle"])
-    for v in ext.values():
-        v.unpersist()
+    try:
+        for name, df in tables.items():
+            p = f"{root}/tables/{name}"
+            df.write.mode("overwrite").option("ignoreNullFields", False).json(p)
+            paths[name] = p
+        paths["bundle"] = f"{root}/bundle"
+        write_report_bundle(report_bundle(ext, cfg), paths["bundle"])
+    finally:
+        for v in ext.values():
+            v.unpersist()
     return {"paths": paths, "rows": rows}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adlift.operators import absent_flag, anti_join_null_safe, distinct_counts, left_join_nullable_key
+from conftest import SF0001
 
 
 def _rows(df):
@@ -71,3 +72,25 @@ def test_left_join_nullable_key_with_only_the_key_column(spark):
     left = spark.createDataFrame([(None,), (1,), (None,), (2,)], "k bigint").repartition(3)
     right = spark.createDataFrame([(1, "x")], "k bigint, r string")
     assert _rows(left_join_nullable_key(left, right, "k")) == _rows(left.join(right, "k", "left"))
+
+
+def test_sector_list_and_site_labels_of_the_run_take_effect(spark):
+    from dataclasses import replace
+
+    from adlift.config import FIXTURE_CONFIG
+    from adlift.plans import kpis, ops, report
+    from adlift.plans.extracts import all_extracts
+    from adlift.sources import fixture_sources
+
+    src = fixture_sources(spark, SF0001)
+    cfg = replace(FIXTURE_CONFIG, non_endemic_verticals=("HOME",), site_labels={"3": "Third"})
+    ext = all_extracts(src, cfg)
+    for frame in (kpis.kpi_adopter_deltas(ext["arpu"], cfg), kpis.population(ext["aw_denom"], cfg)):
+        flags = {r["vertical"]: r["is_endemic"] for r in frame.select("vertical", "is_endemic").distinct().collect()}
+        assert flags["HOME"] is False and flags["FINANCIAL_SERVICES"] is True
+    base = kpis.kpi_population_totals(ext["aw_denom"], FIXTURE_CONFIG).first()["non_endemic_adv"]
+    assert kpis.kpi_population_totals(ext["aw_denom"], cfg).first()["non_endemic_adv"] != base
+    bundle = report.parsed_bundle(ext, cfg).where("record_set = 'denom' and vertical = 'HOME'")
+    assert {r["is_endemic"] for r in bundle.select("is_endemic").distinct().collect()} == {False}
+    labels = {r["site"]: r["site_label"] for r in ops.op_site_label(src, cfg).collect()}
+    assert labels["3"] == "Third" and labels["4"] == "4"

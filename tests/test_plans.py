@@ -128,3 +128,14 @@ def test_top_n_is_take_ordered(src):
 def test_creative_adoption_counts_without_expand(src):
     text = plan_text(kpis.kpi_creative_adoption(EXTRACTS["iab"](src, CFG)))
     assert "Expand" not in text
+
+
+def test_population_is_aggregated_once(src):
+    ext = {k: EXTRACTS[k](src, CFG) for k in ("enet", "aw_denom", "arpu")}
+    for df in (kpis.kpi_adoption_rates(ext["enet"], ext["aw_denom"]), kpis.kpi_nonendemic_adoption(ext["arpu"], ext["aw_denom"])):
+        assert len(fact_scans(plan_text(df))) == 2
+
+
+def test_volume_counts_without_expand(src):
+    text = plan_text(kpis.kpi_volume_by_inventory(EXTRACTS["enet"](src, CFG)))
+    assert "Expand" not in text and "SortAggregate" not in text
