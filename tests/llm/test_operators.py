@@ -295,3 +295,12 @@ def test_fingerprints(docs, no_docs, spark):
     assert (fingerprints.from_text(whole) == union).all()
     a, b = (fingerprints.sketch_of(text_hash.word_hashes(t.encode(), text_hash.SPACES)) for t in (ROWS[0][1], ROWS[2][1]))
     assert fingerprints.containment(a, b) == 1.0 and fingerprints.resemblance(a, b) == pytest.approx(76 / 77)
+
+
+def test_components_of_separate_graphs(spark):
+    from adlift.llm.components import components as found
+
+    rows = [("x", 5, 4), ("x", 4, 3), ("x", 3, 5), ("y", 5, 9), ("y", 9, 5), ("y", 7, 7), ("x", 8, 9)]
+    got = found(spark.createDataFrame(rows, "graph string, a bigint, b bigint"), "graph")
+    assert sorted(tuple(r) for r in got.select("graph", "node", "root").collect()) == [
+        ("x", 3, 3), ("x", 4, 3), ("x", 5, 3), ("x", 8, 8), ("x", 9, 8), ("y", 5, 5), ("y", 9, 5)]
