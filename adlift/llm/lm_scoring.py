@@ -55,6 +55,38 @@ def _range_ends(distinct: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(distinct, edges), len(distinct))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as byte planes, of 4 bytes each or of 8 if one needs them."""
+    wide = len(counts) and counts.max() >= 1 << 32
+    return b"\x08" + planes(counts.astype(U64)) if wide else b"\x04" + planes(counts.astype(np.uint32))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return from_planes(data[1:], U64 if data[0] == 8 else np.uint32).astype(np.int64)
+
+
+def range_totals(t: pa.Table) -> pa.Table:
+    """For each batch, the corpus counts of its n-grams in a hash range."""
+    hashes = [np.cumsum(from_planes(x, U64)) << U64(8) for x in t.column("hashes").to_pylist()]
+    counts = np.concatenate([_unpacked(x) for x in t.column("counts").to_pylist()])
+    ends = np.cumsum([len(h) for h in hashes])
+    every = np.concatenate(hashes)
+    del hashes
+    order = np.argsort(every, kind="stable")
+    every, counts = every[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    sums = np.add.reduceat(counts, first)
+    back = np.empty(len(every), dtype=np.int64)
+    back[order] = np.repeat(sums, np.diff(np.append(first, len(every))))
+    packed = [zlib.compress(_packed(x), 4) for x in np.split(back, ends[:-1])]
+    return pa.table({"range": t.column("range"), "batch": t.column("batch"), "totals": pa.array(packed, pa.binary())})
+
+
+def batch_totals(packed: list[bytes]) -> np.ndarray:
+    """The corpus counts of a batch's n-grams, from its answers by range."""
+    return np.concatenate([_unpacked(zlib.decompress(x)) for x in packed] or [np.empty(0, np.int64)])
+
+
 def _own_counts(places: np.ndarray) -> np.ndarray:
     """For each n-gram of one document, how often the document has it."""
     _, inverse, counts = np.unique(places, return_inverse=True, return_counts=True)
@@ -96,30 +128,15 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
                 out["range"].append(r)
                 out["batch"].append(t.column("batch")[0].as_py())
                 out["hashes"].append(planes(np.diff(part >> U64(8), prepend=U64(0))))
-                out["counts"].append(planes(counts[start:end].astype(np.uint32)))
+                out["counts"].append(_packed(counts[start:end]))
                 start = end
         return pa.table(out, pa.schema([("range", pa.int32()), ("batch", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())]))
 
-    def total(t: pa.Table) -> pa.Table:
-        hashes = [np.cumsum(from_planes(x, U64)) << U64(8) for x in t.column("hashes").to_pylist()]
-        counts = np.concatenate([from_planes(x, np.uint32) for x in t.column("counts").to_pylist()])
-        ends = np.cumsum([len(h) for h in hashes])
-        every = np.concatenate(hashes)
-        del hashes
-        order_ = np.argsort(every, kind="stable")
-        every, counts = every[order_], counts[order_]
-        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        sums = np.add.reduceat(counts.astype(np.int64), first)
-        back = np.empty(len(every), dtype=np.int64)
-        back[order_] = np.repeat(sums, np.diff(np.append(first, len(every))))
-        packed = [zlib.compress(planes(x.astype(np.uint32)), 4) for x in np.split(back, ends[:-1])]
-        return pa.table({"range": t.column("range"), "batch": t.column("batch"), "totals": pa.array(packed, pa.binary())})
-
     def score(t: pa.Table, answers: pa.Table) -> pa.Table:
         words = hash_texts(t.column("text").to_pylist(), SPACES)
         _, _, places = _ngrams(words, order)
         parts = sorted(zip(answers.column("range").to_pylist(), answers.column("totals").to_pylist()))
-        totals = np.concatenate([from_planes(zlib.decompress(x), np.uint32).astype(np.int64) for _, x in parts] or [np.empty(0, np.int64)])
+        totals = batch_totals([x for _, x in parts])
         n = np.array([len(w) for w in words])
         ends = [np.cumsum(np.maximum(n - k, 0)) for k in range(order)]
         scores = [
@@ -130,7 +147,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
 
     n_all = int(rows.select(_word_count().alias("n")).agg(F.sum("n")).first()[0] or 0)
     table = dealt.groupBy("batch").applyInArrow(count, "range int, batch int, hashes binary, counts binary")
-    answers = table.groupBy("range").applyInArrow(total, "range int, batch int, totals binary")
+    answers = table.groupBy("range").applyInArrow(range_totals, "range int, batch int, totals binary")
     answers = answers.select("range", F.col("batch").alias("batch"), "totals")
     scored = dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"doc_id {kind}, n_words bigint, log_score double")
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -214,6 +215,16 @@ def test_backoff_scores(docs, no_docs):
     assert lm_scoring.backoff_scores(no_docs).count() == 0
 
 
+def test_totals_above_32_bits():
+    grams = np.array([1 << 8, 2 << 8, 3 << 8], dtype=np.uint64)
+    hashes = text_hash.planes(np.diff(grams >> np.uint64(8), prepend=np.uint64(0)))
+    counts = [[3_000_000_000, 1, 4_294_967_295], [2_000_000_000, 2, 1]]
+    t = pa.table({"range": [0, 0], "batch": [0, 1], "hashes": [hashes] * 2, "counts": [lm_scoring._packed(np.array(c)) for c in counts]})
+    for x in lm_scoring.range_totals(t).column("totals").to_pylist():
+        assert lm_scoring.batch_totals([x]).tolist() == [5_000_000_000, 3, 4_294_967_296]
+    assert lm_scoring.batch_totals([]).tolist() == []
+
+
 def test_decontaminate(docs, no_docs, spark):
     alpha = BASE_WORDS = ROWS[0][1].split()
     items = [("i1", " ".join(alpha[5:25])), ("i1", " ".join(alpha[5:25])), ("i2", "FEW, words"), ("i3", None), ("i4", "... !"), (None, " ".join(BASE_WORDS[60:75])), ("i5", "w5x5 w6x6 w7x7 absent")]
