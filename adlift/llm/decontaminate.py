@@ -108,9 +108,9 @@ def _filter(prints: DataFrame) -> tuple[np.ndarray, int, list[int]]:
     return table, shift, sorted(lengths)
 
 
-def _document_seeds(docs: DataFrame, bits, shift: int, lengths: list[int], span: int, k: int) -> DataFrame:
+def _document_seeds(docs: DataFrame, bits, shift: int, lengths: list[int], span: int, k: int, row: str | None) -> DataFrame:
     """(uid, doc_id, n_words, seeds): every document, with the fingerprints
-    that pass the filter."""
+    that pass the filter; uid is column ``row`` if there is one."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kind = docs.schema["doc_id"].dataType
     schema = pa.schema(
@@ -141,12 +141,13 @@ def _document_seeds(docs: DataFrame, bits, shift: int, lengths: list[int], span:
                     own += [{"start": int(i), "n": span, "h": int(grams[i].view(np.int64)), "words": w.tobytes()} for i, w in zip(at, around)]
                 n_words.append(len(words))
                 seeds.append(own)
-            uids = np.arange(uid, uid + len(n_words))
+            uids = b.column("uid") if row else pa.array(np.arange(uid, uid + len(n_words)))
             uid += len(n_words)
-            cols = [pa.array(uids), b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(seeds, schema.field("seeds").type)]
+            cols = [uids, b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(seeds, schema.field("seeds").type)]
             yield pa.RecordBatch.from_arrays(cols, names=["uid", "doc_id", "n_words", "seeds"])
 
-    return docs.select("doc_id", utf8().alias("text")).mapInArrow(run, f"uid bigint, doc_id {kind.simpleString()}, n_words bigint, seeds array<{_SEED}>")
+    own = [F.col(row).alias("uid")] if row else []
+    return docs.select("doc_id", utf8().alias("text"), *own).mapInArrow(run, f"uid bigint, doc_id {kind.simpleString()}, n_words bigint, seeds array<{_SEED}>")
 
 
 def _extended(pairs: DataFrame, span: int, k: int) -> DataFrame:
@@ -176,16 +177,16 @@ def _extended(pairs: DataFrame, span: int, k: int) -> DataFrame:
     return pairs.mapInArrow(run, "uid bigint, item_id string, start bigint, stop bigint")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): a row
-    for each document.
+def _marks(docs: DataFrame, items: DataFrame, span: int, k: int, row: str | None = None) -> DataFrame:
+    """(uid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated): a
+    row for each document.
 
     One pass over the texts; what is shuffled are the fingerprints that the
     benchmark may have, not texts.
     """
     spark = docs.sparkSession
     prints = stored(item_fingerprints(items, span, k), "benchmark-prints")
-    seeds = stored(_document_seeds(docs, *_filter(prints), span, k), "document-seeds")
+    seeds = stored(_document_seeds(docs, *_filter(prints), span, k, row), "document-seeds")
     hits = seeds.select("uid", F.inline("seeds")).join(prints.withColumnRenamed("words", "item_words"), ["h", "n"])
     hits = stored(_extended(hits.select("uid", "start", "n", "words", "item_id", "item_words"), span, k), "shared-passages")
     words = (
@@ -200,6 +201,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     )
     marks = words.join(found, "uid", "left")
     return seeds.select("uid", "doc_id", "n_words").join(marks, "uid", "left").select(
+        "uid",
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
@@ -207,3 +209,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
         F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated): a row
+    for each document."""
+    return _marks(docs, items, span, k).drop("uid")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated themselves,
+    whatever their ids: rows are written with an id of their own first."""
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "document-rows")
+    bad = _marks(rows, items, span, k, "__row").where("contaminated").select(F.col("uid").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)

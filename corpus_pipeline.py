@@ -15,10 +15,9 @@ through each stage as its operator defines.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from adlift.llm.common import WORD_BPE, stored, table
-from adlift.llm.decontaminate import decontaminate
+from adlift.llm.decontaminate import clean_documents
 from adlift.llm.mixing import mixed_documents
 from adlift.llm.ngram_join import group_keepers
 from adlift.llm.token_ids import token_ids
@@ -37,10 +36,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    marks = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = marks.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """Documents without a benchmark passage, each row by its own text."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,13 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, SF), "empty")
         assert docs.count() == 0
+
+
+def test_decontaminate_by_row(spark):
+    """A contaminated row takes no clean row of its id, or of no id, with it."""
+    passage = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 12)
+    rows = [(None, passage, 1), (None, "clean words alone", 2), (None, None, 3), (5, "before " + passage, 4), (5, "clean too", 5), (6, passage, 6), (7, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, uid int").repartition(3)
+    after = corpus_pipeline.decontaminate_stage(spark, docs, SF)
+    assert after.columns == docs.columns
+    assert sorted(r.uid for r in after.collect()) == [2, 3, 5, 7]
