@@ -1,11 +1,12 @@
 """Token ids as binary shards under Re-Pair grammar compression.
 
 Documents are encoded in ascending doc_id order, each followed by an end id,
-and the ids are cut into shards.  In a shard, frequent id pairs are replaced by
-nonterminals again and again.  Each round takes the most frequent pairs in
-which no symbol is a first part of one and a second part of another; their
-places cannot overlap, so a round replaces all of them at once.  No pair holds
-the end id, so documents begin on whole symbols.
+and the ids are cut into shards.  In a shard, repeated id pairs are replaced by
+nonterminals until no pair occurs ``LEAST`` times.  Each round takes the most
+frequent pairs in which no symbol is a first part of one and a second part of
+another; their places cannot overlap, so a round replaces all of them at once.
+In a run of one symbol, pairs are taken from the left.  No pair holds the end
+id, so documents begin on whole symbols.
 
 A shard is a row of a Parquet table:
 
@@ -43,8 +44,11 @@ from .common import utf8
 from .tokens import encoder
 
 END_ID = 1
-#: ids in a shard; rounds, rules in a round, and how often a pair must occur
-SHARD_IDS, ROUNDS, ROUND_RULES, LEAST = 1 << 19, 4, 2048, 16
+#: ids in a shard, and how often a pair must occur to be replaced
+SHARD_IDS, LEAST = 1 << 19, 2
+#: a round's rules: its pairs of at least half the greatest count, or so many;
+#: counters that sort out rare pairs, as a power of two
+ROUND_RULES, SLOT_BITS = 2048, 18
 
 
 def _pair_keys(left: np.ndarray, right: np.ndarray, small: bool) -> np.ndarray:
@@ -55,63 +59,100 @@ def _pair_keys(left: np.ndarray, right: np.ndarray, small: bool) -> np.ndarray:
     return (left.astype(np.uint64) << np.uint64(32)) | right
 
 
-def _pair_counts(seq: np.ndarray, end_id: int, small: bool) -> tuple[np.ndarray, np.ndarray]:
-    keys = _pair_keys(seq[:-1], seq[1:], small)
-    keys = np.sort(keys[(seq[:-1] != end_id) & (seq[1:] != end_id)])
-    if not len(keys):
-        return keys, keys
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.diff(np.append(first, len(keys)))
+def _slots(keys: np.ndarray, top: int) -> np.ndarray:
+    """Counters of pairs; other ones in each round, as ``top`` has grown."""
+    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * top + 1)) & (2**64 - 1))
+    return ((keys * odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _chosen(pairs: np.ndarray, counts: np.ndarray, bits: int) -> list[int]:
+    """Pairs of a round, the most frequent first, such that no symbol is both
+    a left and a right part; a pair of equal symbols has its symbol alone."""
+    limit = max(ROUND_RULES, np.count_nonzero(2 * counts >= counts.max()))
+    best = np.argsort(-counts, kind="stable")[: 4 * limit]
+    role: dict[int, int] = {}
+    out, low = [], (1 << bits) - 1
+    for key in pairs[best].tolist():
+        a, b = key >> bits, key & low
+        if a == b:
+            if a in role:
+                continue
+            role[a] = 2
+        elif role.get(a, 0) == 0 and role.get(b, 1) == 1:
+            role[a], role[b] = 0, 1
+        else:
+            continue
+        out.append(key)
+        if len(out) == limit:
+            break
+    return sorted(out)
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules) of ids below ``base``; rule k is (left, right)."""
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(ROUNDS):
-        top = base + len(rules)
+    """(symbols, rules) of ids below ``base``; rule k is (left, right).
+
+    The sequence is a linked list between two end ids.  A round looks at the
+    live places alone: a pair below ``LEAST`` cannot become frequent, as pairs
+    that come up hold a symbol of the last round, so its places are left.
+    """
+    n, end = len(ids), np.uint32(end_id)
+    seq = np.concatenate(([end], ids, [end])).astype(np.uint32)
+    after, before = np.arange(1, n + 3, dtype=np.int32), np.arange(-1, n + 1, dtype=np.int32)
+    live = (seq != end) & np.append(seq[1:] != end, False)
+    stay = np.ones(n + 2, dtype=bool)
+    stay[[0, n + 1]] = False
+    rules, top = [np.empty((0, 2), dtype=np.uint32)], base
+    while True:
         small = top <= 1 << 16
-        bits, low = (16, 0xFFFF) if small else (32, 0xFFFFFFFF)
-        pairs, counts = _pair_counts(seq, end_id, small)
-        often = np.flatnonzero(counts >= LEAST)
-        often = often[np.argsort(-counts[often], kind="stable")][: 4 * ROUND_RULES]
-        # a symbol is a left or a right part in this round, not both
-        role: dict[int, int] = {}
-        chosen = []
-        for key in pairs[often].tolist():
-            a, b = key >> bits, key & low
-            if a != b and role.get(a, 0) == 0 and role.get(b, 1) == 1:
-                role[a], role[b] = 0, 1
-                chosen.append((a, b))
-                if len(chosen) == ROUND_RULES:
-                    break
-        if not chosen:
+        bits = 16 if small else 32
+        at = np.flatnonzero(live).astype(np.int32)
+        left, right = seq[at], seq[after[at]]
+        keys = _pair_keys(left, right, small)
+        # in a run of one symbol, every other place counts, from the left
+        once = np.ones(len(at), dtype=bool)
+        equal = np.flatnonzero(left == right)
+        if len(equal):
+            index = np.arange(len(equal))
+            begins = np.append(True, (after[at[equal[:-1]]] != at[equal[1:]]) | (keys[equal[:-1]] != keys[equal[1:]]))
+            once[equal] = (index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0
+        slots = _slots(keys.astype(np.uint64), top)
+        often = np.bincount(slots[once], minlength=1 << SLOT_BITS)[slots] >= LEAST
+        live[at[~often]] = False
+        often &= once
+        at, keys = at[often], keys[often]
+        pairs = np.sort(keys)
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        pairs, counts = pairs[first], np.diff(np.append(first, len(pairs)))
+        pairs, counts = pairs[counts >= LEAST], counts[counts >= LEAST]
+        if not len(pairs):
             break
-        chosen.sort()
-        parts = np.array(chosen, dtype=np.uint32)
-        left, right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
-        left[parts[:, 0]] = True
-        right[parts[:, 1]] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        names = _pair_keys(parts[:, 0], parts[:, 1], small)
-        keys = _pair_keys(seq[at], seq[at + 1], small)
+        names = np.array(_chosen(pairs, counts, bits), dtype=keys.dtype)
+        parts = np.stack([names >> bits, names & ((1 << bits) - 1)], axis=1).astype(np.uint32)
+        rules.append(parts)
+        lefts = np.zeros(top, dtype=bool)
+        lefts[parts[:, 0]] = True
+        of = lefts[seq[at]]
+        at, keys = at[of], keys[of]
         place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
         hit = names[place] == keys
         at, place = at[hit], place[hit]
-        seq = seq.copy()
+        gone = after[at]
         seq[at] = (top + place).astype(np.uint32)
-        stay = np.ones(len(seq), dtype=bool)
-        stay[at + 1] = False
-        seq = seq[stay]
-        rules += chosen
-    return seq, np.array(rules, dtype="<u4").reshape(-1, 2)
+        stay[gone] = live[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        for x in (at, before[at]):
+            live[x] = (seq[x] != end) & (seq[after[x]] != end)
+        top += len(parts)
+    return seq[stay], np.concatenate(rules).astype("<u4")
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Expansion length of each rule; parts come before the whole."""
-    out = np.ones(len(rules), dtype="<u4")
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = (out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1)
-    return out
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, dtype="<u4")
 
 
 def symbol_lengths(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -120,18 +161,19 @@ def symbol_lengths(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.nd
     return of[symbols]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of symbols, a level of the grammar at a time."""
-    seq = symbols.astype(np.uint32)
-    while len(at := np.flatnonzero(seq >= base)):
-        parts = rules[seq[at] - base]
-        width = np.ones(len(seq), dtype=np.int64)
-        width[at] = 2
-        start = np.cumsum(width) - width
-        out = np.repeat(seq, width)
-        out[start[at]], out[start[at] + 1] = parts[:, 0], parts[:, 1]
-        seq = out
-    return seq
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids of symbols, a level of the grammar at a time; each level has
+    only the symbols that are not ids yet, with their places."""
+    of = symbol_lengths(np.arange(base + len(rules)), rule_lengths(rules, base) if lengths is None else lengths, base)
+    seq, ends = symbols.astype(np.uint32), np.cumsum(of[symbols])
+    out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint32)
+    at = ends - of[seq]
+    while len(seq):
+        leaf = seq < base
+        out[at[leaf]] = seq[leaf]
+        parts, at = rules[seq[~leaf] - base], at[~leaf]
+        seq, at = np.concatenate([parts[:, 0], parts[:, 1]]), np.concatenate([at, at + of[parts[:, 0]]])
+    return out
 
 
 def decode_range(symbols, rules, lengths, base: int, start: int, stop: int) -> np.ndarray:
@@ -139,7 +181,7 @@ def decode_range(symbols, rules, lengths, base: int, start: int, stop: int) -> n
     ends = np.cumsum(symbol_lengths(symbols, lengths, base))
     first, last = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
     skipped = ends[first - 1] if first else 0
-    return expand(symbols[first:last], rules, base)[start - skipped : stop - skipped]
+    return expand(symbols[first:last], rules, base, lengths)[start - skipped : stop - skipped]
 
 
 def _schema(doc_id: pa.DataType) -> pa.Schema:

@@ -128,6 +128,25 @@ def test_re_pair():
     assert token_ids._combined(zlib.crc32(x), zlib.crc32(y), len(y)) == zlib.crc32(x + y)
 
 
+def test_re_pair_to_the_end():
+    """No pair that occurs twice is left, in runs of one id neither."""
+    rng = np.random.default_rng(2)
+    copy = rng.integers(2, 5_000, 3_000)
+    for ids in (np.full(1_000, 7), np.tile([9, 9, 9, 8], 500), np.concatenate([copy, [1], copy, [1], copy, [1]]), rng.integers(0, 9, 20_000), np.full(5, 1), np.empty(0)):
+        ids = ids.astype("<u4")
+        for base in (5_000, 70_000):
+            symbols, rules = token_ids.compress(ids, base)
+            assert (token_ids.expand(symbols, rules, base) == ids).all()
+            seen, last = Counter(), None
+            for pair in zip(symbols.tolist(), symbols.tolist()[1:]):
+                last = None if pair[0] == pair[1] and pair == last else pair  # in a run, every other one
+                if last and 1 not in pair:
+                    seen[pair] += 1
+            assert max(seen.values(), default=0) < 2
+    symbols, rules = token_ids.compress(np.full(1 << 12, 7, dtype="<u4"), 10)
+    assert len(symbols) <= 3 and token_ids.rule_lengths(rules, 10).max() > 16
+
+
 @pytest.mark.parametrize("shard_ids", [token_ids.SHARD_IDS, 64])
 def test_token_ids(docs, no_docs, spark, tmp_path, shard_ids):
     path = str(tmp_path / "shards")
