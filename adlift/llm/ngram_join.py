@@ -19,7 +19,8 @@ of its shingles, so only such groups are opened and compared member by member.
 4. A class that shares enough of these with the members of larger clusters in
    a group meets the group.  The group's union bounds its overlap; qualifying
    groups are opened, and a link into each cluster found there is kept, all
-   that components need.
+   that components need.  ``jaccard_links`` lets a class meet every such group,
+   its own cluster's included, and keeps every link.
 
 Cases: null text is empty; a document without words has 0 shingles and is its
 own component; with fewer than five words the whole sequence is one shingle;
@@ -291,20 +292,21 @@ def _grouped(classes: DataFrame, clusters: DataFrame, alike: DataFrame) -> DataF
     return rows.select("cls", "n", F.struct(F.col("cluster_size").alias("size"), F.col("cluster").alias("id")).alias("rank"), F.xxhash64("kin", part).alias("grp"))
 
 
-def _met_groups(prefixes: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
+def _met_groups(prefixes: DataFrame, grouped: DataFrame, percent: int, whole: bool) -> DataFrame:
     """(cls, grp): classes and groups that share enough first shingles, with
-    members whose clusters rank above the class's."""
+    members whose clusters rank above the class's, or any members."""
     rows = prefixes.join(grouped, "cls")
     matrix = rows.groupBy("token", F.col("grp").alias("met")).agg(F.max("rank").alias("top"))
     queries = rows.select("token", "cls", "n", "rank")
-    met = queries.join(matrix, "token").where("top > rank").groupBy("cls", F.col("met").alias("grp")).agg(F.first("n").alias("n"), F.count("*").alias("shared"))
+    met = queries.join(matrix, "token").where(F.lit(whole) | F.expr("top > rank")).groupBy("cls", F.col("met").alias("grp")).agg(F.first("n").alias("n"), F.count("*").alias("shared"))
     enough = F.ceil(F.ceil(F.col("n") * percent / 100) / PREFIX)
     return met.where(F.col("shared") >= enough).select("cls", "grp")
 
 
-def _opened(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _opened(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int, whole: bool) -> DataFrame:
     """(a, b): for each class and met group whose union holds enough of its
-    shingles, a link with a member of each cluster of higher rank."""
+    shingles, a link with a member of each cluster of higher rank; or its
+    links with all members of smaller name, so that each link comes once."""
     load = met.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
     of = grouped.select("cls", "grp", F.col("rank.size").alias("size"), F.col("rank.id").alias("id"))
     queries = met.join(load, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -333,8 +335,14 @@ def _opened(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -
                 lengths = ends[at + 1] - ends[at]
                 places = np.repeat(ends[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
                 both = np.bincount(member[places], minlength=len(own))
+                linked = np.flatnonzero(100 * both >= percent * (len(x) + n - both)).tolist()
+                if whole:
+                    own_links = [names[i] for i in linked if names[i] < c]
+                    a += [c] * len(own_links)
+                    b += own_links
+                    continue
                 found = {}
-                for i in np.flatnonzero(100 * both >= percent * (len(x) + n - both)).tolist():
+                for i in linked:
                     if ranks[i] > (size, cluster):
                         found[ranks[i]] = names[i]
                 a += [c] * len(found)
@@ -344,10 +352,9 @@ def _opened(met: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -
     return queries.groupBy("grp", "block").cogroup(members.groupBy("grp", "block")).applyInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id, cls, root): a row for each document;
-    the smallest doc_id reachable by links, its own included, names a
-    component; cls is the hash of its set, root a hash for its component."""
+def _prepared(docs: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, n, cls), classes, their groups, and the prefix
+    shingles that several classes have."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     counters = min(COUNTERS[1], max(COUNTERS[0], 1 << (size // 64).bit_length()))
     rows = stored(_documents(docs, shingle, counters), "shingle-sets")
@@ -365,10 +372,36 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = S
     parts = components(both, "graph")
     grouped = stored(_grouped(classes, *(parts.where(F.col("graph") == g) for g in ("near", "alike"))), "groups")
     prefixes = stored(_shared_prefixes(docs, levels, buckets, shingle, percent), "shared-prefixes")
-    met = stored(_met_groups(prefixes, grouped, percent), "met-groups")
+    return rows, classes, grouped, prefixes
+
+
+def _group_links(docs: DataFrame, grouped: DataFrame, prefixes: DataFrame, percent: int, shingle: int, whole: bool) -> DataFrame:
+    met = stored(_met_groups(prefixes, grouped, percent, whole), "met-groups")
     members = grouped.join(met.select("grp").distinct(), "grp", "left_semi").select("cls")
     sets = stored(_sets(docs, met.select("cls").unionByName(members).distinct(), shingle), "group-sets")
-    more = stored(_opened(met, grouped, sets, percent), "group-links")
+    return stored(_opened(met, grouped, sets, percent, whole), "group-links")
+
+
+def jaccard_links(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) between classes, a > b, each once; and (doc_id,
+    n_shingles, cls, n_links), the class of each document and the number of
+    other classes that it links with.  Documents of one class with words are
+    equal sets and link with each other, too; those without words link with
+    none.  The links of a group of near copies grow with its square."""
+    rows, _, grouped, prefixes = _prepared(docs, percent, shingle)
+    links = _group_links(docs, grouped, prefixes, percent, shingle, whole=True)
+    ends = links.select(F.col("a").alias("cls")).unionByName(links.select(F.col("b").alias("cls")))
+    counts = ends.groupBy("cls").agg(F.count("*").alias("n_links"))
+    members = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(counts, "cls", "left")
+    return links, members.select("doc_id", "n_shingles", "cls", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, cls, root): a row for each document;
+    the smallest doc_id reachable by links, its own included, names a
+    component; cls is the hash of its set, root a hash for its component."""
+    rows, classes, grouped, prefixes = _prepared(docs, percent, shingle)
+    more = _group_links(docs, grouped, prefixes, percent, shingle, whole=False)
     # a link found in step 4 joins whole clusters
     whole = grouped.select("cls", F.col("rank.id").alias("cluster"))
     ends = more.join(whole.withColumnRenamed("cls", "a").withColumnRenamed("cluster", "x"), "a")
