@@ -11,8 +11,10 @@ bounds hold at any corpus size.  The model is a table of at most
 ``MAX_FEATURES`` weights.  Scoring is one pass over whole texts, without
 shuffle.
 
-Sentences end at ``. ! ?`` and line breaks; words are runs of letters and
-digits, A-Z as a-z.
+Sentences end at ``. ! ?``, their full-width and other forms, and line breaks;
+words are runs of letters and digits, A-Z as a-z.  Runs in scripts without
+spaces, and runs of more than ``LONG_WORD`` bytes, give the character n-grams
+of their whole length as features.
 
 Cases: null and empty texts have no sentences and score 0; a document with
 several labels is toxic if one of them is; null labels and labels of unknown
@@ -37,14 +39,27 @@ SAMPLE, SAMPLE_CHARS = 3_000, 100_000
 #: a feature must occur in so many training documents, and its share differ
 #: between the labels by so many standard errors; features in a model
 LEAST_DOCS, LEAST_Z, MAX_FEATURES = 3, 5.0, 20_000
-#: lengths of the beginnings of words; characters of a word looked at
-PREFIXES, LONG_WORD = (3, 4, 5, 6, 7), 64
+#: lengths of the beginnings of words; of the n-grams of runs that are not one
+#: word, among them all runs of more than so many bytes
+PREFIXES, GRAMS, LONG_WORD = (3, 4, 5, 6, 7), (2, 3, 4), 64
 #: words whose weight a worker keeps
 KEPT = 500_000
 STEPS, RATE, RIDGE, START_BIAS = 300, 0.15, 1e-5, -6.0
 THRESHOLD = 0.7
 
 _SENTENCE = re.compile(rb"[.!?\n\r]+")
+#: in UTF-8: ends of sentences beside ASCII's (full-width and half-width forms,
+#: ellipsis, double marks, Arabic, Devanagari, Burmese, Khmer, Ethiopic; line and
+#: paragraph separators); other spaces and punctuation; scripts without spaces
+_SENTENCE_UTF8 = re.compile(
+    rb"(?:[.!?\n\r]|\xc2\x85|\xd8\x9f|\xdb\x94|\xe0\xa5[\xa4\xa5]|\xe1\x81[\x8a\x8b]|\xe1\x8d[\xa2\xa7]|\xe1\x9f[\x94\x95]"
+    rb"|\xe2\x80[\xa6\xa8\xa9\xbc\xbd]|\xe2\x81[\x87-\x89]|\xe3\x80\x82|\xef\xbc[\x81\x8e\x9f]|\xef\xbd\xa1)+"
+)
+_BREAK = re.compile(
+    rb"\xc2[\x85\xa0\xa1\xab\xb7\xbb\xbf]|\xd8[\x8c\x9b\x9f]|\xe1\x9a\x80|\xe2\x80[\x80-\x8b\x90-\xbf]|\xe2\x81[\x80-\x9f]"
+    rb"|\xe3\x80[\x80-\x83\x88-\x9f]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]"
+)
+_UNSPACED = re.compile(rb"\xe0[\xb8-\xbf]|\xe1[\x80-\x82\x9e\x9f]|\xe3[\x81-\x83\x90-\xbf]|[\xe4-\xe9]|\xf0[\xa0-\xb3]")
 #: bytes that are not letters or digits, as spaces; A-Z as a-z
 _WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -53,18 +68,29 @@ _WORDS = bytes(
 
 def sentences(text: bytes) -> list[bytes]:
     """The texts of the sentences, white space stripped, none empty."""
-    return [s for s in (x.strip() for x in _SENTENCE.split(text)) if s]
+    return [s for s in (x.strip() for x in split_sentences(text)) if s]
+
+
+def split_sentences(text: bytes) -> list[bytes]:
+    return (_SENTENCE if text.isascii() else _SENTENCE_UTF8).split(text)
 
 
 def words(sentence: bytes) -> list[bytes]:
+    if not sentence.isascii():
+        sentence = _BREAK.sub(b" ", sentence)
     return sentence.translate(_WORDS).split()
 
 
-def features(word: bytes) -> list[str]:
+def features(word: bytes) -> Iterator[str]:
     """A word and its beginnings, so that inflected and compound words share
-    what they begin with."""
+    what they begin with; of a run that is not one word, its n-grams."""
     w = word.decode("utf-8", "replace")
-    return [w, *(w[:n] + "-" for n in PREFIXES if n < len(w))]
+    if len(word) <= LONG_WORD:
+        yield w
+        yield from (w[:n] + "-" for n in PREFIXES if n < len(w))
+    if len(word) > LONG_WORD or not word.isascii() and _UNSPACED.search(word):
+        for n in GRAMS:
+            yield from (w[i : i + n] + "~" for i in range(len(w) - n + 1))
 
 
 @dataclass
@@ -81,13 +107,19 @@ class Model:
         return {"weights": self.weights, "bias": self.bias, "known": {}}
 
     def word(self, w: bytes) -> float:
-        """A word's part of the logit, kept for the next time."""
+        """A word's part of the logit, kept for the next time unless long."""
+        if len(w) > LONG_WORD:
+            return self.part(w)
         if w not in self.known:
             if len(self.known) >= KEPT:
                 self.known.clear()
-            self.known[w] = sum(self.weights.get(f, 0.0) for f in features(w[:LONG_WORD]))
+            self.known[w] = self.part(w)
         return self.known[w]
 
+    def part(self, w: bytes) -> float:
+        """The weights of a word's features, each once."""
+        return sum(self.weights[f] for f in dict.fromkeys(f for f in features(w) if f in self.weights))
+
     def sentence_logits(self, text: bytes) -> list[float]:
         return [self.bias + sum(map(self.word, set(words(s)))) for s in sentences(text)]
 
@@ -97,8 +129,8 @@ class Model:
             return 0.0
         known = self.known
         logits = []
-        for s in _SENTENCE.split(text):
-            own = set(s.translate(_WORDS).split())
+        for s in split_sentences(text):
+            own = set(words(s))
             if own:
                 try:
                     logits.append(sum([known[w] for w in own]))
@@ -109,12 +141,12 @@ class Model:
         return float(-np.expm1(-np.logaddexp(0.0, self.bias + np.array(logits)).sum()))
 
 
-def _informative(bags: list[list[list[str]]], y: np.ndarray) -> dict[str, int]:
+def _informative(texts: list[bytes], y: np.ndarray) -> dict[str, int]:
     """Features whose share of the documents differs between the labels by
     ``LEAST_Z`` standard errors, numbered."""
     both, toxic = Counter(), Counter()
-    for bag, label in zip(bags, y):
-        own = {f for s in bag for f in s}
+    for text, label in zip(texts, y):
+        own = {f for w in {w for s in sentences(text) for w in words(s)} for f in features(w)}
         both.update(own)
         if label:
             toxic.update(own)
@@ -134,12 +166,11 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     y = np.array(labels, dtype=float)
     if not len(y) or y.min() == y.max():
         return Model({}, START_BIAS)
-    bags = [[[f for w in set(words(s)) for f in features(w[:LONG_WORD])] for s in sentences(t)] for t in texts]
-    index = _informative(bags, y)
+    index = _informative(texts, y)
     feature, sent, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            own = [index[f] for f in s if f in index]
+    for d, text in enumerate(texts):
+        for s in sentences(text):
+            own = [index[f] for w in set(words(s)) for f in dict.fromkeys(f for f in features(w) if f in index)]
             feature += own
             sent += [len(doc)] * len(own)
             doc.append(d)

@@ -115,6 +115,20 @@ def test_toxicity(docs, no_docs, spark):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
+def test_toxicity_reads_whole_runs():
+    """Text without ASCII spaces counts to its end, in training and scoring."""
+    fill = ["今日は天気がとても良いので散歩に行きました", "私たちは新しい図書館で本をたくさん読みました", "彼女は市場で野菜と果物を買って家に帰りました"]
+    clean = ["".join(fill[(i + k) % 3] for k in range(3)) + f"第{i}回" for i in range(60)]
+    bad = [c + "この馬鹿野郎め" + fill[i % 3] for i, c in enumerate(clean[:30])]
+    model = toxicity.fit([t.encode() for t in clean + bad], [0] * 60 + [1] * 30)
+    late = "".join(fill) * 5 + "馬鹿野郎" + "".join(fill)
+    assert model.score(late.encode()) >= 0.7 > model.score(("".join(fill) * 6).encode())
+    assert [s.decode() for s in toxicity.sentences("良い！悪い？本。a.b\u2028c".encode())] == ["良い", "悪い", "本", "a", "b", "c"]
+    assert toxicity.words("vile\u00a0scum\u3000you「人」，x".encode()) == [b"vile", b"scum", b"you", "人".encode(), b"x"]
+    run = b"x" * 80 + b"scum" + b"y" * 80
+    assert "scum~" in set(toxicity.features(run)) and "scum" in set(toxicity.features(b"scum"))
+
+
 def test_re_pair():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 12, 30_000), [1] * 50, np.tile([5, 5, 5, 7], 4_000)]).astype("<u4")
