@@ -98,7 +98,33 @@ SELECT p.page_id, p.host, p.path, s.rule, CASE WHEN s.action IS NOT NULL THEN s.
 FROM p LEFT JOIN s USING (page_id)
 """
 
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP11 = rf"""
+WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+o AS (SELECT doc_id, {_SPACED} AS w, xor(list_reduce(list_prepend(4294967295, [ascii(x) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM documents, crc),
+e AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, h % 10 = 0 AND len(w) > 0 AS edited, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS share FROM o),
+f AS (SELECT doc_id, n, CASE WHEN edited THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // share) END] FOR i IN range(n)] ELSE w END AS w FROM e),
+p AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS x FROM f),
+same AS (SELECT l.doc_id, r.i - l.i AS q, l.i FROM p l JOIN p r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND r.i - l.i <= l.n // 4),
+isles AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM same),
+spans AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM isles GROUP BY doc_id, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans t
+  WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) = 1),
+texts AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS s FROM runs GROUP BY doc_id),
+cut AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS s FROM p ANTI JOIN cut USING (doc_id, i) GROUP BY doc_id)
+SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.q AS period, 1000 * best.length // best.q AS exponent_milli,
+  sha256(coalesce(texts.s, '')) AS runs_sha256, sha256(coalesce(kept.s, '')) AS collapsed_sha256
+FROM f LEFT JOIN texts USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
+    "op11_periodic_runs": OP11,
     "op2_url_filters": OP2,
     "op3_line_spread": OP3,
     "op7_stupid_backoff": OP7,

@@ -12,6 +12,7 @@ from .line_spread import without_spread_lines
 from .lm_scoring import backoff_scores
 from .mixing import mix
 from .ngram_join import jaccard_components
+from .periodic_runs import find_runs, run_digests, with_tail_periods
 from .token_counts import length_histogram
 from .token_ids import token_ids
 from .toxicity import toxicity
@@ -60,7 +61,12 @@ def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(with_tail_periods(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
+    "op11_periodic_runs": op11_periodic_runs,
     "op3_line_spread": op3_line_spread,
     "op2_url_filters": op2_url_filters,
     "op4_toxicity": op4_toxicity,
