@@ -3,17 +3,22 @@
 A word's hash is a polynomial in its bytes modulo 2**64 (each byte mapped to a
 fixed random 64-bit value), read off prefix sums over the whole text, so no
 Python object per word is made.  Equal words hash equally wherever they
-stand.  Texts are taken in pieces cut between words, so memory stays bounded
-for very long texts.
+stand.  Modulo 2**64, long words can be made to collide whatever the base is
+(a Thue-Morse word of 1,024 letters and its complement), so words above
+``LONG_WORD`` bytes take XXH3 of their bytes instead.  Texts are taken in
+pieces cut between words, so memory stays bounded for very long texts.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 #: bytes of text hashed at once
 PIECE = 1 << 18
+#: words above so many bytes are hashed by XXH3
+LONG_WORD = 32
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=U64, endpoint=False)
@@ -70,6 +75,8 @@ def _piece_hashes(buf: np.ndarray, word: np.ndarray, at: bool = False):
     np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
     starts, ends = edges[::2], edges[1::2]
     hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes())
     return (hashes, starts) if at else hashes
 
 

@@ -49,6 +49,15 @@ def test_word_hashes():
         assert len(set(names.values())) == len(names)
 
 
+def test_long_words_that_a_polynomial_confuses():
+    """A Thue-Morse word and its complement, above and below the long words."""
+    for n in (16, 32, 64, 1024, 2048):
+        one = bytes(97 + bin(i).count("1") % 2 for i in range(n))
+        two = one.translate(bytes.maketrans(b"ab", b"ba"))
+        h = text_hash.hash_texts([one + b" " + two, one.upper()], text_hash.SPACES)
+        assert h[0][0] != h[0][1] and h[1][0] == h[0][0], n
+
+
 def test_token_counts(docs, no_docs):
     lengths = [len(library_ids(t)) for _, t, _ in ROWS]
     hist = token_counts.length_histogram(docs, WORD_BPE).cache()
