@@ -123,7 +123,21 @@ SELECT f.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.q
 FROM f LEFT JOIN texts USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS t FROM documents),
+n AS (SELECT count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS total FROM d),
+p AS (SELECT r, doc_id, n, x, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS x FROM d) GROUP BY r, doc_id, n, x),
+f AS (SELECT x, count(*) AS df FROM p GROUP BY x),
+w AS (SELECT x, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM f, n),
+q AS (SELECT i, item_id, unnest(list_distinct(t)) AS x FROM (SELECT row_number() OVER () AS i, item_id, {_ALNUM} AS t FROM benchmark)),
+s AS (SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * p.n * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN p USING (x) JOIN w USING (x), n GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES = {
+    "op13_ranked_search": OP13,
     "op11_periodic_runs": OP11,
     "op2_url_filters": OP2,
     "op3_line_spread": OP3,

@@ -13,6 +13,7 @@ from .lm_scoring import backoff_scores
 from .mixing import mix
 from .ngram_join import jaccard_components
 from .periodic_runs import find_runs, run_digests, with_tail_periods
+from .ranked_search import ranked_search
 from .token_counts import length_histogram
 from .token_ids import token_ids
 from .toxicity import toxicity
@@ -65,7 +66,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(with_tail_periods(table(spark, sf_dir, "documents"))))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op13_ranked_search": op13_ranked_search,
     "op11_periodic_runs": op11_periodic_runs,
     "op3_line_spread": op3_line_spread,
     "op2_url_filters": op2_url_filters,
