@@ -12,6 +12,7 @@ from .line_spread import without_spread_lines
 from .lm_scoring import backoff_scores
 from .mixing import mix
 from .ngram_join import jaccard_components
+from .odd_sketch import near_groups
 from .periodic_runs import find_runs, run_digests, with_tail_periods
 from .ranked_search import ranked_search
 from .token_counts import length_histogram
@@ -70,7 +71,12 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents")).drop("cls", "root")
+
+
 QUERIES = {
+    "op12_odd_sketches": op12_odd_sketches,
     "op13_ranked_search": op13_ranked_search,
     "op11_periodic_runs": op11_periodic_runs,
     "op3_line_spread": op3_line_spread,
