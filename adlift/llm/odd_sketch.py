@@ -18,11 +18,13 @@ Jaccard similarity is at least ``percent``/100, and linked documents form groups
    links form first groups.
 4. Buckets that still hold several groups compare the sketches of members of
    different groups, in blocks of bounded size and without those of the bucket's
-   largest group among each other.  For each two groups the pairs of smallest
-   counts are compared on the full sets; one link joins them.  Where more pairs
-   are left, the step is repeated with sixteen times as many, until none is left.
+   largest group among each other.  Of the pairs that the sketches allow only a
+   forest leaves the bucket; its trees join to kinships, one for each class.
+5. Within a kinship, again in blocks, members of different groups whose sketches
+   allow a link are compared on their full sets, many at a time by the shingles
+   that they share.  A link joins two groups, which then need no other.
 
-So no pair that shares a bucket and whose sketches allow a link is left out
+So every pair that shares a bucket and whose sketches allow a link is compared,
 unless its classes are in one group already.
 
 Cases: null text is empty; a document without words has 0 shingles and is its
@@ -53,10 +55,12 @@ BANDS, ROWS, BITS = 42, 3, 512
 SAMPLES = BANDS * ROWS
 #: members that meet one hub, about; members of a block
 PART, BLOCK = 1024, 2048
-#: rows of small buckets that one call takes, about
-CALL_ROWS = 100_000
-#: pairs of two groups compared in the first round, and growth by round
-FIRST_PAIRS, MORE_PAIRS = 16, 16
+#: shingles of a kinship's block
+BLOCK_TOKENS = 1 << 20
+#: rows of small buckets, and shingles of small kinships, that one call takes
+CALL_ROWS, CALL_TOKENS = 16_384, 1 << 19
+#: sets with so few likely partners meet them one by one
+FEW = 8
 #: bits of the filter of texts whose sets are needed (4 MB)
 NEEDED_BITS = 1 << 25
 
@@ -211,62 +215,136 @@ def _hub_pairs(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return pairs.where(fit).groupBy("a").agg(F.min_by("b", F.struct("count", "b")).alias("b"))
 
 
-def _open_rows(buckets: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members of the buckets with several groups, dealt to calls (part, x, y):
-    many small buckets to one, and of a large one the members outside its
-    largest group (``asks``) in blocks x, against all its members in blocks y."""
-    rows = buckets.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("k"))
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    rows = rows.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    return rows.withColumn("root", F.coalesce("root", "cls"))
+
+
+def _dealt(rows: DataFrame, block: int, call: int) -> DataFrame:
+    """Rows (key, cls, root, weight) of the keys with several groups, dealt to
+    calls (part, x, y): many small keys to one, and of a large one the members
+    outside its largest group (``asks``) in blocks x, against all its members in
+    blocks y, each of about the weight ``block``."""
+    sizes = rows.groupBy("key", "root").agg(F.sum("weight").alias("k"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("major"), F.max("k").alias("k"), F.sum("k").alias("m")).where("k < m")
-    rows = rows.drop("m").join(largest, "key").withColumn("asks", F.col("root") != F.col("major"))
-    rows = rows.withColumns({"nx": F.ceil((F.col("m") - F.col("k")) / BLOCK).cast("int"), "ny": F.ceil(F.col("m") / BLOCK).cast("int")})
-    total = F.lit(int(largest.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]) // CALL_ROWS + 1)
+    rows = rows.join(largest, "key").withColumn("asks", F.col("root") != F.col("major"))
+    rows = rows.withColumns({"nx": F.ceil((F.col("m") - F.col("k")) / block).cast("int"), "ny": F.ceil(F.col("m") / block).cast("int")})
+    calls = F.lit(int(largest.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]) // call + 1)
     small = F.col("ny") == 1
     own = F.xxhash64("cls")
     blocks = lambda n: F.sequence(F.lit(0), n - 1)
     asked = rows.select("*", F.pmod(own, "ny").cast("int").alias("y"), F.explode(blocks(F.col("nx"))).alias("x"), F.lit(False).alias("asking"))
     asking = rows.where("asks").select("*", F.pmod(own, "nx").cast("int").alias("x"), F.explode(blocks(F.col("ny"))).alias("y"), F.lit(True).alias("asking"))
-    both = asked.unionByName(asking).withColumn("part", F.when(small, F.pmod(F.xxhash64("key"), total)).otherwise(F.col("key")))
+    both = asked.unionByName(asking).withColumn("part", F.when(small, F.pmod(F.xxhash64("key"), calls)).otherwise(F.col("key")))
     both = both.withColumns({c: F.when(small, F.lit(-1)).otherwise(F.col(c)) for c in ("x", "y")})
-    return both.join(classes.select("cls", "n", "sketch"), "cls").select("part", "x", "y", "key", "cls", "root", "asks", "asking", "n", "sketch")
+    return both.select("part", "x", "y", "key", "cls", "root", "asks", "asking")
+
+
+class _Call:
+    """The rows of one call, and for each of its keys the likely pairs."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.key, self.cls, self.root, self.n = (t.column(c).to_numpy() for c in ("key", "cls", "root", "n"))
+        self.asks, self.asking = (t.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asking"))
+        self.sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(U64).reshape(len(self.key), BITS // 64)
+        self.percent, self.limit = percent, xor_limit(percent)
+
+    def keys(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The rows that ask and those asked, key by key."""
+        order = np.argsort(self.key, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(self.key[order])) + 1):
+            yield at[self.asking[at]], at[~self.asking[at]]
+
+    def likely(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row that asks, and the asked ones of other groups with which
+        sketches and sizes allow a link; a pair of two that ask comes once."""
+        for q in np.split(left, range(256, len(left), 256)):
+            count = np.zeros((len(q), len(right)), dtype=np.uint16)
+            for w in range(BITS // 64):
+                count += np.bitwise_count(self.sketch[q, w][:, None] ^ self.sketch[right, w][None, :])
+            fit = (count <= self.limit) & (self.root[q][:, None] != self.root[right][None, :])
+            fit &= ~self.asks[right][None, :] | (self.cls[q][:, None] > self.cls[right][None, :])
+            low, high = np.minimum(self.n[q][:, None], self.n[right][None, :]), np.maximum(self.n[q][:, None], self.n[right][None, :])
+            fit &= 100 * low >= self.percent * high
+            for i in np.flatnonzero(fit.any(axis=1)).tolist():
+                yield int(q[i]), right[fit[i]]
+
+
+class _Shared:
+    """The shingles of many sets, to count what another set shares with each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        every, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(every, kind="stable")
+        every, self.member = every[order], member[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        self.union, self.ends, self.sets = every[first], np.append(first, len(every)), len(sets)
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.union, x), len(self.union) - 1)
+        at = at[self.union[at] == x]
+        lengths = self.ends[at + 1] - self.ends[at]
+        places = np.repeat(self.ends[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        return np.bincount(self.member[places], minlength=self.sets)
+
+
+def _kin_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each call and bucket a forest over the classes that likely
+    pairs join."""
 
-
-def _group_pairs(rows: DataFrame, most: int, percent: int) -> DataFrame:
-    """(key, a, b, more): for each bucket and two of its groups the ``most``
-    pairs of smallest counts; more, if others were left out."""
-    limit = xor_limit(percent)
+    def run(t: pa.Table) -> pa.Table:
+        call, a, b = _Call(t, percent), [], []
+        for left, right in call.keys():
+            names, place = np.unique(call.cls[np.append(left, right)], return_inverse=True)
+            of = dict(zip(np.append(left, right).tolist(), place.tolist()))
+            label = np.arange(len(names))
+            for q, partners in call.likely(left, right):
+                own = np.unique(label[[of[q], *(of[x] for x in partners.tolist())]])
+                if len(own) > 1:
+                    a += names[own[1:]].tolist()
+                    b += [int(names[own[0]])] * (len(own) - 1)
+                    label[np.isin(label, own)] = own[0]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("part", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
+def _kin_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between groups, found on the full sets (``tokens``); for
+    each call and kinship enough of them to join all that link."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, cls, root, n = (t.column(c).to_numpy() for c in ("key", "cls", "root", "n"))
-        asks, asking = (t.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asking"))
-        sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(U64).reshape(len(key), BITS // 64)
-        order = np.argsort(key, kind="stable")
-        out = [[], [], [], [], [], []]
-        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            left, right = at[asking[at]], at[~asking[at]]
-            for q in np.split(left, range(256, len(left), 256)):
-                count = np.zeros((len(q), len(right)), dtype=np.uint16)
-                for w in range(BITS // 64):
-                    count += np.bitwise_count(sketch[q, w][:, None] ^ sketch[right, w][None, :])
-                fit = (count <= limit) & (root[q][:, None] != root[right][None, :])
-                # a pair of two that ask comes once
-                fit &= ~asks[right][None, :] | (cls[q][:, None] > cls[right][None, :])
-                i, j = np.nonzero(fit)
-                a, b = q[i], right[j]
-                good = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-                a, b, i, j = a[good], b[good], i[good], j[good]
-                for x, y in zip(out, (key[a], cls[a], cls[b], np.minimum(root[a], root[b]), np.maximum(root[a], root[b]), count[i, j])):
-                    x.append(y)
-        k, a, b, low, high, count = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in out)
-        order = np.lexsort((count, high, low, k))
-        k, a, b, low, high = k[order], a[order], b[order], low[order], high[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(k)]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(k)))
-        keep = np.arange(len(k)) - np.repeat(first, size) < most
-        return pa.table({"key": pa.array(k[keep], pa.int64()), "a": pa.array(np.maximum(a, b)[keep], pa.int64()), "b": pa.array(np.minimum(a, b)[keep], pa.int64()), "more": pa.array(np.repeat(size > most, size)[keep], pa.bool_())})
-
-    return rows.groupBy("part", "x", "y").applyInArrow(run, "key bigint, a bigint, b bigint, more boolean")
+        call, a, b = _Call(t, percent), [], []
+        tokens = t.column("tokens")
+        for left, right in call.keys():
+            groups = {int(r): int(r) for r in np.unique(call.root[np.append(left, right)])}
+
+            def find(r):
+                while groups[r] != r:
+                    groups[r] = r = groups[groups[r]]
+                return r
+
+            sets = [np.frombuffer(tokens[i].as_py(), dtype=U64) for i in right.tolist()]
+            at = {i: k for k, i in enumerate(right.tolist())}
+            shared = None
+            for q, partners in call.likely(left, right):
+                partners = [i for i in partners.tolist() if find(int(call.root[i])) != find(int(call.root[q]))]
+                if not partners:
+                    continue
+                x = np.frombuffer(tokens[q].as_py(), dtype=U64)
+                if len(partners) > FEW:
+                    shared = shared or _Shared(sets)
+                    both = shared.counts(x)[[at[i] for i in partners]].tolist()
+                else:
+                    both = [len(np.intersect1d(x, sets[at[i]], assume_unique=True)) for i in partners]
+                for i, k in zip(partners, both):
+                    if 100 * k >= percent * (len(x) + int(call.n[i]) - k) and find(int(call.root[i])) != find(int(call.root[q])):
+                        groups[find(int(call.root[i]))] = find(int(call.root[q]))
+                        a.append(int(call.cls[q]))
+                        b.append(int(call.cls[i]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("part", "x", "y").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -280,23 +358,18 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE)
     keys = classes.select("cls", F.explode("keys").alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     buckets = stored(keys.join(several, "key"), "buckets")
-    tested = stored(_hub_pairs(buckets, classes, percent), "hub-pairs")
-    links = _linked(docs, tested, classes, percent, shingle)
+    links = _linked(docs, stored(_hub_pairs(buckets, classes, percent), "hub-pairs"), classes, percent, shingle)
     groups = components(links)
-    most = FIRST_PAIRS
-    while True:
-        found = stored(_group_pairs(_open_rows(buckets, classes, groups), most, percent), "group-pairs")
-        pairs = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "untested-pairs")
-        if not pairs.isEmpty():
-            new = _linked(docs, pairs, classes, percent, shingle)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                groups = components(links)
-            tested = tested.unionByName(pairs)
-        left = found.where("more").select("key").distinct()
-        if left.isEmpty():
-            break
-        buckets, most = stored(buckets.join(left, "key", "left_semi"), "open-buckets"), most * MORE_PAIRS
+    shown = classes.select("cls", "n", "sketch")
+    met = _dealt(_with_groups(buckets.select("key", "cls", F.lit(1).alias("weight")), groups), BLOCK, CALL_ROWS)
+    kin = components(stored(_kin_edges(met.join(shown, "cls"), percent), "kin-edges"))
+    members = classes.select("cls", "n", "text_hash").join(kin.select(F.col("node").alias("cls"), F.col("root").alias("key")), "cls")
+    members = stored(_with_groups(members, groups), "kin-members")
+    if not members.isEmpty():
+        sets = stored(_sets(docs, members.select("cls", "text_hash"), shingle), "kin-sets")
+        met = _dealt(members.select("key", "cls", "root", F.col("n").alias("weight")), BLOCK_TOKENS, CALL_TOKENS)
+        more = stored(_kin_links(met.join(shown, "cls").join(sets, "cls"), percent), "kin-links")
+        groups = components(links.unionByName(more))
     member = classes.select("cls", "doc_id").join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     names = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = member.join(names, "root").select("cls", "component_id", "root")

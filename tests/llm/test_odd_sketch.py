@@ -54,9 +54,9 @@ def near_copies(rng, base, n, most):
     return out
 
 
-@pytest.mark.parametrize("part, block, first", [(1024, 2048, 16), (4, 6, 1)])
-def test_groups_equal_brute_force(spark, monkeypatch, part, block, first):
-    for name, value in (("PART", part), ("BLOCK", block), ("FIRST_PAIRS", first), ("MORE_PAIRS", 2), ("CALL_ROWS", 500)):
+@pytest.mark.parametrize("sizes", [{}, {"PART": 4, "BLOCK": 6, "BLOCK_TOKENS": 900, "CALL_ROWS": 500, "CALL_TOKENS": 3000}])
+def test_groups_equal_brute_force(spark, monkeypatch, sizes):
+    for name, value in sizes.items():
         monkeypatch.setattr(O, name, value)
     rng = random.Random(4)
     texts = []
