@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from datetime import date
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +35,9 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--table", action="append", default=[], metavar="NAME=TABLE", help="catalog table per source")
     p.add_argument("--out", required=True, help="output folder (shared storage)")
     p.add_argument("--cache-format", choices=("parquet", "csv", "json"), default="parquet")
+    p.add_argument("--fold-root", help="daily fold store kept between runs (default: OUT/fold)")
+    p.add_argument("--late-days", type=int, default=0, help="days at the end of the range that are folded again")
+    p.add_argument("--restate", action="append", default=[], metavar="DAY", help="a day whose rows changed, YYYY-MM-DD")
     p.add_argument("--from-cache", help="replay: read cached extracts from this folder instead of the sources")
     return p
 
@@ -54,7 +58,16 @@ def main(argv: list[str] | None = None) -> dict:
         src = Sources.from_parquet(spark, args.sources_root)
     elif not args.from_cache:
         raise SystemExit("give --sources-root, --table NAME=TABLE (all nine), or --from-cache")
-    result = run_report(src, cfg, args.out, cache_format=args.cache_format, replay_from=args.from_cache)
+    result = run_report(
+        src,
+        cfg,
+        args.out,
+        cache_format=args.cache_format,
+        replay_from=args.from_cache,
+        fold_root=args.fold_root,
+        late_days=args.late_days,
+        restate=[date.fromisoformat(d) for d in args.restate],
+    )
     print(json.dumps(result))
     return result
 

@@ -199,6 +199,19 @@ class LaunchConfig:
     def history_end(self) -> date:
         return self.launch_date - timedelta(days=1)
 
+    def extract_record(self) -> dict:
+        """The settings that the five extracts depend on (sectors, labels and
+        the cannibalisation threshold only change the tables made of them)."""
+        return {
+            "launch_date": self.launch_date.isoformat(),
+            "analysis_end": self.analysis_end.isoformat(),
+            "history_start": self.history_start.isoformat(),
+            "before_start": self.before_start.isoformat(),
+            "min_spend": float(self.min_spend),
+            "excluded_creative_advertisers": sorted(self.excluded_creative_advertisers),
+            "creative_format": self.creative_format,
+        }
+
     def as_record(self) -> dict:
         """The config record of the report bundle (dates as ISO text)."""
         return {

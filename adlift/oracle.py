@@ -642,3 +642,51 @@ OPS_SQL["op_numeric_coercion"] = oracle(
                              WHEN 8 THEN md.line_item_id || 'e2' END AS text FROM {_FACT}) t) x
         GROUP BY 1, 2""",
 )
+
+# --- stored forms --------------------------------------------------------------------
+
+#: settings recorded by the manifest of the fixture run, written out
+_MANIFEST_CONFIG = (
+    '{"analysis_end": "1999-12-31", "before_start": "1998-12-30", "creative_format": "iab_picture", '
+    '"excluded_creative_advertisers": [710], "history_start": "1998-07-01", "launch_date": "1999-07-01", "min_spend": 100.0}'
+)
+STORES_SQL = {
+    "io_cache_manifest": with_extracts(
+        ["enet", "aw_denom", "arpu", "nuevos", "iab"],
+        f"""SELECT extract, 'parquet' AS format, TRUE AS finished, sha256('{_MANIFEST_CONFIG}') AS config_hash, n_rows, TRUE AS has_files
+       FROM (SELECT 'enet' AS extract, COUNT(*) AS n_rows FROM enet
+       UNION ALL SELECT 'aw_denom', COUNT(*) FROM aw_denom
+       UNION ALL SELECT 'arpu', COUNT(*) FROM arpu
+       UNION ALL SELECT 'nuevos', COUNT(*) FROM nuevos
+       UNION ALL SELECT 'iab', COUNT(*) FROM iab)""",
+    ),
+    "io_csv_rejects": oracle(
+        """spend AS (
+  SELECT site, advertiser_id, CAST(SUM(cost_usd) AS BIGINT) AS spend,
+         advertiser_id % 7 = 0 OR site % 11 = 0 AS bad
+  FROM daily_metrics WHERE event_local_dt BETWEEN DATE '1999-07-01' AND DATE '1999-12-31' GROUP BY site, advertiser_id)""",
+        """SELECT CAST(site AS VARCHAR) AS site, COUNT(*) FILTER (NOT bad) AS n_good,
+       CAST(COALESCE(SUM(spend) FILTER (NOT bad), 0) AS BIGINT) AS spend, COUNT(*) FILTER (bad) AS n_rejected
+FROM spend GROUP BY site""",
+    ),
+    "set_inventory_counts": with_extracts(
+        ["enet"],
+        """SELECT inv_setting, COUNT(DISTINCT advertiser_id) AS n_adv, COUNT(DISTINCT line_item_id) AS n_li,
+       COUNT(DISTINCT advertiser_id) FILTER (NOT EXISTS (
+         SELECT 1 FROM enet_c o WHERE o.advertiser_id = e.advertiser_id AND o.inv_setting <> e.inv_setting)) AS n_adv_only
+FROM enet_c e WHERE inv_setting IS NOT NULL GROUP BY inv_setting""",
+        ENET_C,
+    ),
+    "set_window_advertisers": oracle(
+        """buys AS (
+  SELECT site, advertiser_id,
+         BOOL_OR(event_local_dt BETWEEN DATE '1999-07-01' AND DATE '1999-12-31') AS a,
+         BOOL_OR(event_local_dt BETWEEN DATE '1998-07-01' AND DATE '1999-06-30') AS h
+  FROM daily_metrics
+  WHERE cost_usd > 0 AND event_local_dt BETWEEN DATE '1998-07-01' AND DATE '1999-12-31' GROUP BY site, advertiser_id)""",
+        """SELECT site, COUNT(*) FILTER (a) AS n_after, COUNT(*) FILTER (h) AS n_history, COUNT(*) FILTER (a AND h) AS n_both,
+       COUNT(*) FILTER (a AND NOT h) AS n_new, COUNT(*) FILTER (h AND NOT a) AS n_gone
+FROM buys GROUP BY site""",
+    ),
+    "bucketed_network_items": extract_sql("enet"),
+}

@@ -55,15 +55,22 @@ def _after(cfg: C.LaunchConfig):
 # ---------------------------------------------------------------------------
 
 
+NETWORK_KEYS = ("site", "advertiser_id", "advertiser_name", "vertical", "campaign_id", "line_item_id", "strategy")
+
+
 def ext_network_items(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     """Grain: site, advertiser, name, vertical, campaign, line item, raw
     inventory, strategy.  Sums of cost / prints split into off-site and
     on-site (a NULL page is in neither)."""
-    keys = ["site", "advertiser_id", "advertiser_name", "vertical", "campaign_id", "line_item_id", "strategy"]
+    return network_items_of(network_sums(src, cfg), src)
+
+
+def network_sums(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """The fact's sums per line item and strategy."""
     fact = src.daily_metrics.where(
         _after(cfg) & display_scope() & target_allowed(C.TARGETS_NETWORK) & positive_cost()
     ).withColumn("strategy", strategy(F.col("campaign_target"), C.STRATEGY_NETWORK))
-    per_item = fact.groupBy(*keys).agg(
+    return fact.groupBy(*NETWORK_KEYS).agg(
         F.sum(F.col("cost_usd")).alias("rev_total"),
         cond_sum(is_offsite(), F.col("cost_usd")).alias("rev_off"),
         cond_sum(is_onsite(), F.col("cost_usd")).alias("rev_in"),
@@ -72,8 +79,16 @@ def ext_network_items(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         cond_sum(is_onsite(), F.col("prints_qty")).alias("prints_in"),
         F.sum(F.col("clicks_qty")).alias("clicks_total"),
     )
+
+
+def network_items_of(per_item: DataFrame, src: Sources) -> DataFrame:
+    """Sums per line item joined with its inventory texts."""
     inv = inventory_multiplicity(src.line_item)
-    j = left_join_nullable_key(per_item, inv, "line_item_id")
+    return network_columns(left_join_nullable_key(per_item, inv, "line_item_id"))
+
+
+def network_columns(j: DataFrame) -> DataFrame:
+    """The extract's columns from sums joined with ``inventory_multiplicity``."""
     n = F.coalesce(F.col("n_rows"), F.lit(1))
     return j.select(
         "site",
@@ -100,7 +115,6 @@ def ext_display_population(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     fact = src.daily_metrics.where(
         _after(cfg) & display_scope() & target_allowed(C.TARGETS_POPULATION) & positive_cost()
     )
-    keys = ["site", "advertiser_id", "strategy"]
     # name and vertical are grouping keys of the fact-side pass: a string in
     # an aggregation buffer (MIN) would force a sort-based aggregate of every
     # fact row; MIN runs only on the reduced rows of the final pass
@@ -111,8 +125,13 @@ def ext_display_population(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         "advertiser_name",
         "vertical",
     ).agg(F.sum(F.col("cost_usd")).alias("rev"), any_flag(is_offsite()).alias("flag"))
+    return population_of(per_name)
+
+
+def population_of(per_name: DataFrame) -> DataFrame:
+    """Sums per name folded to site, advertiser, strategy."""
     return (
-        per_name.groupBy(*keys)
+        per_name.groupBy("site", "advertiser_id", "strategy")
         .agg(
             pick_value(F.col("advertiser_name")).alias("advertiser_name"),
             pick_value(F.col("vertical")).alias("vertical"),
@@ -165,6 +184,12 @@ def ext_adopters(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         F.sum(F.when(after & is_onsite(), F.col("cost_usd"))).alias("a_in"),
         any_flag(qual).alias("q"),
     )
+    return adopters_of(per_item, src)
+
+
+def adopters_of(per_item: DataFrame, src: Sources) -> DataFrame:
+    """Sums per line item (before ``b``, after ``a``, on-site after ``a_in``,
+    flag of a qualifying row ``q``) to one row per adopter group."""
     j = left_join_nullable_key(per_item, off_item_flags(src), "line_item_id")
     is_oo = F.coalesce(F.col("is_oo"), F.lit(False))
     adopt = is_oo & (F.col("q") == 1)
@@ -223,6 +248,12 @@ def ext_first_time(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         any_flag(hist).alias("h_dsp"),
         any_flag(hist & is_offsite()).alias("h_adx"),
     )
+    return first_time_of(per_item, src, cfg)
+
+
+def first_time_of(per_item: DataFrame, src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Sums per line item (spend after ``a``, flags of history rows) to the
+    cohort with its two flags and names."""
     oo = only_off_ids(src.line_item).withColumn("is_oo", F.lit(True))
     j = left_join_nullable_key(per_item, oo, "line_item_id")
     is_oo = F.coalesce(F.col("is_oo"), F.lit(False))
@@ -260,13 +291,15 @@ def ext_creative_adoption(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     fact = src.daily_metrics.where(
         _after(cfg) & display_scope() & target_allowed(C.TARGETS_CREATIVE) & positive_cost()
     )
-    active = fact.select(
-        "site",
-        "campaign_id",
-        "line_item_id",
-        "advertiser_id",
-        strategy(F.col("campaign_target"), C.STRATEGY_CREATIVE).alias("strategy"),
-    ).distinct()
+    return creative_adoption_of(fact.select(*creative_keys()).distinct(), src, cfg)
+
+
+def creative_keys() -> list:
+    return ["site", "campaign_id", "line_item_id", "advertiser_id", strategy(F.col("campaign_target"), C.STRATEGY_CREATIVE).alias("strategy")]
+
+
+def creative_adoption_of(active: DataFrame, src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Active keys joined with inventory categories and the format's mark."""
     with_inv = left_join_nullable_key(active, inventory_settings(src.line_item), "line_item_id").withColumn(
         "inv_setting", F.coalesce(F.col("inv_setting"), F.lit(C.ONLY_IN))
     )

@@ -11,7 +11,8 @@ driver.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import inventory_strict, round_half_even_exact
-from ..sources.registry import Sources
+from ..sources import manifest
 from ..sources.cache import read_extracts, write_extracts
+from ..sources.registry import Sources
 from . import kpis
-from .extracts import all_extracts
+from .folded import extracts_from, refreshed
 
 ADOPTER_TIES = ("advertiser_id", "site", "strategy")
 
@@ -246,17 +248,28 @@ def run_report(
     out_dir: str,
     cache_format: str = "parquet",
     replay_from: str | None = None,
+    fold_root: str | None = None,
+    late_days: int = 0,
+    restate: Iterable[date] = (),
 ) -> dict:
-    """The whole job: extracts -> cache (cuts lineage: KPIs re-read small
-    files, a lost executor never re-runs a fact scan) -> KPI tables and the
-    bundle, written under ``out_dir``.
+    """The whole job: daily fold -> extracts -> cache (cuts lineage: KPIs
+    re-read small files, a lost executor never re-runs a fact scan) -> KPI
+    tables and the bundle, written under ``out_dir``.
+
+    The fact is scanned once, for the days that the fold store under
+    ``fold_root`` (``out_dir/fold`` if none is given) lacks, its last
+    ``late_days`` days and the days ``restate``; a store kept between runs makes
+    the daily job read new days only.  The extracts derive from the fold.
 
     ``replay_from`` names a folder of cached extracts to use instead of the
-    sources (it stops, naming every missing extract, when one is absent).
-    Returns ``{"paths": {name: path}, "rows": {extract: row count}}``; live
-    counts are observed while the cache is written (no extra job).
+    sources.  It stops, naming every missing extract, when one is absent, and
+    refuses (``ReplayRefused``) a cache that is half written, of other dates
+    or thresholds, or changed.  Returns ``{"paths": {name: path}, "rows":
+    {extract: row count}, "folded": [days]}``; live counts are observed while
+    the cache is written (no extra job), replayed ones come from the manifest.
     """
     root = out_dir.rstrip("/")
+    folded: list[date] = []
     if replay_from:
         if src is not None:
             spark = src.daily_metrics.sparkSession
@@ -264,19 +277,24 @@ def run_report(
             from pyspark.sql import SparkSession
 
             spark = SparkSession.getActiveSession()
-        cache, rows = replay_from, {}
+        cache = replay_from
         ext = read_extracts(spark, cache, fmt=cache_format)
+        rows = manifest.check(spark, cache, cache_format, cfg, ext)
     else:
         if src is None:
             raise ValueError("sources are needed unless replaying cached extracts")
+        spark = src.daily_metrics.sparkSession
         cache = f"{root}/extracts"
+        fold, folded = refreshed(src, cfg, fold_root or f"{root}/fold", late_days, restate)
         observed, frames = {}, {}
-        for name, df in all_extracts(src, cfg).items():
+        for name, df in extracts_from(fold, src, cfg).items():
             observed[name] = Observation(f"rows_{name}")
             frames[name] = df.observe(observed[name], F.count(F.lit(1)).alias("rows"))
+        manifest.begin(spark, cache, cache_format, cfg)
         write_extracts(frames, cache, fmt=cache_format)
         rows = {name: int(o.get["rows"]) for name, o in observed.items()}
-        ext = read_extracts(src.daily_metrics.sparkSession, cache, fmt=cache_format)
+        ext = read_extracts(spark, cache, fmt=cache_format)
+        manifest.publish(spark, cache, cache_format, cfg, {n: v.schema.simpleString() for n, v in ext.items()}, rows)
     # each cached extract feeds several tables: keep it once in executor
     # memory (spilling to disk); a lost block is re-read from the cache files
     ext = {k: v.persist(StorageLevel.MEMORY_AND_DISK) for k, v in ext.items()}
@@ -315,4 +333,4 @@ def run_report(
     finally:
         for v in ext.values():
             v.unpersist()
-    return {"paths": paths, "rows": rows}
+    return {"paths": paths, "rows": rows, "folded": [d.isoformat() for d in folded]}
