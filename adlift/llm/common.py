@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +36,26 @@ def utf8(column: str = "text") -> Column:
 
 def conf_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most, so that the Python objects
+    made of a part stay few where Spark sends ten thousand rows at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def without_clashes(docs: DataFrame, added: Iterable[str]) -> DataFrame:
+    """``docs`` with columns that are named like one to be added (whatever the
+    case) renamed: ``_input`` is put behind until the name is free."""
+    added = {c.lower() for c in added}
+    taken = {c.lower() for c in docs.columns} | added
+    names = []
+    for c in docs.columns:
+        if c.lower() in added:
+            while c.lower() in taken:
+                c += "_input"
+            taken.add(c.lower())
+        names.append(c)
+    return docs.toDF(*names)

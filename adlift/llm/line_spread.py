@@ -22,7 +22,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, without_clashes
 
 MIN_SITES = 5
 #: log2 of a sketch's registers; standard errors that count as near
@@ -55,7 +55,8 @@ def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SIT
 
 def without_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``docs`` with the boilerplate cut from ``text``, and the added columns
-    n_lines and n_removed."""
+    n_lines and n_removed; a column of such a name is kept as ``<name>_input``."""
+    docs = without_clashes(docs, ("n_lines", "n_removed"))
     bad = stored(spread_lines(docs, site, min_sites), "boilerplate-lines")
     key = F.xxhash64("text", F.length("text"))
     # what is cut follows from the text alone, so equal texts need one entry

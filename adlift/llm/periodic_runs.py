@@ -24,7 +24,8 @@ keeping that period.  Runs are found by a suffix automaton with link-cut access:
 
 Cases: null and empty text have no words and no runs; equal ids stay separate
 rows; a null id is an ordinary row; ties in length go to the smaller start, then
-to the smaller period; other columns are kept.  Memory grows with the longest
+to the smaller period; other columns are kept, those named like a result column
+as ``<name>_input``.  Memory grows with the longest
 stretch that is left of a single text, by some hundred bytes a word.
 """
 
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import slices, utf8, without_clashes
 
 #: a run has so many words at least, and so many times its period
 MIN_LENGTH, EXPONENT = 6, 4
@@ -202,6 +203,7 @@ def find_runs(docs: DataFrame, min_length: int = MIN_LENGTH, exponent: int = EXP
     2 at least."""
     if exponent < 2:
         raise ValueError("runs of an exponent below 2 are not defined")
+    docs = without_clashes(docs, ("n_words", "runs", "collapsed"))
     names = [f"__c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names)
     text = names[docs.columns.index("text")]
@@ -209,7 +211,7 @@ def find_runs(docs: DataFrame, min_length: int = MIN_LENGTH, exponent: int = EXP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
-        for b in batches:
+        for b in slices(batches):
             count, found, texts = [], [], []
             for x in b.column("__text").to_pylist():
                 words = x.split()  # of bytes: at space and 0x09 to 0x0D
@@ -221,9 +223,6 @@ def find_runs(docs: DataFrame, min_length: int = MIN_LENGTH, exponent: int = EXP
             yield pa.RecordBatch.from_arrays(out, names=[*names, "__n", "__runs", "__collapsed"])
 
     rows = own.withColumn("__text", utf8(text)).mapInArrow(run, f"{kept}, __n bigint, __runs {RUNS}, __collapsed string")
-    more = [c for c in ("n_words", "runs", "collapsed") if c in docs.columns]
-    if more:
-        raise ValueError(f"columns of the result are taken: {more}")
     return rows.toDF(*docs.columns, "n_words", "runs", "collapsed")
 
 

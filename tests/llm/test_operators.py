@@ -105,6 +105,8 @@ def test_line_spread(docs, no_docs, spark):
     out = line_spread.without_spread_lines(docs, min_sites=2)
     assert out.count() == len(ROWS) and set(docs.columns) < set(out.columns)
     assert line_spread.without_spread_lines(no_docs).count() == 0
+    clash = line_spread.without_spread_lines(docs.withColumn("n_lines", F.lit("mine")), min_sites=2)
+    assert {r.n_lines_input for r in clash.collect()} == {"mine"} and clash.schema["n_lines"].dataType.simpleString() == "bigint"
 
 
 def test_toxicity(docs, no_docs, spark):

@@ -83,8 +83,8 @@ def test_find_runs(docs, no_docs, spark):
     assert P.find_runs(own).first().collapsed == "the end . x"
     with pytest.raises(ValueError):
         P.find_runs(own, exponent=1)
-    with pytest.raises(ValueError):
-        P.find_runs(own.withColumn("runs", own.text))
+    clash = P.find_runs(own.withColumns({"RUNS": own.doc_id, "runs_input": own.doc_id + 1})).first()
+    assert clash.RUNS_input_input == 1 and clash.runs_input == 2 and clash.runs[0].period == 2
 
 
 def test_digests(spark):
