@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import conf_partitions, stored, utf8
+from .common import conf_partitions, slices, stored, utf8
 from .components import components
 from .text_hash import SPACES, U64, from_planes, hash_texts, planes, shingle_set
 
@@ -88,7 +88,7 @@ def _documents(docs: DataFrame, shingle: int, counters: int) -> DataFrame:
                 counts[at] = np.minimum(counts[at] + more, 65535)  # the order of frequencies needs no more
                 waiting.clear()
 
-        for b in batches:
+        for b in slices(batches):
             like = b.column("doc_id").type
             n, cls, sig = [], [], []
             for words in hash_texts(b.column("text").to_pylist(), SPACES):
@@ -170,7 +170,7 @@ def _shared_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, shingle:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, tokens, owners, size = shared.value, [], [], 0
-        for b in batches:
+        for b in slices(batches):
             for words in hash_texts(b.column(0).to_pylist(), SPACES):
                 own = shingle_set(words, shingle)
                 if not len(own):
@@ -228,7 +228,7 @@ def _sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, done = shared.value, set()
-        for b in batches:
+        for b in slices(batches):
             cls, sets = [], []
             for words in hash_texts(b.column(0).to_pylist(), SPACES):
                 own = shingle_set(words, shingle)
@@ -271,7 +271,7 @@ def _bucket_pairs(classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = [_links(np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 

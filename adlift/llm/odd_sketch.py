@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import slices, stored, utf8
 from .components import components
 from .text_hash import SPACES, U64, hash_texts, mixed, shingle_set
 
@@ -129,7 +129,7 @@ def sketched_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(w, shingle) for w in hash_texts(b.column("text").to_pylist(), SPACES)]
             n = np.array([len(x) for x in sets], dtype=np.int64)
             some = np.flatnonzero(n)
@@ -164,7 +164,7 @@ def _sets(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled, done = shared.value, set()
-        for b in batches:
+        for b in slices(batches):
             h = b.column("text_hash").to_numpy().view(U64)
             at = h >> U64(64 - (NEEDED_BITS.bit_length() - 1))
             hit = filled[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1
@@ -183,7 +183,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
                 x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)

@@ -43,7 +43,7 @@ LEAST_DOCS, LEAST_Z, MAX_FEATURES = 3, 5.0, 20_000
 #: word, among them all runs of more than so many bytes
 PREFIXES, GRAMS, LONG_WORD = (3, 4, 5, 6, 7), (2, 3, 4), 64
 #: words whose weight a worker keeps
-KEPT = 500_000
+KEPT = 100_000
 STEPS, RATE, RIDGE, START_BIAS = 300, 0.15, 1e-5, -6.0
 THRESHOLD = 0.7
 
