@@ -24,27 +24,41 @@ from adlift.llm.token_ids import token_ids
 from adlift.llm.toxicity import THRESHOLD, score_column, train
 
 
+#: rows that Spark sends to a Python worker at once: whole texts are long, and
+#: the default of 10,000 of them fills buffers on both sides
+BATCH_ROWS = 1_000
+
+
+def _settings(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold."""
+    _settings(spark)
     model = train(docs, table(spark, sf_dir, "labels"))
     return docs.where(score_column(model, spark) < THRESHOLD)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id in each group."""
+    _settings(spark)
     return group_keepers(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage, each row by its own text."""
+    _settings(spark)
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
     return mixed_documents(docs)
 
 
 def token_ids_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _settings(spark)
     return token_ids(docs, WORD_BPE)
 
 
