@@ -1,26 +1,58 @@
 """Encoding with the tokenizers library, each distinct word once per worker.
 
-The pretokens of ``word_bpe_49k.json`` never span white space and begin anew
-at a full stop or comma that follows a letter, and its normaliser lower-cases,
+Under the normaliser and the pretokenizer of ``WORD_RULES``, pretokens never
+span white space and begin anew at a full stop or comma that follows a letter,
 so a text's ids are those of its pieces cut there, in order.  Pieces are found
-and hashed (64 bits) many at a time; each distinct one is encoded by the
-library and its ids kept (up to ``KEPT`` pieces, then the table starts anew).
-A text that could hold a special token's string is encoded whole.
+and hashed (64 bits; above ``LONG_WORD`` bytes by XXH3) many at a time; each
+distinct one is encoded by the library and its ids kept (up to ``KEPT`` pieces,
+then the table starts anew).  The rules compose characters (NFC) before they
+lower-case, so only a letter before another ASCII byte is lower-cased here:
+nothing composes with it.
+
+Whole texts go through the library if they could hold an added token, and with
+any tokenizer file of other rules or other added tokens.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
+import xxhash
 
-from .text_hash import _BASE, _BYTE, _powers, SPACES, U64, mixed
+from .text_hash import _BASE, _BYTE, _powers, LONG_WORD, SPACES, U64, mixed
 
 #: pieces, and ids of pieces, kept by a worker process: 50 MB or so
 KEPT, KEPT_IDS = 1_000_000, 6_000_000
 #: bytes of text taken at once
 CHUNK = 1 << 21
 
+#: the rules that the cuts are right for, as the tokenizer file states them
+WORD_RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: how the added tokens begin, in a file whose texts are cut
+MARK = "<|"
+
 _LETTER = np.zeros(256, dtype=bool)
-_LETTER[97:123] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_UPPER = np.zeros(256, dtype=bool)
+_UPPER[65:91] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[44, 46]] = True
 _encoders: dict[str, "Encoder"] = {}
@@ -35,8 +67,25 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _tables
 
 
+def cuttable(rules: dict) -> bool:
+    """Whether the texts of a tokenizer file (as parsed) may be cut."""
+    same = all(rules.get(k) == v for k, v in WORD_RULES.items())
+    model = rules.get("model") or {}
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not rules.get("truncation") and not rules.get("padding")
+    added = all(MARK in t["content"] and not t["normalized"] for t in rules.get("added_tokens") or [])
+    return same and plain and added
+
+
+def lowered(text: bytes) -> bytes:
+    """A-Z as a-z, but before a byte that is not ASCII: a mark could follow."""
+    if text.isascii():
+        return text.lower()
+    buf = np.frombuffer(text, dtype=np.uint8)
+    return (buf + np.uint8(32) * (_UPPER[buf] & np.append(buf[1:] < 128, True))).astype(np.uint8).tobytes()
+
+
 def _pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the pieces of lower-cased text."""
+    """(starts, ends, hashes) of the pieces of ``lowered`` text."""
     word = ~SPACES[buf]
     cut = np.zeros(len(buf) + 1, dtype=bool)
     cut[1:-1] = _STOP[buf[1:]] & _LETTER[buf[:-1]]
@@ -45,7 +94,10 @@ def _pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     powers, inverse = _power_tables(len(buf))
     sums = np.zeros(len(buf) + 1, dtype=U64)
     np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
-    return starts, ends, mixed((sums[ends] - sums[starts]) * inverse[starts])
+    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes())
+    return starts, ends, hashes
 
 
 class Encoder:
@@ -55,6 +107,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cuts = cuttable(json.loads(self.tokenizer.to_str()))
         self._forget()
 
     def _forget(self):
@@ -79,7 +132,7 @@ class Encoder:
         return inside, self.hashes[inside] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
 
     def _encode_chunk(self, texts: list[bytes]) -> list[bytes]:
-        joined = b"\n".join(texts).lower()
+        joined = lowered(b"\n".join(texts))
         starts, ends, hashes = _pieces(np.frombuffer(joined, dtype=np.uint8))
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) + len(distinct) > KEPT or len(self.ids) > KEPT_IDS:
@@ -108,7 +161,7 @@ class Encoder:
             waiting.clear()
 
         for i, text in enumerate(texts):
-            if b"<|" in text:
+            if not self.cuts or MARK.encode() in text:
                 out[i].append(np.array(self._library([text])[0], dtype="<u4").tobytes())
                 continue
             for part in _parts(text):
