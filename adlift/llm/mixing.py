@@ -6,14 +6,16 @@ own words; what it cannot take is shared anew by weight.  A document is taken
 to an importance column): ``floor(e)`` copies are certain, and one more is
 drawn with inclusion probability ``p = e - floor(e)``.  The draw ranks the
 documents of a source by random odds over inclusion odds,
-``u / (1 - u) / (p / (1 - p))`` with ``u`` a hash of the id, and takes them in
-this order until the words reach what the certain copies leave of the target:
-a sample of fixed size in words, with unequal probabilities.
+``u / (1 - u) / (p / (1 - p))``, and takes them in this order until the words
+reach what the certain copies leave of the target: a sample of fixed size in
+words, with unequal probabilities.  ``u`` is a hash of the id, the text and the
+source; rows that are equal in these are numbered, and draw each for itself.
 
 Cases: null text has size 0; a null source is a source of its own, sorted
-last; a negative, null or zero importance takes no words; equal rows are taken
-alike; an empty table gives an empty mix; other columns are ignored by ``mix``
-and kept by ``mixed_documents``.
+last; a negative, null or zero importance takes no words; of equal rows, as
+many are taken in every run, whichever these are; null ids draw by their text;
+an empty table gives an empty mix; other columns are ignored by ``mix`` and
+kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -38,10 +40,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(seed: str) -> Column:
-    """A number in (0, 1) fixed by the seed and the id."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
+def draw_of(seed: str, importance: Column | None) -> Column:
+    """The name under which a row draws, in hex digits; equal rows share it."""
+    parts = [
+        F.lit(seed),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
+        F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-")),
+    ]
+    if importance is not None:
+        parts.append(F.coalesce(importance.cast("string"), F.lit("null")))
+    return F.md5(F.concat_ws(":", *parts).cast("binary"))
+
+
+def uniform(draw: Column) -> Column:
+    """A number in (0, 1) fixed by the draw."""
+    return (F.conv(F.substring(draw, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 @dataclass(frozen=True)
@@ -108,18 +122,48 @@ def _beside(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
     return rows.join(p, rows["source"].eqNullSafe(p["__source"]), "left").drop("__source")
 
 
+#: equal rows after the first are broadcast up to so many (16 bytes each), else joined by shuffle
+BROADCAST_REPEATS = 500_000
+
+
 def _entry(importance: Column | None, seed: str) -> list[Column]:
-    """What the draw needs of a document."""
+    """What the mix needs of a document; ``row`` names it."""
     weight = F.lit(1.0) if importance is None else F.greatest(F.coalesce(importance.cast("double"), F.lit(0.0)), F.lit(0.0))
     return [
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text")).alias("size"),
-        F.xxhash64("text").alias("tie"),
-        uniform(seed).alias("u"),
+        draw_of(seed, importance).alias("tie"),
         weight.alias("importance"),
+        F.monotonically_increasing_id().alias("row"),
     ]
 
 
+def _repeats(base: DataFrame) -> DataFrame:
+    """(row, nth) of the rows that equal ``nth`` others before them.
+
+    Rows are numbered within their part of the stored table, and the parts'
+    counts summed, so that no task takes all rows of a large group.
+    """
+    rows = base.select("tie", F.shiftright("row", 33).alias("part"), "row")
+    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy("tie", "part").orderBy("row")) - 1)
+    counts = rows.groupBy("tie", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("tie").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("tie", "part", F.sum("n").over(earlier).alias("shift")).where("shift > 0")
+    found = numbered.join(shifts, ["tie", "part"], "left").withColumn("nth", F.col("k") + F.coalesce("shift", F.lit(0)))
+    return found.where("nth > 0").select("row", "nth")
+
+
+def _drawn(base: DataFrame) -> DataFrame:
+    """base with ``u`` and a ``tie`` for each row."""
+    repeats = stored(_repeats(base), "mix-repeats")
+    n = repeats.count()
+    if n:
+        repeats = F.broadcast(repeats) if n <= BROADCAST_REPEATS else repeats
+        again = F.md5(F.concat_ws(":", F.col("tie"), F.col("nth").cast("string")).cast("binary"))
+        base = base.join(repeats, "row", "left").withColumn("tie", F.when(F.col("nth").isNull(), F.col("tie")).otherwise(again)).drop("nth")
+    return base.withColumn("u", uniform(F.col("tie")))
+
+
 def _ranked(rows: DataFrame, max_repeats: int) -> DataFrame:
     """rows with certain copies (``sure``) and ``rank``: random odds over
     inclusion odds, null without a chance of one more."""
@@ -156,23 +200,24 @@ def _cuts(ranked: DataFrame) -> DataFrame:
     drawn = F.col("upto") + (F.col("upto") - F.col("size")) < 2 * F.col("left")
     mark = F.struct("rank", "size", "tie")
     # before the first of this range: all of the ranges before it
-    start = F.struct((F.col("bin") / (BINS - F.col("bin"))).alias("rank"), F.lit(-1).cast("long").alias("size"), F.lit(0).cast("long").alias("tie"))
+    start = F.struct((F.col("bin") / (BINS - F.col("bin"))).alias("rank"), F.lit(-1).cast("long").alias("size"), F.lit("").alias("tie"))
     return last.groupBy("source").agg(F.max(F.when(drawn, mark).otherwise(start)).alias("cut"))
 
 
 def _decided(docs: DataFrame, columns: list[Column], importance, weights, max_repeats: int, seed: str) -> DataFrame:
     """``columns`` and source, size, source_size, target, copies of each row.
 
-    The decision of a row is a function of the row, its source's target and
-    its source's cut, so the texts are never shuffled.
+    The rows are stored once; the decision of a row follows from its draw, its
+    source's target and its source's cut, so ``columns`` are shuffled only if
+    more than ``BROADCAST_REPEATS`` rows repeat others.
     """
-    entry = _entry(importance, seed)
-    base = stored(docs.select(*entry), "mix-entries")
+    base = stored(docs.select(*columns, *_entry(importance, seed)), "mix-entries")
     plan = _plan_for(base, weights, max_repeats, importance is None)
     n = plan.count()
-    cuts = _cuts(_ranked(_beside(base, plan, n), max_repeats))
+    base = _drawn(base)
+    cuts = _cuts(_ranked(_beside(base.select("source", "size", "tie", "u", "importance"), plan, n), max_repeats))
     plan = stored(_beside(plan, cuts, n), "mix-plan")
-    rows = _ranked(_beside(docs.select(*columns, *entry), plan, n), max_repeats)
+    rows = _ranked(_beside(base, plan, n), max_repeats)
     extra = F.coalesce(F.struct("rank", "size", "tie") <= F.col("cut"), F.lit(False))
     return rows.withColumn("copies", F.col("sure").cast("int") + extra.cast("int"))
 

@@ -25,10 +25,13 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 OP9 = r"""
-WITH d AS (
+WITH g AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    (CAST('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+    md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, '')) || ':' || coalesce('=' || source, '-')) AS g
   FROM documents),
+m AS (SELECT *, row_number() OVER (PARTITION BY g) - 1 AS nth FROM g),
+v AS (SELECT doc_id, source, size, CASE WHEN nth = 0 THEN g ELSE md5(g || ':' || CAST(nth AS VARCHAR)) END AS draw FROM m),
+d AS (SELECT *, (CAST('0x' || substr(draw, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM v),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
   FROM d GROUP BY source),
@@ -42,7 +45,7 @@ e AS (SELECT d.*, t.n AS source_size, t.target, CASE WHEN t.n = 0 THEN 0.0::DOUB
 r AS (SELECT *, CASE WHEN abs(raw - round(raw)) < 1e-9 THEN round(raw) ELSE raw END AS mean FROM e),
 q AS (SELECT *, CASE WHEN mean > floor(mean) THEN u / (1 - u) * ((1 - (mean - floor(mean))) / (mean - floor(mean))) END AS rank FROM r),
 c AS (SELECT *, target - sum(size * floor(mean)) OVER (PARTITION BY source) AS remaining,
-    sum(CASE WHEN rank IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+    sum(CASE WHEN rank IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, size, draw ROWS UNBOUNDED PRECEDING) AS upto FROM q)
 SELECT doc_id, source, size, source_size, target,
   CAST(floor(mean) + CASE WHEN rank IS NOT NULL AND upto - size < remaining AND 2 * upto - size < 2 * remaining THEN 1 ELSE 0 END AS INTEGER) AS copies,
   CAST(size * copies AS BIGINT) AS taken

@@ -327,6 +327,34 @@ def test_mix(docs, no_docs, spark):
     assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
 
 
+def sorted_mix(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_mix_of_equal_rows_and_null_ids(spark, monkeypatch):
+    """A third of all rows equal, ids null or repeated: the targets are met,
+    and the length of a text has no part in the draw."""
+    kind = "doc_id long, text string, source string, uid int"
+    equal = [(None, "one two three four five six seven eight", "a", i) for i in range(3000)]
+    lengths = [(None, " ".join(f"w{i}" for _ in range(1 + i % 50)), "b", i) for i in range(3000)]
+    ids = [(7, "x y z " * (1 + i % 3), "c", i) for i in range(3000)]
+    docs = spark.createDataFrame(equal + lengths + ids + [(None, None, None, 1)] * 50 + [(1, "w " * 40000, "d", 1)], kind)
+    results = []
+    for limit, parts in ((mixing.BROADCAST_REPEATS, 3), (mixing.BROADCAST_REPEATS, 17), (10, 5)):
+        monkeypatch.setattr(mixing, "BROADCAST_REPEATS", limit)
+        rows = mixing.mix(docs.repartition(parts)).cache()
+        results.append(sorted_mix(rows))
+        for r in rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("size").alias("most"), F.first("target").alias("target")).collect():
+            assert abs(r.taken - r.target) <= r.most, r
+    assert results[0] == results[1] == results[2]
+    own = rows.where("source = 'b'").groupBy((F.col("size") > 25).alias("long")).agg(F.avg("copies").alias("c")).collect()
+    assert abs(own[0].c - own[1].c) < 0.1
+    mixed = mixing.mixed_documents(docs.repartition(4))
+    assert mixed.columns == docs.columns
+    taken = {r.source: r.n for r in rows.groupBy("source").agg(F.sum("copies").alias("n")).collect() if r.n}
+    assert {r.source: r["count"] for r in mixed.groupBy("source").count().collect()} == taken
+
+
 def test_fingerprints(docs, no_docs, spark):
     one = [(i, t) for i, t, _ in ROWS if i != 11]
     unique = docs.where("doc_id is null or doc_id <> 11")
