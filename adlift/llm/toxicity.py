@@ -5,9 +5,15 @@ function of its words and their beginnings; a document's is the noisy-or of its
 ``1 - product(1 - p)``.  The weights are learned from document labels alone,
 and afterwards single out the offending sentences.
 
-Training takes at most ``SAMPLE`` labelled documents of each label, of at most
-``SAMPLE_CHARS`` characters each, those with the least hash of their id; these
-bounds hold at any corpus size.  The model is a table of at most
+What clean sentences give by chance adds up with their number.  From the
+training documents it is known how many of them give ``CHANCE`` together; the
+bias of a document with ``k`` times as many sentences is less by ``log(k)``.
+
+Training takes at most ``SAMPLE`` labelled documents of each label, those with
+the least hash of their id, and of each label at most ``SAMPLE_TOTAL``
+characters; these bounds hold at any corpus size.  Of a clean document above
+``SAMPLE_CHARS`` characters, every k-th sentence is taken; a toxic one is not
+chosen, as a part of it need not be toxic.  The model is a table of at most
 ``MAX_FEATURES`` weights.  Scoring is one pass over whole texts, without
 shuffle.
 
@@ -33,9 +39,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: training documents of each label, and their greatest length
-SAMPLE, SAMPLE_CHARS = 3_000, 100_000
+from .common import utf8
+
+#: training documents of each label, their greatest length, and all lengths together
+SAMPLE, SAMPLE_CHARS, SAMPLE_TOTAL = 3_000, 100_000, 50_000_000
+#: ``-log(1 - score)`` that clean sentences may give together
+CHANCE = 0.3
 #: a feature must occur in so many training documents, and its share differ
 #: between the labels by so many standard errors; features in a model
 LEAST_DOCS, LEAST_Z, MAX_FEATURES = 3, 5.0, 20_000
@@ -95,16 +106,18 @@ def features(word: bytes) -> Iterator[str]:
 
 @dataclass
 class Model:
-    """Weights of features, and the bias of a sentence."""
+    """Weights of features, the bias of a sentence, and the number of
+    sentences above which the bias falls."""
 
     weights: dict[str, float]
     bias: float
+    span: float = float("inf")
 
     def __post_init__(self):
         self.known: dict[bytes, float] = {}
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "known": {}}
+        return {"weights": self.weights, "bias": self.bias, "span": self.span, "known": {}}
 
     def word(self, w: bytes) -> float:
         """A word's part of the logit, kept for the next time unless long."""
@@ -138,7 +151,8 @@ class Model:
                     logits.append(sum(map(self.word, own)))
             elif s.strip():
                 logits.append(0.0)
-        return float(-np.expm1(-np.logaddexp(0.0, self.bias + np.array(logits)).sum()))
+        bias = self.bias - np.log(max(1.0, len(logits) / self.span))
+        return float(-np.expm1(-np.logaddexp(0.0, bias + np.array(logits)).sum()))
 
 
 def _informative(texts: list[bytes], y: np.ndarray) -> dict[str, int]:
@@ -192,7 +206,15 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
         a, b = 1 - 0.9**step, 1 - 0.99**step
         w -= RATE * (m / a) / (np.sqrt(v / b) + 1e-7)
         bias -= RATE * (mb / a) / (np.sqrt(vb / b) + 1e-7)
-    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(bias))
+    clean = y[doc] == 0
+    chance = np.logaddexp(0.0, bias + np.bincount(sent, w[feature], n_sents))[clean].mean() if clean.any() else 0.0
+    span = CHANCE / chance if chance > 0 else float("inf")
+    return Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}, float(bias), max(1.0, span))
+
+
+def _part(text: bytes, size: int) -> bytes:
+    """Every k-th sentence of a long text, ``size`` bytes at most."""
+    return b"\n".join(sentences(text)[:: -(-len(text) // size)])[:size]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -204,12 +226,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labels of rows that are not held out."""
     known = labels.where(~held_out() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    both = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE) for t in (0, 1)]
+    size = F.coalesce(F.length("text"), F.lit(0))
+    fits = known.join(docs.select("doc_id", size.alias("chars")), "doc_id").where((F.col("toxic") == 0) | (F.col("chars") <= SAMPLE_CHARS))
+    fits = fits.groupBy("doc_id", "toxic").agg(F.least(F.max("chars"), F.lit(SAMPLE_CHARS)).alias("chars"))
+    both = [fits.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(SAMPLE) for t in (0, 1)]
     chosen = both[0].unionByName(both[1])
-    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
     # chosen has 2 * SAMPLE rows at most
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).toPandas()
-    rows = rows.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id") if len(rows) else rows
+    upto = F.sum("chars").over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    chosen = chosen.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_TOTAL).select("doc_id", "toxic")
+
+    chars = SAMPLE_CHARS
+
+    @F.pandas_udf("binary")
+    def part(texts: pd.Series) -> pd.Series:
+        short = (len(t) <= chars or len(t.decode("utf-8", "replace")) <= chars for t in texts)
+        return pd.Series([t if s else _part(t, chars) for t, s in zip(texts, short)], dtype="object")
+
+    texts = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = texts.select("doc_id", "toxic", part("text").alias("text")).toPandas()
+    rows = rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id") if len(rows) else rows
     return fit([bytes(t) for t in rows["text"]], [int(t) for t in rows["toxic"]])
 
 

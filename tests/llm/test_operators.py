@@ -126,6 +126,44 @@ def test_toxicity(docs, no_docs, spark):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
+def test_toxicity_is_a_noisy_or():
+    """Scores equal the product over sentences, and clean sentences of any
+    number do not add up to a rejection."""
+    clean = ["the mill stood by the river. it was quiet there", "we read a book about trains. nobody hurried"]
+    texts = [f"{clean[i % 2]} item{i}" for i in range(200)] + [f"{clean[i % 2]}. you vile fool. item{i}" for i in range(60)]
+    model = toxicity.fit([t.encode() for t in texts], [0] * 200 + [1] * 60)
+    assert 1 < model.span < float("inf")
+    for text in (*texts[::37], "Vile fool! " * 3, ". ? !", "one sentence", "\n".join(texts[:200]) * 40):
+        logits = model.sentence_logits(text.encode())
+        less = max(0.0, float(np.log(max(1, len(logits)) / model.span)))
+        stay = 1.0
+        for z in logits:
+            stay *= 1 - 1 / (1 + float(np.exp(less - z)))
+        assert model.score(text.encode()) == pytest.approx(1 - stay, abs=1e-9)
+    long = ". ".join(texts[:200]) + ". "
+    assert len(long) * 110 > 1_000_000
+    assert all(model.score((long * k).encode()) < toxicity.THRESHOLD for k in (1, 11, 110))
+    assert model.score((long * 11 + "you vile fool").encode()) >= toxicity.THRESHOLD
+
+
+def test_toxicity_samples_long_documents(spark, monkeypatch):
+    """Long clean documents teach by a part, long toxic ones do not; the
+    characters brought together are bounded."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 400)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append(list(zip(texts, y))) or toxicity.Model({}, 0.0))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[0], "short"), (ids[1], "a long one. " * 500), (ids[2], "a bad one. " * 500), (ids[3], "bad"), (ids[4], None), (ids[5], "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k in (2, 3)) for k, (i, _) in enumerate(rows)], "doc_id long, toxic boolean")
+    toxicity.train(docs, labels)
+    assert sorted(y for _, y in seen[0]) == [0, 0, 0, 0, 1] and (b"bad", 1) in seen[0]
+    assert all(len(t) <= 400 for t, _ in seen[0]) and any(b"a long one\na long one" in t for t, _ in seen[0])
+    monkeypatch.setattr(toxicity, "SAMPLE_TOTAL", 10)
+    toxicity.train(docs, labels)
+    assert sum(len(t) for t, y in seen[1] if not y) <= 10 and len(seen[1]) < len(seen[0])
+
+
 def test_toxicity_reads_whole_runs():
     """Text without ASCII spaces counts to its end, in training and scoring."""
     fill = ["今日は天気がとても良いので散歩に行きました", "私たちは新しい図書館で本をたくさん読みました", "彼女は市場で野菜と果物を買って家に帰りました"]
