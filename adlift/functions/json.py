@@ -17,11 +17,40 @@ def json_array_has_type(images: Column, type_name: str) -> Column:
     text.  Built from native variant functions: one bad element does not
     hide the others, and nothing leaves the JVM.
     """
-    is_string = F.left(F.ltrim(images), F.lit(1)) == F.lit('"')
-    inner = F.when(is_string, F.get_json_object(images, "$"))
-    arr = F.try_variant_get(F.try_parse_json(inner), "$", "array<variant>")
     hit = F.exists(
-        arr,
+        _decoded_array(images),
         lambda v: F.coalesce(F.try_variant_get(v, "$.type", "string") == F.lit(type_name), F.lit(False)),
     )
     return F.coalesce(hit, F.lit(False))
+
+
+def _decoded_text(images: Column) -> Column:
+    """The text inside a JSON string; NULL for any other JSON value."""
+    return F.when(F.left(F.ltrim(images), F.lit(1)) == F.lit('"'), F.get_json_object(images, "$"))
+
+
+def _decoded_array(images: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(_decoded_text(images)), "$", "array<variant>")
+
+
+def json_array_types(images: Column) -> Column:
+    """The distinct scalar ``type`` texts of the array that
+    ``json_array_has_type`` looks into; empty when there is no such array."""
+    types = F.transform(_decoded_array(images), lambda v: F.try_variant_get(v, "$.type", "string"))
+    return F.coalesce(F.array_distinct(F.array_compact(types)), F.array().cast("array<string>"))
+
+
+#: what ``images`` holds: an encoded array (the only form that is read), JSON of another form, no JSON, or nothing
+ENCODED, OTHER_JSON, MALFORMED, MISSING = "encoded_array", "other_json", "malformed", "missing"
+
+
+def json_array_form(images: Column) -> Column:
+    """Which of the four forms a value of ``images`` has.  A string that does
+    not hold JSON is malformed, one that holds JSON other than an array is not."""
+    text = _decoded_text(images)
+    return (
+        F.when(images.isNull(), F.lit(MISSING))
+        .when(_decoded_array(images).isNotNull(), F.lit(ENCODED))
+        .when(F.try_parse_json(images).isNull() | (text.isNotNull() & F.try_parse_json(text).isNull()), F.lit(MALFORMED))
+        .otherwise(F.lit(OTHER_JSON))
+    )

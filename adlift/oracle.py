@@ -689,4 +689,24 @@ FROM enet_c e WHERE inv_setting IS NOT NULL GROUP BY inv_setting""",
 FROM buys GROUP BY site""",
     ),
     "bucketed_network_items": extract_sql("enet"),
+    "prefiltered_adopters": extract_sql("arpu"),
+    "prefiltered_first_time": extract_sql("nuevos"),
+    "index_creative_adoption": extract_sql("iab"),
+    "index_format_counts": oracle(
+        """typed AS (
+  SELECT creative_id, UNNEST(json_extract_string(json_extract_string(images, '$'), '$[*].type')) AS type
+  FROM creative WHERE json_type(images) = 'VARCHAR')""",
+        """SELECT t.type, COUNT(DISTINCT t.creative_id) AS n_creatives, COUNT(DISTINCT l.line_item_id) AS n_line_items
+FROM typed t LEFT JOIN line_item_creative l ON l.creative_id = t.creative_id WHERE t.type IS NOT NULL GROUP BY t.type""",
+    ),
+    "index_image_forms": oracle(
+        "",
+        """SELECT CASE WHEN images IS NULL THEN 'missing'
+            WHEN NOT json_valid(images) THEN 'malformed'
+            WHEN json_type(images) <> 'VARCHAR' THEN 'other_json'
+            WHEN NOT json_valid(json_extract_string(images, '$')) THEN 'malformed'
+            WHEN json_type(json_extract_string(images, '$')) = 'ARRAY' THEN 'encoded_array'
+            ELSE 'other_json' END AS form, COUNT(*) AS n_creatives
+FROM creative GROUP BY 1""",
+    ),
 }

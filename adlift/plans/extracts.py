@@ -158,20 +158,29 @@ def ext_adopters(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     windows (they are contiguous: the before window ends the day before
     launch).
     """
-    after = _after(cfg)
-    before = in_window(cfg.before_start, cfg.before_end)
+    return adopters_of(adopter_sums(adopter_rows(src, cfg), cfg), src)
+
+
+def adopter_rows(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Display rows of both windows, with the strategy of the adopters' table."""
     lo = min(cfg.before_start, cfg.launch_date)
     hi = max(cfg.analysis_end, cfg.before_end)
-    qual = after & positive_cost()
-    fact = src.daily_metrics.where(in_window(lo, hi) & display_scope()).withColumn(
+    return src.daily_metrics.where(in_window(lo, hi) & display_scope()).withColumn(
         "strategy", strategy(F.col("campaign_target"), C.STRATEGY_ADOPTERS)
     )
+
+
+def adopter_sums(fact: DataFrame, cfg: C.LaunchConfig) -> DataFrame:
+    """``adopter_rows`` folded per line item."""
+    after = _after(cfg)
+    before = in_window(cfg.before_start, cfg.before_end)
+    qual = after & positive_cost()
     # Keys of the fact-side pass: the line item only matters after launch
     # (for the off-only split), name and vertical only on qualifying rows;
     # elsewhere they are NULL, so the before window folds to one row per
     # group.  Name and vertical are keys, not MIN buffers, which keeps this
     # aggregate hash-based.
-    per_item = fact.groupBy(
+    return fact.groupBy(
         "site",
         "advertiser_id",
         "strategy",
@@ -184,7 +193,6 @@ def ext_adopters(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
         F.sum(F.when(after & is_onsite(), F.col("cost_usd"))).alias("a_in"),
         any_flag(qual).alias("q"),
     )
-    return adopters_of(per_item, src)
 
 
 def adopters_of(per_item: DataFrame, src: Sources) -> DataFrame:
@@ -236,19 +244,27 @@ def ext_first_time(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     ``history_start`` to the day before launch).  No display scope here.
     The name comes from the advertiser dimension (a repeated id repeats the
     row).  History and after window are read in one scan."""
-    after = _after(cfg)
-    hist = in_window(cfg.history_start, cfg.history_end)
+    return first_time_of(first_time_sums(first_time_rows(src, cfg), cfg), src, cfg)
+
+
+def first_time_rows(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Rows of positive cost from the history and after launch."""
     lo = min(cfg.history_start, cfg.launch_date)
     hi = max(cfg.analysis_end, cfg.history_end)
-    fact = src.daily_metrics.where(in_window(lo, hi) & positive_cost())
+    return src.daily_metrics.where(in_window(lo, hi) & positive_cost())
+
+
+def first_time_sums(fact: DataFrame, cfg: C.LaunchConfig) -> DataFrame:
+    """``first_time_rows`` folded per line item."""
+    after = _after(cfg)
+    hist = in_window(cfg.history_start, cfg.history_end)
     # the line item is needed after launch only: history rows fold to one
     # row per (site, advertiser) before the shuffle
-    per_item = fact.groupBy("site", "advertiser_id", F.when(after, F.col("line_item_id")).alias("line_item_id")).agg(
+    return fact.groupBy("site", "advertiser_id", F.when(after, F.col("line_item_id")).alias("line_item_id")).agg(
         F.sum(F.when(after, F.col("cost_usd"))).alias("a"),
         any_flag(hist).alias("h_dsp"),
         any_flag(hist & is_offsite()).alias("h_adx"),
     )
-    return first_time_of(per_item, src, cfg)
 
 
 def first_time_of(per_item: DataFrame, src: Sources, cfg: C.LaunchConfig) -> DataFrame:
@@ -288,22 +304,29 @@ def ext_creative_adoption(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     """Distinct (site, campaign, line item, advertiser, inventory category,
     strategy) of display delivery after launch, with a flag for line items
     that carry a creative of the configured format."""
+    return creative_adoption_of(creative_active(src, cfg), src, cfg)
+
+
+def creative_active(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Distinct keys of display delivery after launch."""
     fact = src.daily_metrics.where(
         _after(cfg) & display_scope() & target_allowed(C.TARGETS_CREATIVE) & positive_cost()
     )
-    return creative_adoption_of(fact.select(*creative_keys()).distinct(), src, cfg)
+    return fact.select(*creative_keys()).distinct()
 
 
 def creative_keys() -> list:
     return ["site", "campaign_id", "line_item_id", "advertiser_id", strategy(F.col("campaign_target"), C.STRATEGY_CREATIVE).alias("strategy")]
 
 
-def creative_adoption_of(active: DataFrame, src: Sources, cfg: C.LaunchConfig) -> DataFrame:
-    """Active keys joined with inventory categories and the format's mark."""
+def creative_adoption_of(active: DataFrame, src: Sources, cfg: C.LaunchConfig, items: DataFrame | None = None) -> DataFrame:
+    """Active keys joined with inventory categories and the format's mark (of
+    the distinct line item ids ``items``, if they are known already)."""
     with_inv = left_join_nullable_key(active, inventory_settings(src.line_item), "line_item_id").withColumn(
         "inv_setting", F.coalesce(F.col("inv_setting"), F.lit(C.ONLY_IN))
     )
-    marks = creative_format_items(src, cfg).withColumn("__hit", F.lit(True))
+    items = creative_format_items(src, cfg) if items is None else items
+    marks = items.withColumn("__hit", F.lit(True))
     return left_join_nullable_key(with_inv, marks, "line_item_id").select(
         "site",
         "campaign_id",

@@ -20,9 +20,11 @@ from ..sources import manifest
 from ..sources.bucketed import bucketed_left_join, write_bucketed
 from ..sources.cache import CSV_OPTIONS, read_extracts, rejected_records, write_extracts
 from ..sources.fold import FoldStore
+from ..sources.format_index import FormatIndex
 from ..sources.registry import Sources
 from . import extracts as X
 from . import folded, kpis
+from .prefiltered import prefiltered_adopters, prefiltered_first_time
 
 
 def two_step_fold(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
@@ -128,6 +130,27 @@ def bucketed_network_items(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     return X.network_columns(bucketed_left_join(spark, left, right, "line_item_id"))
 
 
+def _format_index(src: Sources) -> FormatIndex:
+    spark = src.creative.sparkSession
+    return FormatIndex(spark, scratch_path(spark, "format-index")).write(src)
+
+
+def indexed_creative_adoption(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Creative adoption with the format's line items taken from the index."""
+    items = _format_index(src).items(cfg.creative_format, cfg.excluded_creative_advertisers)
+    return X.creative_adoption_of(X.creative_active(src, cfg), src, cfg, items)
+
+
+def format_counts(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Creatives and line items of every format, from the index."""
+    return _format_index(src).formats()
+
+
+def format_forms(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+    """Creatives by what their images hold, malformed ones included."""
+    return _format_index(src).forms()
+
+
 _SHARED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -150,6 +173,11 @@ STORES = {
     "set_inventory_counts": inventory_sets,
     "set_window_advertisers": window_sets,
     "bucketed_network_items": bucketed_network_items,
+    "prefiltered_adopters": prefiltered_adopters,
+    "prefiltered_first_time": prefiltered_first_time,
+    "index_creative_adoption": indexed_creative_adoption,
+    "index_format_counts": format_counts,
+    "index_image_forms": format_forms,
 }
 
 FOLD_KEYS = {
