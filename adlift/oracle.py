@@ -689,6 +689,11 @@ FROM enet_c e WHERE inv_setting IS NOT NULL GROUP BY inv_setting""",
 FROM buys GROUP BY site""",
     ),
     "bucketed_network_items": extract_sql("enet"),
+    "sql_network_items": extract_sql("enet"),
+    "sql_display_population": extract_sql("aw_denom"),
+    "sql_adopters": extract_sql("arpu"),
+    "sql_first_time": extract_sql("nuevos"),
+    "sql_creative_adoption": extract_sql("iab"),
     "prefiltered_adopters": extract_sql("arpu"),
     "prefiltered_first_time": extract_sql("nuevos"),
     "index_creative_adoption": extract_sql("iab"),

@@ -23,7 +23,7 @@ from ..sources.fold import FoldStore
 from ..sources.format_index import FormatIndex
 from ..sources.registry import Sources
 from . import extracts as X
-from . import folded, kpis
+from . import folded, kpis, sqlfunctions
 from .prefiltered import prefiltered_adopters, prefiltered_first_time
 
 
@@ -151,6 +151,17 @@ def format_forms(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
     return _format_index(src).forms()
 
 
+def sql_extract(name: str):
+    """An extract by its SQL table function, named parameters bound."""
+
+    def run(src: Sources, cfg: C.LaunchConfig) -> DataFrame:
+        spark = src.daily_metrics.sparkSession
+        sqlfunctions.register(spark, src)
+        return sqlfunctions.call(spark, name, cfg)
+
+    return run
+
+
 _SHARED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -178,6 +189,7 @@ STORES = {
     "index_creative_adoption": indexed_creative_adoption,
     "index_format_counts": format_counts,
     "index_image_forms": format_forms,
+    **{f"sql_{function}": sql_extract(name) for name, function in sqlfunctions.FUNCTION_OF.items()},
 }
 
 FOLD_KEYS = {
