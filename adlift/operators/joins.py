@@ -7,7 +7,7 @@ sort-merge / shuffled hash, with skewed partitions split) is left to AQE.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,19 +25,29 @@ def anti_join_null_safe(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(other, df[key].eqNullSafe(other["__k"]), "left_anti")
 
 
-def left_join_nullable_key(df: DataFrame, right: DataFrame, key: str, spread: int = 512) -> DataFrame:
+#: salts of NULL keys, at the least
+LEAST_SPREAD = 512
+
+
+def null_spread(spark: SparkSession) -> int:
+    """Salts for rows with a NULL key: as many as a shuffle has partitions."""
+    return max(LEAST_SPREAD, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def left_join_nullable_key(df: DataFrame, right: DataFrame, key: str, spread: int | None = None) -> DataFrame:
     """``df LEFT JOIN right USING (key)`` that does not pile NULL keys into one
     task.
 
     In a shuffle join every NULL key hashes to the same partition, so a key
     that is often NULL would land in one task.  Rows with a NULL key get a
-    salt in ``1..spread`` taken from a hash of their other columns
+    salt in ``1..spread`` (``null_spread`` if not given) taken from a hash of their other columns
     (deterministic, so a retried task places them the same way); the right
     side has salt 0 (a frame with only the key column is salted by its input
     partition).  The join is on the one value ``struct(key, salt)``, which the
     optimizer cannot take apart into a filter on the left side: NULL rows still
     never match, but they are shuffled to many partitions.  Nothing is dropped.
     """
+    spread = null_spread(df.sparkSession) if spread is None else spread
     others = [c for c in df.columns if c != key]
     # with no other column to hash, the input partition (stable across task
     # retries) spreads them instead

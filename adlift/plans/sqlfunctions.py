@@ -19,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
+from ..operators.joins import null_spread
 from ..sources.registry import Sources
 
 PREFIX = "adlift"
-#: tasks that rows without a line item are spread over in a join
-SPREAD = 512
 
 
 def _text(value: str) -> str:
@@ -60,13 +59,14 @@ _OFF_ITEMS = f"SELECT line_item_id FROM {{p}}_line_item WHERE upper(inventory) =
 def _salted(alias: str, *columns: str) -> str:
     """The join key of rows whose line item may be NULL."""
     basis = ", ".join(f"{alias}.{c}" for c in columns)
-    salt = f"CAST(if({alias}.line_item_id IS NULL, 1 + pmod(xxhash64({basis}), {SPREAD}), 0) AS INT)"
+    salt = f"CAST(if({alias}.line_item_id IS NULL, 1 + pmod(xxhash64({basis}), {{spread}}), 0) AS INT)"
     return f"named_struct('key', {alias}.line_item_id, 'salt', {salt}) AS item_key"
 
 
 _ITEM_KEY = "named_struct('key', line_item_id, 'salt', CAST(0 AS INT)) AS item_key"
 
-#: name -> (parameters, body); ``{p}`` stands for the prefix of views and functions
+#: name -> (parameters, body); ``{p}`` stands for the prefix of views and functions,
+#: ``{spread}`` for the salts of rows without a line item
 FUNCTIONS = {
     "network_items": (
         "launch DATE, until DATE",
@@ -223,8 +223,8 @@ def register(spark: SparkSession, src: Sources, prefix: str = PREFIX) -> list[st
     for name, rules in STRATEGIES.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_{name}(target STRING) RETURNS STRING RETURN {_strategy(rules)}")
     for name, (parameters, body) in FUNCTIONS.items():
-        # a body is text of this module; only the checked prefix is put in
-        text = body.replace("{p}", prefix)
+        # a body is text of this module; only the checked prefix and a number are put in
+        text = body.replace("{p}", prefix).replace("{spread}", str(null_spread(spark)))
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}_{name}({parameters}) RETURNS TABLE RETURN {text}")
     return [f"{prefix}_{name}" for name in FUNCTIONS]
 
