@@ -29,7 +29,18 @@ from adlift.llm.toxicity import THRESHOLD, score_column, train
 BATCH_ROWS = 1_000
 
 
+#: a Python worker gives freed memory back to the system at once; else it keeps
+#: what its largest batch took for as long as Spark uses the worker
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system",
+    "MALLOC_ARENA_MAX": "2",
+    "MALLOC_MMAP_THRESHOLD_": str(1 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
+}
+
+
 def _settings(spark: SparkSession) -> None:
+    spark.sparkContext.environment.update(WORKER_MEMORY)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
