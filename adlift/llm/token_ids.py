@@ -12,13 +12,17 @@ A shard is a row of a Parquet table:
 
     part, shard       its range of documents, and place in it
     start, n_ids      ids of the range before the shard, and in it
-    rules             pairs, little-endian u4: rule k is symbol ``base + k``
-    lengths           expansion length of each rule, little-endian u4
-    symbols           the compressed ids, little-endian u2 or u4 (``width``)
+    rules             pairs, all left parts before the right ones: rule k is
+                      symbol ``base + k``
+    lengths           expansion length of each rule
+    symbols           the compressed ids, u2 or u4 (``width``)
     doc_ids           the documents with ids in the shard,
     doc_starts        where they begin, in ids of the range,
     doc_ends          and where their ids in this shard end
 
+Numbers (u4, if not said) are kept as byte planes, lowest bytes first, under
+zstd: high bytes that are mostly zero take next to no space.
+
 Ids at any place are decoded alone: running sums of the symbols' lengths find
 the symbols that cover them.
 
@@ -41,6 +45,7 @@ from pyspark.sql import functions as F
 from adlift.session import scratch_path
 
 from .common import utf8
+from .text_hash import from_planes, planes
 from .tokens import encoder
 
 END_ID = 1
@@ -209,7 +214,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SH
             symbols, rules = compress(ids, base)
             width = 2 if base + len(rules) <= 1 << 16 else 4
             ends = np.cumsum([len(x) // 4 for _, _, x in rows_])
-            values = [part, shard, start, len(ids), base, width, rules.tobytes(), rule_lengths(rules, base).tobytes(), symbols.astype(f"<u{width}").tobytes(), [d for d, _, _ in rows_], [at for _, at, _ in rows_], ends]
+            values = [part, shard, start, len(ids), base, width, planes(rules.T.ravel()), planes(rule_lengths(rules, base)), planes(symbols.astype(f"<u{width}")), [d for d, _, _ in rows_], [at for _, at, _ in rows_], ends]
             schema = _schema(like)
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
 
@@ -233,7 +238,12 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SH
             yield packed(waiting, like)
 
     schema = f"part int, shard bigint, start bigint, n_ids bigint, base int, width int, rules binary, lengths binary, symbols binary, doc_ids array<{kind}>, doc_starts array<bigint>, doc_ends array<int>"
-    rows.mapInArrow(run, schema).write.parquet(path)
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+
+
+def _unpacked(rules: bytes, lengths: bytes, symbols: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths) of a stored shard."""
+    return from_planes(symbols, f"<u{width}"), np.ascontiguousarray(from_planes(rules, "<u4").reshape(2, -1).T), from_planes(lengths, "<u4")
 
 
 def _combined(crc1: int, crc2: int, length2: int) -> int:
@@ -273,8 +283,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                base, width, rules, symbols = (b.column(c)[i].as_py() for c in ("base", "width", "rules", "symbols"))
-                ids = expand(np.frombuffer(symbols, dtype=f"<u{width}"), np.frombuffer(rules, dtype="<u4").reshape(-1, 2), base)
+                base, *packed = (b.column(c)[i].as_py() for c in ("base", "rules", "lengths", "symbols", "width"))
+                symbols, rules, lengths = _unpacked(*packed)
+                ids = expand(symbols, rules, base, lengths)
                 ids = ids.astype("<u4").tobytes()
                 ends = b.column("doc_ends")[i].values.to_numpy().astype(np.int64)
                 starts = np.concatenate(([0], ends[:-1]))
@@ -296,7 +307,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 ns.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("part", "start", "base", "width", "rules", "symbols", "doc_ids", "doc_starts", "doc_ends").mapInArrow(
+    rows = shards.select("part", "start", "base", "width", "rules", "lengths", "symbols", "doc_ids", "doc_starts", "doc_ends").mapInArrow(
         pieces, f"part int, doc_id {kind}, doc_start bigint, at bigint, n bigint, crc bigint"
     )
     whole = rows.groupBy("part", "doc_start").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("pieces"))
@@ -310,8 +321,7 @@ def read_ids(spark: SparkSession, path: str, part: int, start: int, stop: int) -
     shards = spark.read.parquet(path).where((F.col("part") == part) & (F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
     out = []
     for r in shards.orderBy("start").collect():
-        rules, lengths = np.frombuffer(r["rules"], dtype="<u4").reshape(-1, 2), np.frombuffer(r["lengths"], dtype="<u4")
-        symbols = np.frombuffer(r["symbols"], dtype=f"<u{r['width']}")
+        symbols, rules, lengths = _unpacked(r["rules"], r["lengths"], r["symbols"], r["width"])
         out.append(decode_range(symbols, rules, lengths, r["base"], max(0, start - r["start"]), min(r["n_ids"], stop - r["start"])))
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
 
