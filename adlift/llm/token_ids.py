@@ -66,31 +66,58 @@ def _pair_keys(left: np.ndarray, right: np.ndarray, small: bool) -> np.ndarray:
 
 def _slots(keys: np.ndarray, top: int) -> np.ndarray:
     """Counters of pairs; other ones in each round, as ``top`` has grown."""
-    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * top + 1)) & (2**64 - 1))
-    return ((keys * odd) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    bits = 8 * keys.itemsize
+    odd = keys.dtype.type((0x9E3779B97F4A7C15 * (2 * top + 1)) >> (64 - bits) & (2**bits - 1) | 1)
+    return ((keys * odd) >> keys.dtype.type(bits - SLOT_BITS)).astype(np.intp)
 
 
-def _chosen(pairs: np.ndarray, counts: np.ndarray, bits: int) -> list[int]:
+def _chosen(pairs: np.ndarray, counts: np.ndarray, bits: int, top: int) -> np.ndarray:
     """Pairs of a round, the most frequent first, such that no symbol is both
     a left and a right part; a pair of equal symbols has its symbol alone."""
     limit = max(ROUND_RULES, np.count_nonzero(2 * counts >= counts.max()))
-    best = np.argsort(-counts, kind="stable")[: 4 * limit]
-    role: dict[int, int] = {}
-    out, low = [], (1 << bits) - 1
-    for key in pairs[best].tolist():
-        a, b = key >> bits, key & low
-        if a == b:
-            if a in role:
+    below = counts.max() - counts
+    if counts.max() < 1 << 16:  # numpy sorts 16-bit numbers in one pass
+        below = below.astype(np.uint16)
+    best = np.argsort(below, kind="stable")[: 4 * limit]
+    lefts, rights = pairs[best] >> bits, pairs[best] & ((1 << bits) - 1)
+    role = bytearray(top)  # 1: a left part, 2: a right part, 3: alone
+    roles = np.frombuffer(role, dtype=np.uint8)
+    out = []
+    for start in range(0, len(best), 1024):
+        a, b = lefts[start : start + 1024], rights[start : start + 1024]
+        free = np.flatnonzero(np.where(a == b, roles[a] == 0, (roles[a] & 2) + (roles[b] & 1) == 0))
+        for k, a, b in zip((start + free).tolist(), a[free].tolist(), b[free].tolist()):
+            if a == b:
+                if role[a]:
+                    continue
+                role[a] = 3
+            elif role[a] & 2 or role[b] & 1:
                 continue
-            role[a] = 2
-        elif role.get(a, 0) == 0 and role.get(b, 1) == 1:
-            role[a], role[b] = 0, 1
-        else:
-            continue
-        out.append(key)
-        if len(out) == limit:
-            break
-    return sorted(out)
+            else:
+                role[a], role[b] = 1, 2
+            out.append(k)
+            if len(out) == limit:
+                return np.sort(pairs[best[out]])
+    return np.sort(pairs[best[out]])
+
+
+def _places(names: np.ndarray, keys: np.ndarray, slots: np.ndarray, top: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index in ``keys``, index in ``names``) of the keys that are names.
+    ``table``, all 0 before and after, names a pair by its counter."""
+    own, number = _slots(names, top), np.arange(1, len(names) + 1, dtype=table.dtype)
+    table[own] = number
+    place = table[slots]
+    at = np.flatnonzero(place)
+    place = place[at].astype(np.intp) - 1
+    lost = np.flatnonzero(table[own] != number)  # their counter is another name's
+    table[own] = 0
+    hit = names[place] == keys[at]
+    if not len(lost):
+        return at[hit], place[hit]
+    rest = at[~hit]
+    near = np.minimum(np.searchsorted(names[lost], keys[rest]), len(lost) - 1)
+    late = names[lost][near] == keys[rest]
+    return np.concatenate([at[hit], rest[late]]), np.concatenate([place[hit], lost[near[late]]])
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -102,62 +129,70 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
     """
     n, end = len(ids), np.uint32(end_id)
     seq = np.concatenate(([end], ids, [end])).astype(np.uint32)
-    after, before = np.arange(1, n + 3, dtype=np.int32), np.arange(-1, n + 1, dtype=np.int32)
+    after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
     live = (seq != end) & np.append(seq[1:] != end, False)
     stay = np.ones(n + 2, dtype=bool)
     stay[[0, n + 1]] = False
     rules, top = [np.empty((0, 2), dtype=np.uint32)], base
+    table = np.zeros(1 << SLOT_BITS, dtype=np.int32)
     while True:
         small = top <= 1 << 16
         bits = 16 if small else 32
-        at = np.flatnonzero(live).astype(np.int32)
+        at = np.flatnonzero(live)
         left, right = seq[at], seq[after[at]]
         keys = _pair_keys(left, right, small)
+        slots = _slots(keys, top)
+        tally = np.bincount(slots, minlength=1 << SLOT_BITS)
         # in a run of one symbol, every other place counts, from the left
-        once = np.ones(len(at), dtype=bool)
-        equal = np.flatnonzero(left == right)
+        again = equal = np.flatnonzero(left == right)
         if len(equal):
             index = np.arange(len(equal))
             begins = np.append(True, (after[at[equal[:-1]]] != at[equal[1:]]) | (keys[equal[:-1]] != keys[equal[1:]]))
-            once[equal] = (index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 0
-        slots = _slots(keys.astype(np.uint64), top)
-        often = np.bincount(slots[once], minlength=1 << SLOT_BITS)[slots] >= LEAST
-        live[at[~often]] = False
-        often &= once
-        at, keys = at[often], keys[often]
+            again = equal[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 1]
+            tally -= np.bincount(slots[again], minlength=1 << SLOT_BITS)
+        often = (tally >= LEAST)[slots]
+        live[at] = often
+        often[again] = False
+        often = np.flatnonzero(often)
+        at, keys, slots = at[often], keys[often], slots[often]
         pairs = np.sort(keys)
         first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
         pairs, counts = pairs[first], np.diff(np.append(first, len(pairs)))
         pairs, counts = pairs[counts >= LEAST], counts[counts >= LEAST]
         if not len(pairs):
             break
-        names = np.array(_chosen(pairs, counts, bits), dtype=keys.dtype)
+        names = _chosen(pairs, counts, bits, top)
         parts = np.stack([names >> bits, names & ((1 << bits) - 1)], axis=1).astype(np.uint32)
         rules.append(parts)
-        lefts = np.zeros(top, dtype=bool)
-        lefts[parts[:, 0]] = True
-        of = lefts[seq[at]]
-        at, keys = at[of], keys[of]
-        place = np.minimum(np.searchsorted(names, keys), len(names) - 1)
-        hit = names[place] == keys
-        at, place = at[hit], place[hit]
+        hit, place = _places(names, keys, slots, top, table)
+        at = at[hit]
         gone = after[at]
         seq[at] = (top + place).astype(np.uint32)
         stay[gone] = live[gone] = False
-        after[at] = after[gone]
-        before[after[at]] = at
-        for x in (at, before[at]):
-            live[x] = (seq[x] != end) & (seq[after[x]] != end)
+        gone = after[at] = after[gone]
+        before[gone] = at
+        live[at] = seq[gone] != end
+        back = before[at]
+        live[back] = seq[back] != end
         top += len(parts)
     return seq[stay], np.concatenate(rules).astype("<u4")
 
 
+def _rounds(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
+    """Stretches of rules whose parts all come before the stretch."""
+    latest, start = np.maximum.accumulate(rules.max(axis=1, initial=0).astype(np.int64)), 0
+    while start < len(rules):
+        stop = int(np.searchsorted(latest, base + start))
+        yield start, stop
+        start = stop
+
+
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Expansion length of each rule; parts come before the whole."""
-    out: list[int] = []
-    for a, b in rules.tolist():
-        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
-    return np.array(out, dtype="<u4")
+    of = np.ones(base + len(rules), dtype="<u4")
+    for start, stop in _rounds(rules, base):
+        of[base + start : base + stop] = of[rules[start:stop]].sum(axis=1)
+    return of[base:]
 
 
 def symbol_lengths(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -166,19 +201,38 @@ def symbol_lengths(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.nd
     return of[symbols]
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs, one behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+#: rules up to this length are written out once, where a shard is decoded as a whole
+SHORT = 64
+
+
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
-    """The ids of symbols, a level of the grammar at a time; each level has
-    only the symbols that are not ids yet, with their places."""
-    of = symbol_lengths(np.arange(base + len(rules)), rule_lengths(rules, base) if lengths is None else lengths, base)
-    seq, ends = symbols.astype(np.uint32), np.cumsum(of[symbols])
-    out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint32)
-    at = ends - of[seq]
-    while len(seq):
-        leaf = seq < base
-        out[at[leaf]] = seq[leaf]
-        parts, at = rules[seq[~leaf] - base], at[~leaf]
-        seq, at = np.concatenate([parts[:, 0], parts[:, 1]]), np.concatenate([at, at + of[parts[:, 0]]])
-    return out
+    """The ids of symbols: long ones are split, a level of the grammar at a
+    time, until each is an id or a rule that is written out."""
+    lengths = rule_lengths(rules, base) if lengths is None else lengths
+    of = symbol_lengths(np.arange(base + len(rules)), lengths, base)
+    short = SHORT if len(symbols) > len(rules) else 1
+    # the ids of each id and short rule, parts before wholes
+    sizes = np.where(of <= short, of, 0)
+    begin = np.cumsum(sizes) - sizes
+    flat = np.arange(begin[-1] + sizes[-1] if len(sizes) else 0, dtype=np.uint32)
+    for start, stop in _rounds(rules, base) if short > 1 else ():
+        parts = rules[start:stop][of[base + start : base + stop] <= short].ravel()
+        at = begin[base + start]
+        ids = flat[_runs(begin[parts], of[parts])]
+        flat[at : at + len(ids)] = ids
+    seq = symbols.astype(np.intp)
+    while len(split := np.flatnonzero(of[seq] > short)):
+        parts = rules[seq[split] - base]
+        at = split + np.arange(len(split))
+        seq = np.insert(seq, split + 1, parts[:, 1])
+        seq[at] = parts[:, 0]
+    return flat[_runs(begin[seq], of[seq])]
 
 
 def decode_range(symbols, rules, lengths, base: int, start: int, stop: int) -> np.ndarray:

@@ -1,13 +1,15 @@
 """Encoding with the tokenizers library, each distinct word once per worker.
 
 Under the normaliser and the pretokenizer of ``WORD_RULES``, pretokens never
-span white space and begin anew at a full stop or comma that follows a letter,
-so a text's ids are those of its pieces cut there, in order.  Pieces are found
+span white space and begin anew at a punctuation mark that follows a letter
+(both ASCII), so a text's ids are those of its pieces cut there, in order.
+Pieces are found
 and hashed (64 bits; above ``LONG_WORD`` bytes by XXH3) many at a time; each
 distinct one is encoded by the library and its ids kept (up to ``KEPT`` pieces,
 then the table starts anew).  The rules compose characters (NFC) before they
 lower-case, so only a letter before another ASCII byte is lower-cased here:
-nothing composes with it.
+nothing composes with it.  A piece of letters that the rules leave as they are
+(a-z and those of Latin-1) is one pretoken and goes to the library's model alone.
 
 Whole texts go through the library if they could hold an added token, and with
 any tokenizer file of other rules or other added tokens.
@@ -16,6 +18,9 @@ any tokenizer file of other rules or other added tokens.
 from __future__ import annotations
 
 import json
+import os
+import re
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -49,12 +54,17 @@ WORD_RULES = {
 #: how the added tokens begin, in a file whose texts are cut
 MARK = "<|"
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[65:91] = _LETTER[97:123] = True
+#: kinds of bytes: white space, ASCII letters, ASCII punctuation, others
+_SPACE, _LETTER, _STOP = 1, 2, 3
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[SPACES] = _SPACE
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _STOP
+_KINDS = _KIND.tobytes()
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[65:91] = True
-_STOP = np.zeros(256, dtype=bool)
-_STOP[[44, 46]] = True
+#: pieces that the rules leave as they are: lower-case letters, which do not compose
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _encoders: dict[str, "Encoder"] = {}
 _tables: list[np.ndarray] = []
 
@@ -84,19 +94,20 @@ def lowered(text: bytes) -> bytes:
     return (buf + np.uint8(32) * (_UPPER[buf] & np.append(buf[1:] < 128, True))).astype(np.uint8).tobytes()
 
 
-def _pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the pieces of ``lowered`` text."""
-    word = ~SPACES[buf]
+    buf, kind = np.frombuffer(text, dtype=np.uint8), np.frombuffer(text.translate(_KINDS), dtype=np.uint8)
+    word = kind != _SPACE
     cut = np.zeros(len(buf) + 1, dtype=bool)
-    cut[1:-1] = _STOP[buf[1:]] & _LETTER[buf[:-1]]
+    cut[1:-1] = (kind[1:] == _STOP) & (kind[:-1] == _LETTER)
     starts = np.flatnonzero(word & (cut[:-1] | ~np.concatenate(([False], word[:-1]))))
     ends = np.flatnonzero(word & (cut[1:] | ~np.concatenate((word[1:], [False])))) + 1
     powers, inverse = _power_tables(len(buf))
     sums = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
+    np.cumsum(_BYTE.take(buf, mode="clip") * powers[: len(buf)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
     for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
-        hashes[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]].tobytes())
+        hashes[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]])
     return starts, ends, hashes
 
 
@@ -104,45 +115,91 @@ class Encoder:
     """ids of texts, little-endian unsigned 32-bit."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # the model reads bytes as the byte-level pretokenizer writes them: as
+        # Latin-1, but for these of a plain piece
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        written = {c: level.pre_tokenize_str(chr(c))[0][0][1] for c in range(0xDF, 0x100)}
+        self.written = [(chr(c - 0x40), x) for c, x in written.items() if chr(c - 0x40) != x]
         self.cuts = cuttable(json.loads(self.tokenizer.to_str()))
         self._forget()
 
     def _forget(self):
-        # of each kept piece: hash (ascending), where its ids are, how many
+        # of each kept piece: hash, where its ids are, how many
         self.hashes, self.at, self.n = np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, dtype="<u4")
+        # the number of a piece, from 1, at its hash's low bits or the next free place
+        self.table = np.zeros(1 << 16, dtype=np.int32)
 
     def _library(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
-        found = self._library(texts)
-        n = np.array([len(x) for x in found], dtype=np.int64)
-        at = len(self.ids) + np.cumsum(n) - n
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], dtype="<u4")])
-        place = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.at, self.n = (np.insert(a, place, b) for a, b in ((self.hashes, hashes), (self.at, at), (self.n, n)))
-
-    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.hashes, hashes)
-        inside = np.minimum(place, max(0, len(self.hashes) - 1))
-        return inside, self.hashes[inside] == hashes if len(self.hashes) else np.zeros(len(hashes), dtype=bool)
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Keep the ids of pieces, each of them new."""
+        plain, rest = [], []
+        for k, x in enumerate(pieces):
+            (plain if x.isalpha() and x.islower() or _PLAIN.fullmatch(x) else rest).append(k)
+        written = b"\n".join([pieces[k] for k in plain]).decode("latin-1")
+        for byte, x in self.written:
+            written = written.replace(byte, x)
+        found = [[t.id for t in self.model.tokenize(x)] for x in written.split("\n")] if plain else []
+        found += self._library([pieces[k] for k in rest]) if rest else []
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        ids = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(n.sum()))
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
+        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
+        self._name(hashes[plain + rest])
+
+    def _name(self, hashes: np.ndarray) -> None:
+        """Enter pieces into the table, which stays half empty at least."""
+        known = len(self.hashes)
+        self.hashes = np.concatenate([self.hashes, hashes])
+        if 2 * len(self.hashes) > len(self.table):
+            self.table = np.zeros(1 << (2 * len(self.hashes)).bit_length(), dtype=np.int32)
+            hashes, known = self.hashes, 0
+        numbers = np.arange(known + 1, len(self.hashes) + 1, dtype=np.int32)
+        last = len(self.table) - 1
+        slots = (hashes & U64(last)).astype(np.intp)
+        while len(slots):
+            free = self.table[slots] == 0
+            self.table[slots[free]] = numbers[free]
+            later = self.table[slots] != numbers
+            slots, numbers = (slots[later] + 1) & last, numbers[later]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of pieces among those kept, -1 if they are not."""
+        last = len(self.table) - 1
+        slots = (hashes & U64(last)).astype(np.intp)
+        place = self.table[slots].astype(np.intp) - 1
+        if not len(self.hashes):
+            return place
+        # another piece may be there: go on until the piece or a free place
+        open_ = np.flatnonzero((place >= 0) & (self.hashes[place] != hashes))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & last
+            place[open_] = self.table[slots[open_]].astype(np.intp) - 1
+            here = place[open_]
+            open_ = open_[(here >= 0) & (self.hashes[here] != hashes[open_])]
+        return place
 
     def _encode_chunk(self, texts: list[bytes]) -> list[bytes]:
         joined = lowered(b"\n".join(texts))
-        starts, ends, hashes = _pieces(np.frombuffer(joined, dtype=np.uint8))
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > KEPT or len(self.ids) > KEPT_IDS:
+        starts, ends, hashes = _pieces(joined)
+        place = self._find(hashes)
+        missing = np.flatnonzero(place < 0)
+        new, first = np.unique(hashes[missing], return_index=True)
+        if len(self.hashes) + len(new) > KEPT or len(self.ids) > KEPT_IDS:
             self._forget()
-        new = np.flatnonzero(~self._known(distinct)[1])
+            missing = np.arange(len(hashes))
+            new, first = np.unique(hashes, return_index=True)
         if len(new):
-            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist())
-            self._learn(distinct[new], [joined[a:b] for a, b in spans])
-        place = self._known(distinct)[0]
-        n, at = self.n[place][inverse], self.at[place][inverse]
+            first = missing[first]
+            self._learn(new, [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            place[missing] = self._find(hashes[missing])
+        n, at = self.n[place], self.at[place]
         upto = np.cumsum(n)
         ids = self.ids[np.repeat(at - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
         stops = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
@@ -189,5 +246,7 @@ def _parts(text: bytes) -> list[bytes]:
 def encoder(path: str) -> Encoder:
     """This process's encoder for a tokenizer file."""
     if path not in _encoders:
+        # a task has one core; the library's threads cost more than they give
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -31,3 +31,21 @@ def test_shards_are_packed(spark, tmp_path):
     part, size = int(shards.select(F.min("part")).first()[0]), len(found[0])
     for a, b in ((0, 1), (size // 3, size // 2), (size - 9, size)):
         assert np.array_equal(token_ids.read_ids(spark, path, part, a, b), found[0][a:b])
+
+
+def test_pairs_that_share_a_counter(monkeypatch):
+    """The grammar does not depend on the counters; long rules decode, too."""
+    rng = np.random.default_rng(4)
+    copy = rng.integers(2, 300, 2_000)
+    ids = np.concatenate([copy, [1], copy, [1], rng.integers(2, 30, 5_000), np.full(900, 7), copy]).astype("<u4")
+    for base in (300, 65_000, 70_000):
+        symbols, rules = token_ids.compress(ids, base)
+        with monkeypatch.context() as m:
+            m.setattr(token_ids, "SLOT_BITS", 4)
+            again = token_ids.compress(ids, base)
+        assert np.array_equal(symbols, again[0]) and np.array_equal(rules, again[1])
+        lengths = token_ids.rule_lengths(rules, base)
+        assert lengths.max() > token_ids.SHORT
+        for short in (1, 3, token_ids.SHORT):
+            monkeypatch.setattr(token_ids, "SHORT", short)
+            assert np.array_equal(token_ids.expand(symbols, rules, base, lengths), ids)

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from adlift.llm import tokens
 from adlift.llm.common import WORD_BPE
 from adlift.llm.tokens import Encoder, lowered
 
@@ -53,3 +54,40 @@ def test_long_pieces_that_a_polynomial_confuses():
 def test_lowered():
     assert lowered(b"AZ@[az") == b"az@[az"
     assert lowered("ABÀĆD".encode()) == "aBÀĆd".encode()
+
+
+def test_plain_pieces_go_to_the_model():
+    """Words of lower-case letters skip the library's other steps, and marks
+    behind a word make no other word of it; the ids stay the library's."""
+    letters = [*"abcdefghijklmnopqrstuvwxyz", *map(chr, range(0xDF, 0x100)), *"ªµ×ÄÉ"]
+    marks = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "̸", "'s", "'t", "###", "4"]
+    rng = random.Random(3)
+    some = ["".join(rng.choices(letters, k=rng.randint(1, 9))) + rng.choice([*marks, "", ""]) + rng.choice([*letters, *marks, ""]) for _ in range(20_000)]
+    same(WORD_BPE, some + [a + b + c for a in "aé" for b in marks for c in (*marks, "a", "é")])
+    own, through = Encoder(WORD_BPE), []
+    library = own._library
+    own._library = lambda texts: through.extend(texts) or library(texts)
+    own.encode([w.encode() for w in ("where", "straße où", "where; where! where", "where### there")])
+    assert sorted(through) == [b"!", b"###", b";"]
+
+
+def test_pieces_beyond_those_kept(monkeypatch):
+    """The table of pieces grows, starts anew when it is full, and keeps
+    pieces apart whose hashes share a place."""
+    monkeypatch.setattr(tokens, "KEPT", 5_000)
+    rng = random.Random(9)
+    own, library = Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    sizes = []
+    for _ in range(8):
+        some = [" ".join("".join(rng.choices("abcé", k=rng.randint(1, 7))) for _ in range(300)) for _ in range(10)]
+        for t, x in zip(some, own.encode([t.encode() for t in some])):
+            assert np.frombuffer(x, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        sizes.append(len(own.hashes))
+    assert max(sizes) <= 5_000 and sorted(sizes) != sizes
+    hashes = np.arange(1, 40_001, dtype=np.uint64) << np.uint64(40)  # all of one place
+    own._forget()
+    for part in np.split(hashes[:400], 4):
+        own._name(part)
+    assert own._find(hashes[:402]).tolist() == [*range(400), -1, -1]
+    own._name(np.arange(1, 70_001, dtype=np.uint64))
+    assert len(own.table) >= 2 * 70_400 and (own._find(own.hashes) == np.arange(70_400)).all()
