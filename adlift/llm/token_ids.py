@@ -54,6 +54,8 @@ SHARD_IDS, LEAST = 1 << 19, 2
 #: a round's rules: its pairs of at least half the greatest count, or so many;
 #: counters that sort out rare pairs, as a power of two
 ROUND_RULES, SLOT_BITS = 2048, 18
+#: steps in which a round's pairs are chosen many at a time, before the rest
+STEPS = 8
 
 
 def _pair_keys(left: np.ndarray, right: np.ndarray, small: bool) -> np.ndarray:
@@ -64,60 +66,88 @@ def _pair_keys(left: np.ndarray, right: np.ndarray, small: bool) -> np.ndarray:
     return (left.astype(np.uint64) << np.uint64(32)) | right
 
 
-def _slots(keys: np.ndarray, top: int) -> np.ndarray:
+def _slots(keys: np.ndarray, top: int, slot_bits: int) -> np.ndarray:
     """Counters of pairs; other ones in each round, as ``top`` has grown."""
     bits = 8 * keys.itemsize
     odd = keys.dtype.type((0x9E3779B97F4A7C15 * (2 * top + 1)) >> (64 - bits) & (2**bits - 1) | 1)
-    return ((keys * odd) >> keys.dtype.type(bits - SLOT_BITS)).astype(np.intp)
+    return ((keys * odd) >> keys.dtype.type(bits - slot_bits)).astype(np.intp)
+
+
+def _limit(counts: np.ndarray) -> int:
+    """How many pairs a round replaces; four times as many are looked at."""
+    return max(ROUND_RULES, np.count_nonzero(2 * counts >= counts.max(initial=0)))
+
+
+def _frequent(keys: np.ndarray, tally: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of the most frequent pairs, sorted: all that occur as
+    often as the last one that a round looks at, and more.
+    ``tally`` has each place's counter, which is no less than its pair's count;
+    0 for places that do not count."""
+    # pairs of a count are in counters of it or more: as many counters as a
+    # round needs and half as many again mostly hold enough pairs
+    counters = np.bincount(tally)
+    counters = np.cumsum((counters / np.maximum(np.arange(len(counters)), 1))[::-1])[::-1]
+    least = max(LEAST, np.count_nonzero(counters[1:] >= 6 * ROUND_RULES))
+    while True:
+        pairs = np.sort(keys.take(np.flatnonzero(tally >= least)))
+        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        counts = np.diff(np.append(first, len(pairs)))
+        often = np.flatnonzero(counts >= least)
+        pairs, counts = pairs[first[often]], counts[often]
+        if least == LEAST or len(counts) >= 4 * _limit(counts):
+            return pairs, counts
+        least = LEAST
 
 
 def _chosen(pairs: np.ndarray, counts: np.ndarray, bits: int, top: int) -> np.ndarray:
     """Pairs of a round, the most frequent first, such that no symbol is both
     a left and a right part; a pair of equal symbols has its symbol alone."""
-    limit = max(ROUND_RULES, np.count_nonzero(2 * counts >= counts.max()))
+    limit = _limit(counts)
     below = counts.max() - counts
     if counts.max() < 1 << 16:  # numpy sorts 16-bit numbers in one pass
         below = below.astype(np.uint16)
     best = np.argsort(below, kind="stable")[: 4 * limit]
-    lefts, rights = pairs[best] >> bits, pairs[best] & ((1 << bits) - 1)
-    role = bytearray(top)  # 1: a left part, 2: a right part, 3: alone
-    roles = np.frombuffer(role, dtype=np.uint8)
-    out = []
-    for start in range(0, len(best), 1024):
-        a, b = lefts[start : start + 1024], rights[start : start + 1024]
-        free = np.flatnonzero(np.where(a == b, roles[a] == 0, (roles[a] & 2) + (roles[b] & 1) == 0))
-        for k, a, b in zip((start + free).tolist(), a[free].tolist(), b[free].tolist()):
-            if a == b:
-                if role[a]:
-                    continue
-                role[a] = 3
-            elif role[a] & 2 or role[b] & 1:
-                continue
-            else:
-                role[a], role[b] = 1, 2
-            out.append(k)
-            if len(out) == limit:
-                return np.sort(pairs[best[out]])
-    return np.sort(pairs[best[out]])
-
-
-def _places(names: np.ndarray, keys: np.ndarray, slots: np.ndarray, top: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    lefts, rights = (pairs[best] >> bits).astype(np.intp), (pairs[best] & ((1 << bits) - 1)).astype(np.intp)
+    is_left, is_right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
+    taken, none = np.zeros(len(best), dtype=bool), len(best)
+    left_at, right_at = np.full(top, none), np.full(top, none)
+    rest = np.arange(len(best))
+    # pairs whose symbols no earlier open pair has in the other place are
+    # taken together; few steps decide nearly all
+    for _ in range(STEPS):
+        if not len(rest):
+            break
+        a, b = lefts.take(rest), rights.take(rest)
+        left_at[a[::-1]], right_at[b[::-1]] = rest[::-1], rest[::-1]
+        sure = (right_at.take(a) >= rest) & (left_at.take(b) >= rest)
+        left_at[a], right_at[b] = none, none
+        taken[rest[sure]] = is_left[a[sure]] = is_right[b[sure]] = True
+        rest = rest[~(sure | is_right.take(a) | is_left.take(b))]
+    for k, a, b in zip(rest.tolist(), lefts[rest].tolist(), rights[rest].tolist()):
+        if not (is_right[a] or is_left[b]):
+            taken[k] = is_left[a] = is_right[b] = True
+    return np.sort(pairs[best[taken][:limit]])
+
+
+def _places(names: np.ndarray, keys: np.ndarray, slots: np.ndarray, top: int, slot_bits: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index in ``keys``, index in ``names``) of the keys that are names.
     ``table``, all 0 before and after, names a pair by its counter."""
-    own, number = _slots(names, top), np.arange(1, len(names) + 1, dtype=table.dtype)
+    own, number = _slots(names, top, slot_bits), np.arange(1, len(names) + 1, dtype=table.dtype)
     table[own] = number
-    place = table[slots]
-    at = np.flatnonzero(place)
-    place = place[at].astype(np.intp) - 1
+    place = table.take(slots, mode="clip")
+    at = np.flatnonzero(place > 0)
+    place = place.take(at).astype(np.intp) - 1
     lost = np.flatnonzero(table[own] != number)  # their counter is another name's
     table[own] = 0
-    hit = names[place] == keys[at]
+    keys = keys.take(at)
+    same = names.take(place) == keys
+    hit = np.flatnonzero(same)
     if not len(lost):
-        return at[hit], place[hit]
-    rest = at[~hit]
-    near = np.minimum(np.searchsorted(names[lost], keys[rest]), len(lost) - 1)
-    late = names[lost][near] == keys[rest]
-    return np.concatenate([at[hit], rest[late]]), np.concatenate([place[hit], lost[near[late]]])
+        return at.take(hit), place.take(hit)
+    rest = np.flatnonzero(~same)
+    near = np.minimum(np.searchsorted(names[lost], keys.take(rest)), len(lost) - 1)
+    late = names[lost][near] == keys.take(rest)
+    return np.concatenate([at.take(hit), at[rest[late]]]), np.concatenate([place.take(hit), lost[near[late]]])
 
 
 def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
@@ -128,44 +158,48 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
     that come up hold a symbol of the last round, so its places are left.
     """
     n, end = len(ids), np.uint32(end_id)
-    seq = np.concatenate(([end], ids, [end])).astype(np.uint32)
+    # symbols are numbered from those that occur, in their order: pairs are
+    # small numbers then, and sort as they would
+    used = np.flatnonzero(np.bincount(np.append(ids, end), minlength=base))
+    number = np.zeros(base, dtype=np.uint32)
+    number[used] = np.arange(len(used), dtype=np.uint32)
+    end = number[end]
+    seq = np.concatenate(([end], number.take(ids), [end]))
     after, before = np.arange(1, n + 3), np.arange(-1, n + 1)
     live = (seq != end) & np.append(seq[1:] != end, False)
     stay = np.ones(n + 2, dtype=bool)
     stay[[0, n + 1]] = False
-    rules, top = [np.empty((0, 2), dtype=np.uint32)], base
-    table = np.zeros(1 << SLOT_BITS, dtype=np.int32)
+    rules, top = [np.empty((0, 2), dtype=np.uint32)], len(used)
+    table = np.zeros((1 << SLOT_BITS) + 1, dtype=np.int32)
     while True:
         small = top <= 1 << 16
         bits = 16 if small else 32
         at = np.flatnonzero(live)
-        left, right = seq[at], seq[after[at]]
+        left, right = seq.take(at, mode="clip"), seq.take(after.take(at, mode="clip"), mode="clip")
         keys = _pair_keys(left, right, small)
-        slots = _slots(keys, top)
-        tally = np.bincount(slots, minlength=1 << SLOT_BITS)
+        # fewer places need fewer counters
+        slot_bits = min(SLOT_BITS, len(keys).bit_length() + 1)
+        slots = _slots(keys, top, slot_bits)
+        tally = np.bincount(slots, minlength=1 << slot_bits)
         # in a run of one symbol, every other place counts, from the left
         again = equal = np.flatnonzero(left == right)
         if len(equal):
             index = np.arange(len(equal))
             begins = np.append(True, (after[at[equal[:-1]]] != at[equal[1:]]) | (keys[equal[:-1]] != keys[equal[1:]]))
             again = equal[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 1]
-            tally -= np.bincount(slots[again], minlength=1 << SLOT_BITS)
-        often = (tally >= LEAST)[slots]
-        live[at] = often
-        often[again] = False
-        often = np.flatnonzero(often)
-        at, keys, slots = at[often], keys[often], slots[often]
-        pairs = np.sort(keys)
-        first = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
-        pairs, counts = pairs[first], np.diff(np.append(first, len(pairs)))
-        pairs, counts = pairs[counts >= LEAST], counts[counts >= LEAST]
+            tally -= np.bincount(slots[again], minlength=1 << slot_bits)
+        tally = tally.take(slots, mode="clip")
+        live[at] = tally >= LEAST
+        tally[again] = 0
+        slots[again] = 1 << slot_bits  # which no pair has
+        pairs, counts = _frequent(keys, tally)
         if not len(pairs):
             break
         names = _chosen(pairs, counts, bits, top)
         parts = np.stack([names >> bits, names & ((1 << bits) - 1)], axis=1).astype(np.uint32)
         rules.append(parts)
-        hit, place = _places(names, keys, slots, top, table)
-        at = at[hit]
+        hit, place = _places(names, keys, slots, top, slot_bits, table)
+        at = at.take(hit)
         gone = after[at]
         seq[at] = (top + place).astype(np.uint32)
         stay[gone] = live[gone] = False
@@ -175,7 +209,8 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         back = before[at]
         live[back] = seq[back] != end
         top += len(parts)
-    return seq[stay], np.concatenate(rules).astype("<u4")
+    symbol = np.concatenate([used, np.arange(base, base + top - len(used))]).astype("<u4")
+    return symbol.take(seq[stay]), symbol.take(np.concatenate(rules))
 
 
 def _rounds(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:

@@ -1,15 +1,15 @@
 """Encoding with the tokenizers library, each distinct word once per worker.
 
 Under the normaliser and the pretokenizer of ``WORD_RULES``, pretokens never
-span white space and begin anew at a punctuation mark that follows a letter
-(both ASCII), so a text's ids are those of its pieces cut there, in order.
-Pieces are found
-and hashed (64 bits; above ``LONG_WORD`` bytes by XXH3) many at a time; each
-distinct one is encoded by the library and its ids kept (up to ``KEPT`` pieces,
-then the table starts anew).  The rules compose characters (NFC) before they
-lower-case, so only a letter before another ASCII byte is lower-cased here:
-nothing composes with it.  A piece of letters that the rules leave as they are
-(a-z and those of Latin-1) is one pretoken and goes to the library's model alone.
+span white space and begin anew at an ASCII punctuation mark that follows a
+letter (of ASCII or U+00C0 to U+00FF), so a text's ids are those of its pieces
+cut there, in order.  Pieces are found and hashed (64 bits; above ``LONG_WORD``
+bytes by XXH3) many at a time; each distinct one is encoded by the library and
+its ids kept (up to ``KEPT`` pieces, then the table starts anew).  The rules
+compose characters (NFC) before they lower-case, so only a letter before an
+ASCII byte or one of U+00C0 to U+00FF is lower-cased here: nothing composes with
+it.  A piece of letters that the rules leave as they are (a-z and those of
+Latin-1) is one pretoken and goes to the library's model alone.
 
 Whole texts go through the library if they could hold an added token, and with
 any tokenizer file of other rules or other added tokens.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import xxhash
@@ -31,6 +30,8 @@ from .text_hash import _BASE, _BYTE, _powers, LONG_WORD, SPACES, U64, mixed
 KEPT, KEPT_IDS = 1_000_000, 6_000_000
 #: bytes of text taken at once
 CHUNK = 1 << 21
+#: bytes whose hashes are summed at once, in the processor's cache
+HASHED = 1 << 15
 
 #: the rules that the cuts are right for, as the tokenizer file states them
 WORD_RULES = {
@@ -61,8 +62,8 @@ _KIND[SPACES] = _SPACE
 _KIND[65:91] = _KIND[97:123] = _LETTER
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _STOP
 _KINDS = _KIND.tobytes()
-_UPPER = np.zeros(256, dtype=bool)
-_UPPER[65:91] = True
+#: U+00C0 to U+00FF are this byte and another
+_LATIN = 0xC3
 #: pieces that the rules leave as they are: lower-case letters, which do not compose
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _encoders: dict[str, "Encoder"] = {}
@@ -91,21 +92,43 @@ def lowered(text: bytes) -> bytes:
     if text.isascii():
         return text.lower()
     buf = np.frombuffer(text, dtype=np.uint8)
-    return (buf + np.uint8(32) * (_UPPER[buf] & np.append(buf[1:] < 128, True))).astype(np.uint8).tobytes()
+    upper = (buf - np.uint8(65) < 26) & np.append(buf[1:] < 128, True)
+    return (buf + (upper.view(np.uint8) << np.uint8(5))).tobytes()
+
+
+def latin_lowered(text: bytes) -> bytes:
+    """Capitals of U+00C0 to U+00DE before ASCII or ``_LATIN``, and A-Z before
+    ``_LATIN``, as small letters."""
+    buf = np.frombuffer(text, dtype=np.uint8)
+    latin = buf == _LATIN
+    if not latin.any():
+        return text
+    before = np.append(latin[1:], False)
+    upper = (buf - np.uint8(0x80) < 0x1F) & (buf != 0x97) & (before | np.append(buf[1:] < 128, True))
+    upper &= np.append(False, latin[:-1])
+    upper |= (buf - np.uint8(65) < 26) & before
+    return (buf + (upper.view(np.uint8) << np.uint8(5))).tobytes()
 
 
 def _pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the pieces of ``lowered`` text."""
+    """(starts, ends, hashes) of the pieces of lower-cased text."""
     buf, kind = np.frombuffer(text, dtype=np.uint8), np.frombuffer(text.translate(_KINDS), dtype=np.uint8)
     word = kind != _SPACE
+    letter = kind == _LETTER
+    # of the bytes behind _LATIN, all but those of two signs make letters
+    letter[1:] |= (buf[:-1] == _LATIN) & (buf[1:] - np.uint8(0x80) < 0x40) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
     cut = np.zeros(len(buf) + 1, dtype=bool)
-    cut[1:-1] = (kind[1:] == _STOP) & (kind[:-1] == _LETTER)
+    cut[1:-1] = (kind[1:] == _STOP) & letter[:-1]
     starts = np.flatnonzero(word & (cut[:-1] | ~np.concatenate(([False], word[:-1]))))
     ends = np.flatnonzero(word & (cut[1:] | ~np.concatenate((word[1:], [False])))) + 1
     powers, inverse = _power_tables(len(buf))
     sums = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(_BYTE.take(buf, mode="clip") * powers[: len(buf)], out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * inverse[starts])
+    for k in range(0, len(buf), HASHED):
+        values = _BYTE.take(buf[k : k + HASHED], mode="clip")
+        values *= powers[k : k + len(values)]
+        values[:1] += sums[k : k + 1]
+        np.cumsum(values, out=sums[k + 1 : k + 1 + len(values)])
+    hashes = mixed((sums.take(ends) - sums.take(starts)) * inverse.take(starts))
     for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
         hashes[k] = xxhash.xxh3_64_intdigest(text[starts[k] : ends[k]])
     return starts, ends, hashes
@@ -145,10 +168,15 @@ class Encoder:
         written = b"\n".join([pieces[k] for k in plain]).decode("latin-1")
         for byte, x in self.written:
             written = written.replace(byte, x)
-        found = [[t.id for t in self.model.tokenize(x)] for x in written.split("\n")] if plain else []
-        found += self._library([pieces[k] for k in rest]) if rest else []
-        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter(chain.from_iterable(found), dtype="<u4", count=int(n.sum()))
+        tokenize, ids, n = self.model.tokenize, [], []
+        for x in written.split("\n") if plain else ():
+            tokens = tokenize(x)
+            n.append(len(tokens))
+            ids += [t.id for t in tokens]
+        for x in self._library([pieces[k] for k in rest]) if rest else ():
+            n.append(len(x))
+            ids += x
+        n, ids = np.array(n, dtype=np.int64), np.array(ids, dtype="<u4")
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
         self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids])
         self._name(hashes[plain + rest])
@@ -173,20 +201,20 @@ class Encoder:
         """The places of pieces among those kept, -1 if they are not."""
         last = len(self.table) - 1
         slots = (hashes & U64(last)).astype(np.intp)
-        place = self.table[slots].astype(np.intp) - 1
+        place = self.table.take(slots, mode="clip").astype(np.intp) - 1
         if not len(self.hashes):
             return place
         # another piece may be there: go on until the piece or a free place
-        open_ = np.flatnonzero((place >= 0) & (self.hashes[place] != hashes))
+        open_ = np.flatnonzero((place >= 0) & (self.hashes.take(place, mode="clip") != hashes))
         while len(open_):
             slots[open_] = (slots[open_] + 1) & last
             place[open_] = self.table[slots[open_]].astype(np.intp) - 1
             here = place[open_]
-            open_ = open_[(here >= 0) & (self.hashes[here] != hashes[open_])]
+            open_ = open_.take(np.flatnonzero((here >= 0) & (self.hashes.take(here, mode="clip") != hashes[open_])))
         return place
 
     def _encode_chunk(self, texts: list[bytes]) -> list[bytes]:
-        joined = lowered(b"\n".join(texts))
+        joined = latin_lowered(lowered(b"\n".join(texts)))
         starts, ends, hashes = _pieces(joined)
         place = self._find(hashes)
         missing = np.flatnonzero(place < 0)
@@ -199,9 +227,11 @@ class Encoder:
             first = missing[first]
             self._learn(new, [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
             place[missing] = self._find(hashes[missing])
-        n, at = self.n[place], self.at[place]
+        n, at = self.n.take(place), self.at.take(place)
         upto = np.cumsum(n)
-        ids = self.ids[np.repeat(at - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        places = np.repeat(at - (upto - n), n)
+        places += np.arange(len(places))
+        ids = self.ids.take(places)
         stops = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
         stops = np.concatenate(([0], upto))[stops]
         return [x.tobytes() for x in np.split(ids, stops[:-1])]

@@ -49,3 +49,36 @@ def test_pairs_that_share_a_counter(monkeypatch):
         for short in (1, 3, token_ids.SHORT):
             monkeypatch.setattr(token_ids, "SHORT", short)
             assert np.array_equal(token_ids.expand(symbols, rules, base, lengths), ids)
+
+
+def test_rounds_look_at_frequent_pairs(monkeypatch):
+    """Symbols are numbered from those that occur, so that pairs stay small
+    numbers, and rounds sort the places of frequent pairs alone; the grammar is
+    that of rounds that look at all pairs one by one."""
+    rng = np.random.default_rng(6)
+    ids = np.concatenate([np.minimum(rng.zipf(1.2, 60_000), 9_000), [1], np.repeat(rng.integers(2, 99, 2_000), 5)]).astype("<u4") * 9 + 1
+    monkeypatch.setattr(token_ids, "ROUND_RULES", 100)
+    looked, sizes = token_ids._frequent, []
+
+    def all_pairs(keys, tally):
+        pairs, counts = np.unique(keys[tally > 0], return_counts=True)
+        return pairs[counts >= token_ids.LEAST], counts[counts >= token_ids.LEAST]
+
+    def compared(keys, tally):
+        pairs, counts = looked(keys, tally)
+        every = all_pairs(keys, tally)
+        sizes.append((keys.itemsize, len(pairs) / max(1, len(every[0]))))
+        n = len(pairs)
+        assert n == len(every[0]) or n >= 4 * token_ids._limit(counts)
+        kept = every[1] >= (counts.min() if n else 0)
+        assert n == len(every[0]) or (np.array_equal(pairs, every[0][kept]) and np.array_equal(counts, every[1][kept]))
+        return pairs, counts
+
+    monkeypatch.setattr(token_ids, "_frequent", compared)
+    symbols, rules = token_ids.compress(ids, 90_000)
+    assert {x for x, _ in sizes} == {4} and min(x for _, x in sizes) < 0.5
+    monkeypatch.setattr(token_ids, "_frequent", all_pairs)
+    monkeypatch.setattr(token_ids, "STEPS", 0)
+    again = token_ids.compress(ids, 90_000)
+    assert np.array_equal(symbols, again[0]) and np.array_equal(rules, again[1])
+    assert np.array_equal(token_ids.expand(symbols, rules, 90_000), ids)

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from adlift.llm import tokens
 from adlift.llm.common import WORD_BPE
-from adlift.llm.tokens import Encoder, lowered
+from adlift.llm.tokens import Encoder, latin_lowered, lowered
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 MARKS = [chr(c) for c in (*range(0x300, 0x370), 0x1DC0, 0x20D0, 0x3099, 0x5B0, 0x64B, 0x200D, 0xFE0F)]
@@ -71,6 +71,31 @@ def test_plain_pieces_go_to_the_model():
     assert sorted(through) == [b"!", b"###", b";"]
 
 
+def test_latin_words_go_to_the_model():
+    """Small letters are made of Latin-1 capitals, and marks behind any letter
+    of Latin-1 make no other word of it; the ids stay the library's."""
+    assert latin_lowered("ÀÉß×ÞÉ̸É中É é".encode()) == "àéß×þÉ̸É中é é".encode()
+    letters = [*map(chr, range(0xA0, 0x100)), *"ĀćaZ中"]
+    marks = [*"!'.=<>`~^", "'s", "'T", "̸", "́", "̧", "\xa0", " ", "4", ""]
+    rng = random.Random(6)
+    same(WORD_BPE, ["".join(rng.choice(letters) + rng.choice(marks) for _ in range(rng.randint(1, 6))) for _ in range(30_000)])
+    same(WORD_BPE, [a + b + c for a in letters for b in marks for c in (*letters, *marks)])
+    own, through = Encoder(WORD_BPE), []
+    library = own._library
+    own._library = lambda texts: through.extend(texts) or library(texts)
+    own.encode([w.encode() for w in ("École où, OÙ! été. ÉTÉ### ÀÉ", "é. ×. ÷,")])
+    assert sorted(through) == sorted(x.encode() for x in (",", "!", ".", "###", "×.", "÷,"))
+
+
+def test_cuts_of_bytes_that_are_not_utf8():
+    """A byte that begins a letter and is followed by none makes no letter."""
+    rng = random.Random(8)
+    some = [b"\xc3\xc3.", b"\xc3.", b"\xc3\x89\xc3", *(bytes(rng.choices(b"\xc3\xc2\xe2\x89\xa9\x97\xb7Aa. \xff\x80\xcc\xf0", k=rng.randint(0, 8))) for _ in range(20_000))]
+    wanted = Tokenizer.from_file(WORD_BPE).encode_batch_fast([t.decode("utf-8", "replace") for t in some], add_special_tokens=False)
+    for t, x, y in zip(some, Encoder(WORD_BPE).encode(some), wanted):
+        assert np.frombuffer(x, "<u4").tolist() == y.ids, t
+
+
 def test_pieces_beyond_those_kept(monkeypatch):
     """The table of pieces grows, starts anew when it is full, and keeps
     pieces apart whose hashes share a place."""
