@@ -110,7 +110,7 @@ def _chosen(pairs: np.ndarray, counts: np.ndarray, bits: int, top: int) -> np.nd
     lefts, rights = (pairs[best] >> bits).astype(np.intp), (pairs[best] & ((1 << bits) - 1)).astype(np.intp)
     is_left, is_right = np.zeros(top, dtype=bool), np.zeros(top, dtype=bool)
     taken, none = np.zeros(len(best), dtype=bool), len(best)
-    left_at, right_at = np.full(top, none), np.full(top, none)
+    left_at, right_at = np.full(top, none, dtype=np.int32), np.full(top, none, dtype=np.int32)
     rest = np.arange(len(best))
     # pairs whose symbols no earlier open pair has in the other place are
     # taken together; few steps decide nearly all
@@ -121,8 +121,9 @@ def _chosen(pairs: np.ndarray, counts: np.ndarray, bits: int, top: int) -> np.nd
         left_at[a[::-1]], right_at[b[::-1]] = rest[::-1], rest[::-1]
         sure = (right_at.take(a) >= rest) & (left_at.take(b) >= rest)
         left_at[a], right_at[b] = none, none
-        taken[rest[sure]] = is_left[a[sure]] = is_right[b[sure]] = True
-        rest = rest[~(sure | is_right.take(a) | is_left.take(b))]
+        sure_at = np.flatnonzero(sure)
+        taken[rest.take(sure_at)] = is_left[a.take(sure_at)] = is_right[b.take(sure_at)] = True
+        rest = rest.take(np.flatnonzero(~(sure | is_right.take(a) | is_left.take(b))))
     for k, a, b in zip(rest.tolist(), lefts[rest].tolist(), rights[rest].tolist()):
         if not (is_right[a] or is_left[b]):
             taken[k] = is_left[a] = is_right[b] = True
@@ -187,7 +188,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
             index = np.arange(len(equal))
             begins = np.append(True, (after[at[equal[:-1]]] != at[equal[1:]]) | (keys[equal[:-1]] != keys[equal[1:]]))
             again = equal[(index - np.maximum.accumulate(np.where(begins, index, 0))) % 2 == 1]
-            tally -= np.bincount(slots[again], minlength=1 << slot_bits)
+            np.subtract.at(tally, slots[again], 1)
         tally = tally.take(slots, mode="clip")
         live[at] = tally >= LEAST
         tally[again] = 0
@@ -200,17 +201,17 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         rules.append(parts)
         hit, place = _places(names, keys, slots, top, slot_bits, table)
         at = at.take(hit)
-        gone = after[at]
+        gone = after.take(at)
         seq[at] = (top + place).astype(np.uint32)
         stay[gone] = live[gone] = False
-        gone = after[at] = after[gone]
+        gone = after[at] = after.take(gone)
         before[gone] = at
-        live[at] = seq[gone] != end
-        back = before[at]
-        live[back] = seq[back] != end
+        live[at] = seq.take(gone) != end
+        back = before.take(at)
+        live[back] = seq.take(back) != end
         top += len(parts)
     symbol = np.concatenate([used, np.arange(base, base + top - len(used))]).astype("<u4")
-    return symbol.take(seq[stay]), symbol.take(np.concatenate(rules))
+    return symbol.take(seq.take(np.flatnonzero(stay))), symbol.take(np.concatenate(rules))
 
 
 def _rounds(rules: np.ndarray, base: int) -> Iterator[tuple[int, int]]:
@@ -238,8 +239,9 @@ def symbol_lengths(symbols: np.ndarray, lengths: np.ndarray, base: int) -> np.nd
 
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The places of runs, one behind the other."""
-    ends = np.cumsum(sizes)
-    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+    places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    places += np.arange(len(places))
+    return places
 
 
 #: rules up to this length are written out once, where a shard is decoded as a whole
@@ -259,15 +261,15 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarra
     for start, stop in _rounds(rules, base) if short > 1 else ():
         parts = rules[start:stop][of[base + start : base + stop] <= short].ravel()
         at = begin[base + start]
-        ids = flat[_runs(begin[parts], of[parts])]
+        ids = flat.take(_runs(begin.take(parts), of.take(parts)))
         flat[at : at + len(ids)] = ids
     seq = symbols.astype(np.intp)
-    while len(split := np.flatnonzero(of[seq] > short)):
+    while len(split := np.flatnonzero(of.take(seq) > short)):
         parts = rules[seq[split] - base]
         at = split + np.arange(len(split))
         seq = np.insert(seq, split + 1, parts[:, 1])
         seq[at] = parts[:, 0]
-    return flat[_runs(begin[seq], of[seq])]
+    return flat.take(_runs(begin.take(seq), of.take(seq)))
 
 
 def decode_range(symbols, rules, lengths, base: int, start: int, stop: int) -> np.ndarray:
