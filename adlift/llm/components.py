@@ -14,10 +14,12 @@ from .common import stored
 
 
 def _large_star(edges: DataFrame, by: list[str]) -> DataFrame:
-    # one row for each edge at most; repeated ones go with the small star
-    both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(*by, "a").agg(F.min("b").alias("m")).select(*by, "a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, [*by, "a"]).select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
+    # every edge points from the greater to the smaller node; one row for each
+    # edge at most, repeated ones go with the small star
+    back = edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))
+    least = edges.select(*by, "a", "b").unionByName(back).groupBy(*by, "a").agg(F.min("b").alias("m"))
+    least = least.select(*by, "a", F.least("a", "m").alias("m"))
+    return back.join(least, [*by, "a"]).select(*by, F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -33,6 +35,8 @@ def components(edges: DataFrame, *by: str) -> DataFrame:
     name separate graphs, whose rounds run together."""
     by = list(by)
     edges = edges.where("a <> b").select(*by, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # a round reads its edges several times; what made them runs, and is planned, once
+    edges = stored(edges, "component-edges")
     before = None
     while True:
         edges = stored(_small_star(_large_star(edges, by), by), "component-edges")

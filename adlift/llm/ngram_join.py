@@ -135,13 +135,15 @@ def _frequency_levels(rows: DataFrame, counters: int) -> np.ndarray:
     parts = rows.where("block is not null").select("block", (F.col("task") % 256).alias("salt"), "counts")
     parts = parts.groupBy("block", "salt").applyInArrow(add, "block int, counts binary")
     blocks = parts.groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    counts = np.zeros(counters, dtype=np.uint16)
-    for r in blocks:
-        one = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint16)
-        counts[r["block"] * len(one) :][: len(one)] = one
-    usual = max(1.0, 2 * counts.mean())
+    # block by block, so that the driver holds the levels alone
+    counts = lambda r: np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint16)
+    usual = max(1.0, 2 * sum(int(counts(r).sum(dtype=np.int64)) for r in blocks) / counters)
     level = np.ceil(np.log2(np.maximum(np.arange(65536) / usual, 1.0))).astype(np.uint8)
-    return level[counts]
+    out = np.zeros(counters, dtype=np.uint8)
+    for r in blocks:
+        one = level[counts(r)]
+        out[r["block"] * len(one) :][: len(one)] = one
+    return out
 
 
 def _shared_prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, shingle: int, percent: int) -> DataFrame:

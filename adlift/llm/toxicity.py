@@ -31,6 +31,7 @@ columns are ignored by ``score`` and kept by ``with_score``.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -181,12 +182,13 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         return Model({}, START_BIAS)
     index = _informative(texts, y)
-    feature, sent, doc = [], [], []
+    # as numbers, not as Python objects: there is one for each feature of each sentence
+    feature, sent, doc = array("q"), array("q"), array("q")
     for d, text in enumerate(texts):
         for s in sentences(text):
             own = [index[f] for w in set(words(s)) for f in dict.fromkeys(f for f in features(w) if f in index)]
-            feature += own
-            sent += [len(doc)] * len(own)
+            feature.extend(own)
+            sent.extend([len(doc)] * len(own))
             doc.append(d)
     feature, sent, doc = (np.array(x, dtype=np.int64) for x in (feature, sent, doc))
     n_features, n_sents, n_docs = len(index), len(doc), len(y)

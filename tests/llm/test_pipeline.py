@@ -1,5 +1,6 @@
 """The pipeline over a small whole input, stage by stage."""
 
+import tracemalloc
 import zlib
 
 import corpus_pipeline
@@ -7,7 +8,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from adlift.llm import ngram_join
 from adlift.llm.common import WORD_BPE, stored
+from adlift.llm.components import components as components_of
 
 from .test_operators import components, split
 
@@ -64,3 +67,37 @@ def test_decontaminate_by_row(spark):
     after = corpus_pipeline.decontaminate_stage(spark, docs, SF)
     assert after.columns == docs.columns
     assert sorted(r.uid for r in after.collect()) == [2, 3, 5, 7]
+
+
+def test_edges_are_made_once(spark):
+    """What makes the edges runs once, however often a round reads them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(90, 95), (95, 91), (7, 7)], "a long, b long")
+    found = {r.node: r.root for r in components_of(rows.mapInArrow(run, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(41)}, 90: 90, 91: 90, 95: 90}
+    assert made.value == 43
+
+
+def test_levels_alone_on_the_driver(spark):
+    """The driver holds a byte for each counter of the frequency sketch."""
+    counters = 1 << 22
+    size = counters // ngram_join.BLOCKS
+    counts = np.random.default_rng(3).integers(0, 4, size).astype(np.uint16)
+    counts[7] = 9_000
+    packed = zlib.compress(counts.tobytes(), 1)
+    rows = [(block, task, packed) for block in range(0, ngram_join.BLOCKS, 2) for task in range(2)]
+    rows = spark.createDataFrame(rows, "block int, task int, counts binary")
+    tracemalloc.start()
+    levels = ngram_join._frequency_levels(rows, counters)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.concatenate([2 * counts * (b % 2 == 0) for b in range(ngram_join.BLOCKS)]).astype(float)
+    want = np.ceil(np.log2(np.maximum(whole / max(1.0, 2 * whole.mean()), 1.0)))
+    assert levels.dtype == np.uint8 and (levels == want).all() and levels.max() > 8
+    assert peak < 2 * counters
