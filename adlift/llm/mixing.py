@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,7 +113,10 @@ def _plan_for(base: DataFrame, weights, max_repeats: int, plain: bool) -> DataFr
 
 
 def _frame(spark, rows) -> DataFrame:
-    return spark.createDataFrame(rows, "source string, source_size long, target double, scale double")
+    """The rows as an Arrow table, which Spark takes without Python workers."""
+    kinds = {"source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "scale": pa.float64()}
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds)))
 
 
 def _beside(rows: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:

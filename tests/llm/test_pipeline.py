@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from adlift.llm import ngram_join
+from adlift.llm import mixing, ngram_join
 from adlift.llm.common import WORD_BPE, stored
 from adlift.llm.components import components as components_of
 
@@ -101,3 +101,14 @@ def test_levels_alone_on_the_driver(spark):
     want = np.ceil(np.log2(np.maximum(whole / max(1.0, 2 * whole.mean()), 1.0)))
     assert levels.dtype == np.uint8 and (levels == want).all() and levels.max() > 8
     assert peak < 2 * counters
+
+
+def test_plan_of_the_mix_without_python_workers(spark):
+    """A worker started for the plan's few rows would stay beside the next stage's."""
+    rows = [("a", 5, 2.5, 0.5), (None, 0, 0.0, 0.0)]
+    frame = mixing._frame(spark, rows)
+    assert [tuple(r) for r in frame.collect()] == rows
+    assert frame.schema.simpleString() == "struct<source:string,source_size:bigint,target:double,scale:double>"
+    assert mixing._frame(spark, []).count() == 0 and mixing._frame(spark, []).schema == frame.schema
+    # rows that Python workers deserialize come as an existing RDD
+    assert "ExistingRDD" not in frame._jdf.queryExecution().executedPlan().toString()
